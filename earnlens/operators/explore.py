@@ -136,10 +136,13 @@ def region_share(df: DataFrame, region: str = "region") -> DataFrame:
 
 
 def region_describe(df: DataFrame, region: str = "region", measure: str = INCOME) -> DataFrame:
-    """AGG-17: mean, exact median, sample std."""
-    return group_summary(df, region, {
-        "mean_income": F.avg(measure), "median_income": F.percentile(measure, 0.5),
-        "std_income": F.stddev_samp(measure), "n": F.count("*")})
+    """AGG-17: mean, exact median (distributed selection), sample std."""
+    from earnlens.operators.ranking import exact_median
+    s = group_summary(df, region, {"mean_income": F.avg(measure),
+                                   "std_income": F.stddev_samp(measure), "n": F.count("*")})
+    med = exact_median(df, [region], measure, "median_income")
+    return s.join(med, region, "left").select(region, "mean_income", "median_income",
+                                              "std_income", "n")
 
 
 def state_summary(df: DataFrame, state: str = "state", measure: str = INCOME,

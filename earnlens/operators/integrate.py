@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earnlens.operators.joins import small
+from earnlens.operators.joins import one_row
 from earnlens.sources import dims
 
 
@@ -20,7 +20,7 @@ def build_cohort(persons: DataFrame, wages: DataFrame, keys=("occupation", "stat
     is never shuffled for the join. DED-01 is the only shuffle."""
     if floor is not None:
         persons = persons.where(F.col(income) >= floor)
-    j = persons.join(small(wages), list(keys), "inner")
+    j = persons.join(wages, list(keys), "inner")
     return drop_exact_duplicates(j)
 
 

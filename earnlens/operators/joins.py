@@ -1,5 +1,17 @@
 """Join helpers: size-checked broadcast and dimension lookups (JOIN-02,
-JOIN-03, JOIN-07, JOIN-08)."""
+JOIN-03, JOIN-07, JOIN-08).
+
+Broadcast policy
+----------------
+* base/dimension tables: ``small()`` checks the row count with a bounded
+  ``limit(n+1).count()`` on the scan, then hints ``broadcast`` or not;
+* one-row global aggregates: ``one_row()`` (bounded by construction);
+* derived per-key aggregates: no hint. AQE re-plans after the aggregate's
+  shuffle stage and turns the join into a broadcast hash join when the
+  measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``,
+  else keeps sort-merge, splitting skewed partitions. A size check on a
+  derived frame would run its whole lineage an extra time.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +23,22 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
+_FITS: dict = {}
+
+
 def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (a bounded action)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows (a bounded action,
+    remembered per session for semantically equal plans)."""
+    try:
+        key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    except Exception:  # noqa: BLE001
+        key = None
+    if key is not None and key in _FITS:
+        return _FITS[key]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    if key is not None:
+        _FITS[key] = ok
+    return ok
 
 
 def small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -23,6 +48,12 @@ def small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def one_row(df: DataFrame) -> DataFrame:
+    """Broadcast a global (ungrouped) aggregate: it has exactly one row by
+    construction, so its size is proven without a check."""
+    return F.broadcast(df)
+
+
 def lookup(df: DataFrame, dim: DataFrame, on, how: str = "left",
            max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Code/label lookup; a miss gives null (``how='left'``)."""
@@ -33,14 +64,17 @@ def lookup_with_default(df: DataFrame, means: DataFrame, key: str, value: str,
                         out: str, default: Column | float | None) -> DataFrame:
     """Left lookup + constant fallback for misses (JOIN-03)."""
     m = means.select(F.col(key).cast("string").alias("__k"), F.col(value).alias("__v"))
-    j = df.join(small(m), F.col(key).cast("string") == F.col("__k"), "left")
+    # ``means`` is a per-key aggregate: AQE broadcasts it at runtime when its
+    # shuffle output is small, else sort-merge with skew splitting.
+    j = df.join(m, F.col(key).cast("string") == F.col("__k"), "left")
     d = default if isinstance(default, Column) else F.lit(default)
     return j.withColumn(out, F.coalesce(F.col("__v"), d).cast("double")).drop("__k", "__v")
 
 
 def semi(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """Membership filter (JOIN-07/FLT-07)."""
-    return df.join(small(keys), on, "left_semi")
+    """Membership filter (JOIN-07/FLT-07); ``keys`` is usually a top-k
+    (bounded by k), which AQE broadcasts at runtime."""
+    return df.join(keys, on, "left_semi")
 
 
 def anti(df: DataFrame, keys: DataFrame, on) -> DataFrame:
