@@ -1,5 +1,6 @@
 """Imports every query module so the registry is complete."""
 
+from earnlens.plans import analysis_queries  # noqa: F401
 from earnlens.plans import explore_queries  # noqa: F401
 from earnlens.plans import model_queries  # noqa: F401
 from earnlens.plans.registry import ORACLE, QUERIES  # noqa: F401

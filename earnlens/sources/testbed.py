@@ -128,24 +128,24 @@ def region_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_wages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wage statistics rendered as the raw text table (SRC-01 shape):
     area names lower-cased and padded, codes hyphenated, and the release
-    markers a statistics office uses: '**' for cells too small to publish
-    (employment < 20) and '#' for top-coded wages (annual mean >= 280000)."""
+    markers a statistics office uses: '**' where a cell's share is too
+    small to publish (jobs per 1000 < 180) and '#' for top-coded wages
+    (annual mean >= 262000)."""
     w = wages(spark, sf_dir)
     nation = read_table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
     w = w.join(small(nation, 10_000), w.state == F.col("n_name"))
     code = F.concat(F.lpad(F.length("occupation").cast("string"), 2, "0"), F.lit("-"),
                     F.lpad(F.ascii("occupation").cast("string"), 4, "0"))
+    top = F.col("annual_mean_wage") >= 262000
     return w.select(
         F.concat(F.lit("  "), F.lower("state"), F.lit(" ")).alias("AREA_TITLE"),
-        F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 1, "0")).alias("PRIM_STATE"),
+        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("PRIM_STATE"),
         F.format_string("%.4f", "location_quotient").alias("LOC_QUOTIENT"),
         code.alias("OCC_CODE"),
         F.concat(F.lower("occupation"), F.lit(" first-line workers")).alias("OCC_TITLE"),
-        F.when(F.col("employment") < 20, F.lit("**"))
+        F.when(F.col("jobs_per_1000") < 180, F.lit("**"))
          .otherwise(F.format_string("%.0f", "employment")).alias("TOT_EMP"),
         F.format_string("%.4f", "jobs_per_1000").alias("JOBS_1000"),
-        F.when(F.col("annual_mean_wage") >= 280000, F.lit("#"))
-         .otherwise(F.format_string("%.2f", "hourly_mean")).alias("H_MEAN"),
-        F.when(F.col("annual_mean_wage") >= 280000, F.lit("#"))
-         .otherwise(F.format_string("%.2f", "annual_mean_wage")).alias("A_MEAN"),
+        F.when(top, F.lit("#")).otherwise(F.format_string("%.2f", "hourly_mean")).alias("H_MEAN"),
+        F.when(top, F.lit("#")).otherwise(F.format_string("%.2f", "annual_mean_wage")).alias("A_MEAN"),
     )
