@@ -50,12 +50,21 @@ def with_value_bucket(df: DataFrame, groups, value: str, n_buckets: int) -> Data
 
 
 def distinct_prefix(df: DataFrame, groups, value: str, weights: dict[str, Column],
-                    n_buckets: int | None = None) -> DataFrame:
+                    n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """One row per (group, distinct value) with, for each weight ``w``:
     ``w`` (sum at this value) and ``w_below`` (sum over strictly smaller
-    values in the group). Null values are ignored."""
+    values in the group). Null values are ignored.
+
+    The algorithm reads its input twice (range bounds, then values), so the
+    narrow projection (groups, value, weights) is first written once as a
+    reliable checkpoint instead of re-running the upstream lineage."""
     df = df.where(F.col(value).isNotNull())
     df, groups = _groups(df, groups)
+    df = df.select(*groups, value, *[c.alias(f"_w_{n}") for n, c in weights.items()])
+    weights = {n: F.col(f"_w_{n}") for n in weights}
+    if materialize:
+        from earnlens.session import materialize as _mat
+        df = _mat(df)
     if n_buckets is None:
         n_buckets = choose_buckets(df)
     b = with_value_bucket(df, groups, value, n_buckets)

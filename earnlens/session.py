@@ -51,8 +51,19 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = fallback or os.environ.get("EARNLENS_CHECKPOINT_DIR")
+        if not d and sc.master.startswith("local"):
+            # single-machine runs only: a cluster must name a shared folder
+            import tempfile
+            d = tempfile.mkdtemp(prefix="earnlens-checkpoint-")
         if not d:
             raise RuntimeError("spark.checkpoint.dir is not set and no fallback was given")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
+    (survives executor loss, unlike a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
