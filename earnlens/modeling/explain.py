@@ -90,7 +90,7 @@ def shapley_values(model, rows: DataFrame, background: DataFrame, features: list
     scored = scored.withColumn("_jump", F.col(prediction) - F.lag(prediction).over(w))
     # the feature that joined at step _pos is the one with exactly _pos-1 before it
     ranks2 = F.array(*[F.col(f"_o_{f}") for f in features])
-    joined = F.try_element_at(F.array_sort(ranks2), F.col("_pos"))
+    joined = F.get(F.array_sort(ranks2), F.col("_pos") - 1)   # 0-based, null when out of range
     pick = F.coalesce(*[F.when(F.col(f"_o_{f}") == joined, F.lit(f)) for f in features])
     att = scored.where(F.col("_pos") > 0).withColumn("feature", pick)
     att = att.groupBy(key, "feature").agg(F.avg("_jump").alias("attribution"))

@@ -94,11 +94,11 @@ def cohort(spark: SparkSession, sf_dir: str, floor: float = dims.MIN_ANNUAL_INCO
     return build_cohort(persons(spark, sf_dir), wages(spark, sf_dir), floor=floor)
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """Every order as a raw scoring request (un-normalised text, optional
     context absent). Status P has no gender, so those requests fail DQ-09,
-    as do ages under 18."""
-    orders = read_table(spark, sf_dir, "orders")
+    as do ages under 18. ``orders`` may be a stream (stream-static join)."""
+    orders = orders if orders is not None else read_table(spark, sf_dir, "orders")
     j = orders.join(customers_located(spark, sf_dir), orders.o_custkey == F.col("c_custkey"))
     return j.select(
         F.col("o_orderkey").alias("request_id"),
