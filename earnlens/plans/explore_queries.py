@@ -264,3 +264,54 @@ def q_valid_values(spark, sf):
 @query("distinct_states", P + """SELECT count(DISTINCT state) AS n_distinct_state FROM persons""")
 def q_distinct_states(spark, sf):
     return ex.distinct_count(tb.persons(spark, sf), "state")
+
+
+# ------------------------------------------------------------ integrate / io
+from earnlens.plans.sqlviews import PWC as _PWC  # noqa: E402
+
+
+@query("cohort_integrate", _PWC + """
+SELECT person_id, state, occupation, gender, age, education_level, round(annual_income, 4)
+         AS annual_income, employment, round(location_quotient, 4) AS location_quotient,
+       round(jobs_per_1000, 4) AS jobs_per_1000, round(hourly_mean, 4) AS hourly_mean,
+       round(annual_mean_wage, 4) AS annual_mean_wage FROM cohort""")
+def q_cohort(spark, sf):
+    c = tb.cohort(spark, sf)
+    return r4(c.select("person_id", "state", "occupation", "gender", "age", "education_level",
+                       "annual_income", "employment", "location_quotient", "jobs_per_1000",
+                       "hourly_mean", "annual_mean_wage"))
+
+
+@query("cohort_roundtrip", _PWC + """
+SELECT state, count(*) AS n, round(sum(annual_income), 2) AS total_income FROM cohort GROUP BY 1""")
+def q_roundtrip(spark, sf):
+    """SNK-01 + SRC-03: write the cohort partitioned by state under the
+    shared checkpoint folder, read it back (partition discovery)."""
+    import os
+    import uuid
+    from earnlens.session import checkpoint_dir
+    from earnlens.sources.io import read_cohort, write_table
+    path = os.path.join(checkpoint_dir(spark), "tables", f"cohort-{uuid.uuid4().hex[:12]}")
+    write_table(tb.cohort(spark, sf), path, partition_by=["state"])
+    back = read_cohort(spark, path)
+    return back.groupBy("state").agg(F.count("*").alias("n"),
+                                     F.round(F.sum("annual_income"), 2).alias("total_income"))
+
+
+@query("education_bucket_counts", P + """
+SELECT """ + BUCKET + """ AS bucket, count(*) AS n, round(avg(annual_income), 4) AS mean_income
+FROM persons GROUP BY 1""")
+def q_bucket(spark, sf):
+    p = tb.persons(spark, sf).withColumn("bucket", bucket_col())
+    return r4(p.groupBy("bucket").agg(F.count("*").alias("n"),
+                                      F.avg("annual_income").alias("mean_income")))
+
+
+@query("region_lookup", P + """
+SELECT region, state, count(*) AS n FROM persons GROUP BY 1, 2""")
+def q_region_lookup(spark, sf):
+    """JOIN-02/PRJ-13: persons' state -> region through the dimension."""
+    from earnlens.operators.joins import lookup
+    p = tb.persons(spark, sf).drop("region")
+    j = lookup(p, tb.region_map(spark, sf).select("state", "region"), "state")
+    return j.groupBy("region", "state").agg(F.count("*").alias("n"))

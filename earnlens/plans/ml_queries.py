@@ -213,3 +213,23 @@ def q_shap_dep(spark, sf):
     bg = fe.hash_sample(etrain, "person_id", 1, seed=7)
     s = xp.shapley_values(m, rows, bg, fe.FEATURES_FULL, "person_id")
     return r4(s.where(F.col("feature").isin("age", "occ_mean_income", "state_mean_income")))
+
+
+@query("metrics_document")
+def q_metrics_doc(spark, sf):
+    """EVA-18: the metrics document as one row: headline numbers plus
+    subgroup maps (string -> double), from the closed-form quantile model
+    and the premium classifier."""
+    from earnlens.plans.modelviews import quantile_scored
+    sc = quantile_scored(spark, sf)
+    k = lambda d: d.withColumn("_k", F.lit(0))
+    pm = ev.point_metrics(sc).select("r2", "mae", "rmse")
+    im = ev.interval_metrics(sc).select("coverage", "median_width", "crossings")
+    sub = ev.subgroup_coverage(sc).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws("=", "attribute", "grp"), F.round("coverage", 4)))).alias("subgroup_coverage"))
+    clf = premium_scored(spark, sf)
+    auc = ev.roc_auc(clf).select("roc_auc")
+    sauc = ev.roc_auc(clf, groups=["gender"]).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat(F.lit("gender="), F.col("gender")), F.round("roc_auc", 4)))).alias("subgroup_roc_auc"))
+    doc = k(pm).join(k(im), "_k").join(k(sub), "_k").join(k(auc), "_k").join(k(sauc), "_k").drop("_k")
+    return r4(doc)
