@@ -45,6 +45,7 @@ def with_value_bucket(df: DataFrame, groups, value: str, n_buckets: int) -> Data
     acc = max(10_000, 20 * n_buckets)
     bounds = df.groupBy(*groups).agg(
         F.percentile_approx(value, probs, acc).alias("_bounds"))
+    # one row per group: AQE broadcasts it at runtime
     j = df.join(bounds, groups)
     return j.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
 
@@ -55,20 +56,23 @@ def distinct_prefix(df: DataFrame, groups, value: str, weights: dict[str, Column
     ``w`` (sum at this value) and ``w_below`` (sum over strictly smaller
     values in the group). Null values are ignored.
 
-    The algorithm reads its input twice (range bounds, then values), so the
-    narrow projection (groups, value, weights) is first written once as a
-    reliable checkpoint instead of re-running the upstream lineage."""
+    1. rows collapse to distinct (group, value) with summed weights: one
+       shuffle with map-side combine, hashed on the value too, so a hot
+       group spreads over all partitions;
+    2. that (smaller) table is written once as a reliable checkpoint, since
+       the next steps read it twice;
+    3. per-group range bounds come from ``percentile_approx`` over the
+       distinct values; each range's prefix is a window inside the range,
+       plus the sum of all lower ranges (a groups x ranges table)."""
     df = df.where(F.col(value).isNotNull())
     df, groups = _groups(df, groups)
-    df = df.select(*groups, value, *[c.alias(f"_w_{n}") for n, c in weights.items()])
-    weights = {n: F.col(f"_w_{n}") for n in weights}
+    dv = df.groupBy(*groups, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
     if materialize:
         from earnlens.session import materialize as _mat
-        df = _mat(df)
+        dv = _mat(dv)
     if n_buckets is None:
-        n_buckets = choose_buckets(df)
-    b = with_value_bucket(df, groups, value, n_buckets)
-    dv = b.groupBy(*groups, "_b", value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
+        n_buckets = choose_buckets(dv)
+    dv = with_value_bucket(dv, groups, value, n_buckets)
     win = (Window.partitionBy(*groups, "_b").orderBy(value)
            .rowsBetween(Window.unboundedPreceding, -1))
     dv = dv.withColumns({f"{n}_in": F.coalesce(F.sum(n).over(win), F.lit(0)) for n in weights})

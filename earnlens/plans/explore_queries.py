@@ -276,7 +276,8 @@ SELECT person_id, state, occupation, gender, age, education_level, round(annual_
        round(jobs_per_1000, 4) AS jobs_per_1000, round(hourly_mean, 4) AS hourly_mean,
        round(annual_mean_wage, 4) AS annual_mean_wage FROM cohort""")
 def q_cohort(spark, sf):
-    c = tb.cohort(spark, sf)
+    # the integrate job itself, from the raw tables (not the stored table)
+    c = tb.build_cohort_table(spark, sf)
     return r4(c.select("person_id", "state", "occupation", "gender", "age", "education_level",
                        "annual_income", "employment", "location_quotient", "jobs_per_1000",
                        "hourly_mean", "annual_mean_wage"))

@@ -49,6 +49,24 @@ def customers_located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed persons table (written once, then read)."""
+    from earnlens.sources.store import processed
+    return processed(spark, "persons", sf_dir, lambda: build_persons(spark, sf_dir))
+
+
+def wages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed wage table (written once, then read)."""
+    from earnlens.sources.store import processed
+    return processed(spark, "wages", sf_dir, lambda: build_wages(spark, sf_dir))
+
+
+def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort table (written once by the integrate job, then read)."""
+    from earnlens.sources.store import processed
+    return processed(spark, "cohort", sf_dir, lambda: build_cohort_table(spark, sf_dir))
+
+
+def build_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = (read_table(spark, sf_dir, "orders")
               .where(F.col("o_orderstatus").isin("F", "O")))
     # orders x customer is a large-large equi join: no hint, Catalyst/AQE
@@ -66,7 +84,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def wages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_wages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-(occupation, state) wage statistics over all orders."""
     orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
     j = orders.join(customers_located(spark, sf_dir), orders.o_custkey == F.col("c_custkey"))
@@ -88,10 +106,11 @@ def wages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cohort(spark: SparkSession, sf_dir: str, floor: float = dims.MIN_ANNUAL_INCOME) -> DataFrame:
-    """The integrated cohort (JOIN-01 + FLT-04 + DED-01) on the test tables."""
+def build_cohort_table(spark: SparkSession, sf_dir: str,
+                       floor: float = dims.MIN_ANNUAL_INCOME) -> DataFrame:
+    """The integrate job (JOIN-01 + FLT-04 + DED-01) from the raw tables."""
     from earnlens.operators.integrate import build_cohort
-    return build_cohort(persons(spark, sf_dir), wages(spark, sf_dir), floor=floor)
+    return build_cohort(build_persons(spark, sf_dir), build_wages(spark, sf_dir), floor=floor)
 
 
 def requests(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
@@ -125,7 +144,7 @@ def region_map(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    read_table(spark, sf_dir, "region"))
 
 
-def raw_wages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_wages(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: D401
     """The wage statistics rendered as the raw text table (SRC-01 shape):
     area names lower-cased and padded, codes hyphenated, and the release
     markers a statistics office uses: '**' where a cell's share is too
