@@ -65,9 +65,45 @@ def drift_report(window: DataFrame, baseline: DataFrame, total: DataFrame | None
 
 
 def rolling_mean(df: DataFrame, key: str, value: str, n: int = dims.DRIFT_WINDOW,
-                 order=("ts", "event_id")) -> DataFrame:
+                 order=("ts", "event_id"), n_buckets: int | None = None) -> DataFrame:
     """WIN-02 (batch replay): mean and count of the last ``n`` values per
-    key in arrival order, a ROWS frame within each key's partition."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return df.select(*order, key, value, F.avg(value).over(w).alias("rolling_mean"),
-                     F.count(value).over(w).alias("rolling_n"))
+    key in arrival order (``order``), exact, without putting a hot key in
+    one task.
+
+    1. each key's rows are cut into time ranges (``percentile_approx``
+       bounds of the first order column);
+    2. a row's rank in its key = rows in lower ranges + its rank inside the
+       range (window per (key, range));
+    3. every range receives copies of the rows, from earlier ranges, that
+       fall within its first row's n-1 predecessors (at most n-1 per range);
+    4. a ROWS frame of n inside each (key, range) over own + borrowed rows,
+       keeping own rows only."""
+    from earnlens.operators.ranking import choose_buckets, with_value_bucket
+    t0, rest = order[0], list(order[1:])
+    base = df.select(key, *order, value).withColumn(
+        "_t", F.col(t0).cast("timestamp").cast("double") if dict(df.dtypes)[t0].startswith("timestamp")
+        else F.col(t0).cast("double"))
+    nb = n_buckets or choose_buckets(base)
+    b = with_value_bucket(base, [key], "_t", nb)
+    sizes = b.groupBy(key, "_b").agg(F.count("*").alias("_cnt"))
+    wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)))
+    # per key: range starts in range order (at most n_buckets entries)
+    starts_arr = starts.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("_b", "_start"))).alias("_starts"))
+    lw = Window.partitionBy(key, "_b").orderBy(*order)
+    r = (b.join(starts.select(key, "_b", "_start"), [key, "_b"])
+         .withColumn("_g", F.col("_start") + F.row_number().over(lw) - 1)
+         .join(starts_arr, key))
+    # last range whose first row still needs this row as history
+    reach = F.filter("_starts", lambda s: s.getField("_start") <= F.col("_g") + (n - 1))
+    r = r.withColumn("_bmax", F.element_at(F.transform(reach, lambda s: s.getField("_b")), -1))
+    own = r.select(key, *order, value, "_b", "_g", F.lit(True).alias("_own"))
+    borrowed = r.where(F.col("_bmax") > F.col("_b")).select(
+        key, *order, value, F.explode(F.sequence(F.col("_b") + 1, F.col("_bmax"))).alias("_b"),
+        "_g", F.lit(False).alias("_own"))
+    u = own.unionByName(borrowed)
+    w = Window.partitionBy(key, "_b").orderBy("_g").rowsBetween(-(n - 1), 0)
+    out = u.select(key, *order, value, "_own", F.avg(value).over(w).alias("rolling_mean"),
+                   F.count(value).over(w).alias("rolling_n"))
+    return out.where("_own").drop("_own")
