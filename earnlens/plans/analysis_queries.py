@@ -303,7 +303,7 @@ def _num_sql(c):
             f"THEN TRY_CAST(trim({c}) AS DOUBLE) END")
 
 
-@query("clean_wages", with_views(PERSONS, WAGES, _RAW_WAGES) + f"""
+_CLEAN_WAGES_SELECT = f"""
 SELECT * FROM (
   SELECT {_title_sql('AREA_TITLE')} AS STATE, PRIM_STATE, round({_num_sql('LOC_QUOTIENT')}, 4) AS LOC_QUOTIENT,
          replace(OCC_CODE, '-', '') AS OCC_CODE, {_title_sql('OCC_TITLE')} AS OCC_TITLE,
@@ -313,7 +313,10 @@ SELECT * FROM (
 WHERE OCC_CODE IS NOT NULL AND OCC_CODE <> '' AND STATE IS NOT NULL AND PRIM_STATE IS NOT NULL
   AND LOC_QUOTIENT IS NOT NULL AND OCC_TITLE IS NOT NULL AND TOT_EMP IS NOT NULL
   AND JOBS_1000 IS NOT NULL AND H_MEAN IS NOT NULL AND A_MEAN IS NOT NULL
-  AND PRIM_STATE NOT IN ('GU', 'PR', 'VI', 'DC') AND (A_MEAN >= 100000 OR H_MEAN >= 48.08)""")
+  AND PRIM_STATE NOT IN ('GU', 'PR', 'VI', 'DC') AND (A_MEAN >= 100000 OR H_MEAN >= 48.08)"""
+
+
+@query("clean_wages", with_views(PERSONS, WAGES, _RAW_WAGES) + _CLEAN_WAGES_SELECT)
 def q_clean_wages(spark, sf):
     return r4(cl.clean_wages(tb.raw_wages(spark, sf)))
 
@@ -440,3 +443,58 @@ SELECT 'earnlens+unknown.' || substr(fingerprint, 1, 12) AS model_version, finge
 def q_version(spark, sf):
     return pv.model_version(pv.fingerprint(tb.cohort(spark, sf), _FP_COLS, money=("annual_income",)),
                             code_sha="unknown")
+
+
+# ------------------------------------------------------------ raw sources
+def _csv_roundtrip(spark, df, label, reader):
+    import os
+    import uuid
+    from earnlens.session import checkpoint_dir
+    from earnlens.sources.io import write_table
+    path = os.path.join(checkpoint_dir(spark), "raw", f"{label}-{uuid.uuid4().hex[:12]}.csv")
+    write_table(df, path, fmt="csv")                 # SNK-01: header, no index
+    return reader(spark, path)
+
+
+@query("raw_wages_csv", with_views(PERSONS, WAGES, _RAW_WAGES) + _CLEAN_WAGES_SELECT)
+def q_raw_wages_csv(spark, sf):
+    """SRC-01 + SNK-01: the raw wage text written as CSV, read back with the
+    all-text schema, then cleaned."""
+    from earnlens.sources.io import read_wages
+    raw = _csv_roundtrip(spark, tb.raw_wages(spark, sf), "wages", read_wages)
+    return r4(cl.clean_wages(raw))
+
+
+_RAW_PERSONS = """rp AS (
+  SELECT CAST(c.c_nationkey AS INTEGER) AS STATEICP, ascii(c.c_mktsegment) AS DEGFIELDD,
+         100 + CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS EDUCD,
+         substr(c.c_mktsegment, 1, 2) || '-' || CAST(c.c_custkey AS VARCHAR) AS OCCSOC,
+         CAST(floor(o.o_totalprice) AS BIGINT) AS INCTOT,
+         CASE WHEN o.o_orderstatus = 'F' THEN 1 WHEN o.o_orderstatus = 'O' THEN 2 ELSE 3 END AS SEX,
+         CAST((year(o.o_orderdate) - 1995) * 12 + month(o.o_orderdate) AS INTEGER) AS AGE
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
+
+
+@query("clean_persons", "WITH " + _RAW_PERSONS + """,
+d AS (SELECT n.n_name AS STATE, CASE rp.EDUCD WHEN 101 THEN '1-URGENT' WHEN 102 THEN '2-HIGH'
+             WHEN 103 THEN '3-MEDIUM' WHEN 104 THEN '4-NOT SPECIFIED' END AS EDUCATION,
+             coalesce(CASE rp.SEX WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' END, CAST(rp.SEX AS VARCHAR))
+               AS SEX,
+             CASE WHEN length(regexp_extract(rp.OCCSOC, '(\\d+)', 1)) < 6
+                  THEN lpad(regexp_extract(rp.OCCSOC, '(\\d+)', 1), 6, '0')
+                  ELSE regexp_extract(rp.OCCSOC, '(\\d+)', 1) END AS OCC_CODE,
+             rp.INCTOT, rp.AGE
+      FROM rp JOIN nation n ON rp.STATEICP = n.n_nationkey
+      WHERE rp.INCTOT >= 100000 AND rp.DEGFIELDD IN (SELECT DISTINCT ascii(c_mktsegment) FROM customer))
+SELECT STATE, EDUCATION, SEX, count(*) AS n, sum(INCTOT) AS total_income,
+       count(DISTINCT OCC_CODE) AS n_codes
+FROM d WHERE EDUCATION IS NOT NULL GROUP BY 1, 2, 3""")
+def q_clean_persons(spark, sf):
+    """SRC-02 + PRJ-07..11 + FLT-04/05: raw person CSV read with the typed
+    schema, floor, digits, recode, three code lookups, null drop."""
+    from earnlens.sources.io import read_persons
+    raw = _csv_roundtrip(spark, tb.raw_persons(spark, sf), "persons", read_persons)
+    c = cl.clean_persons(raw, *tb.person_dims(spark, sf))
+    return c.groupBy("STATE", "EDUCATION", "SEX").agg(
+        F.count("*").alias("n"), F.sum("INCTOT").alias("total_income"),
+        F.countDistinct("OCC_CODE").alias("n_codes"))

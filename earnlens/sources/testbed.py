@@ -168,3 +168,36 @@ def raw_wages(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: D401
         F.when(top, F.lit("#")).otherwise(F.format_string("%.2f", "hourly_mean")).alias("H_MEAN"),
         F.when(top, F.lit("#")).otherwise(F.format_string("%.2f", "annual_mean_wage")).alias("A_MEAN"),
     )
+
+
+def raw_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders rendered as raw person microdata (SRC-02 shape, integer codes):
+    STATEICP = nation key; EDUCD = 100 + priority digit (101..105, of which
+    105 has no label and is dropped by cleaning); DEGFIELDD = the segment's
+    first character code; OCCSOC = segment prefix + '-' + customer key (the
+    first digit run is the code); SEX 1/2 for F/O and 3 otherwise (kept as
+    text by the pass-through recode); INCTOT whole dollars; AGE in months."""
+    orders = read_table(spark, sf_dir, "orders")
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    j = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    return j.select(
+        F.col("c_nationkey").cast("int").alias("STATEICP"),
+        F.ascii("c_mktsegment").cast("int").alias("DEGFIELDD"),
+        (F.lit(100) + F.substring("o_orderpriority", 1, 1).cast("int")).alias("EDUCD"),
+        F.concat(F.substring("c_mktsegment", 1, 2), F.lit("-"), F.col("c_custkey").cast("string")).alias("OCCSOC"),
+        F.floor("o_totalprice").cast("long").alias("INCTOT"),
+        F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2)
+         .otherwise(3).alias("SEX"),
+        _age(F.col("o_orderdate")).alias("AGE"))
+
+
+def person_dims(spark: SparkSession, sf_dir: str):
+    """(state_dim, education_dim, degree_dim) for ``raw_persons``."""
+    state = read_table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("int").alias("STATEICP"), F.col("n_name").alias("STATE"))
+    edu = spark.createDataFrame([(100 + v, k) for k, v in dims.TESTBED_EDUCATION_ORDER.items()
+                                 if v <= 4], "EDUCD int, EDUCATION string")
+    deg = (read_table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+           .select(F.ascii("c_mktsegment").cast("int").alias("DEGFIELDD"),
+                   F.col("c_mktsegment").alias("DEGREE")))
+    return state, edu, deg
