@@ -249,3 +249,16 @@ def distinct_count(df: DataFrame, col: str = "state", exact: bool = True) -> Dat
     """AGG-24: number of distinct values (approx at scale when asked)."""
     f = F.countDistinct(col) if exact else F.approx_count_distinct(col)
     return df.agg(f.alias(f"n_distinct_{col}"))
+
+
+def preview(df: DataFrame, n: int = 5, order: list[str] | None = None,
+            tail: bool = False) -> DataFrame:
+    """TOP-05: head(n) / tail(n). Spark rows have no order of their own, so
+    a tail needs explicit order columns (a top-k on the reversed order)."""
+    if order is None:
+        if tail:
+            raise ValueError("tail needs order columns")
+        return df.limit(n)
+    cols = [F.col(c).desc() if tail else F.col(c).asc() for c in order]
+    out = df.orderBy(*cols).limit(n)
+    return out.orderBy(*order) if tail else out

@@ -149,3 +149,8 @@ def premium_label(df: DataFrame, threshold: float = dims.PREMIUM_THRESHOLD,
                   target: str = INCOME, out: str = "premium") -> DataFrame:
     """FEA-10: 1.0 when income >= threshold."""
     return df.withColumn(out, (F.col(target) >= threshold).cast("double"))
+
+
+def recombine(train: DataFrame, test: DataFrame) -> DataFrame:
+    """SET-01: train and test back together (by column name)."""
+    return train.unionByName(test, allowMissingColumns=True)

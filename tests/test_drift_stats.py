@@ -113,3 +113,21 @@ def test_bucketed_rolling_mean_equals_plain_window(spark):
     assert ours.count() == e.count()
     assert j.where((F.abs(F.col("m") - F.col("rolling_mean")) > 1e-9)
                    | (F.col("c") != F.col("rolling_n"))).count() == 0
+
+
+def test_drift_clears_after_refill(spark):
+    """DRF-06: 50 drifted then 50 normal observations, window 50."""
+    rows = [(i, 70.0, 2.0) for i in range(50)] + [(50 + i, 40.0, 2.0) for i in range(50)]
+    obs = spark.createDataFrame(rows, "event_id long, age double, education_ord double")
+    win = dr.last_n(obs, 50, order=("event_id",)).drop("event_id")
+    r = {x.feature: x for x in dr.drift_report(win, _baseline(spark)).collect()}
+    assert not r["age"].drifted and not r["age"].any_drifted
+
+
+def test_recombine_and_preview(spark):
+    from earnlens.operators.explore import preview
+    from earnlens.operators.features import hash_split, recombine
+    df = spark.range(100).withColumnRenamed("id", "k")
+    s = hash_split(df, "k")
+    assert recombine(s.where("split='train'"), s.where("split='test'")).count() == 100
+    assert [r.k for r in preview(df, 3, ["k"], tail=True).collect()] == [97, 98, 99]
