@@ -18,10 +18,14 @@ def feature_importance(model, features: list[str]) -> DataFrame:
                                  "feature string, importance double").orderBy(F.desc("importance"))
 
 
-def permuted(df: DataFrame, col: str, key: str, seed: int, buckets: int = 64) -> DataFrame:
+def permuted(df: DataFrame, col: str, key: str, seed: int, buckets: int | None = None) -> DataFrame:
     """``df`` with ``col`` replaced by a seeded permutation of itself.
-    Rows are spread over random buckets and permuted inside each bucket
-    (windows partitioned by bucket), so no task sees the whole column."""
+    Rows are spread over random buckets (as many as the session's shuffle
+    parallelism) and permuted inside each bucket (windows partitioned by
+    bucket), so no task sees the whole column."""
+    if buckets is None:
+        from earnlens.operators.ranking import choose_buckets
+        buckets = choose_buckets(df)
     b = df.withColumn("_pb", hash_unit(key, f"{seed}|b", buckets))
     w_src = Window.partitionBy("_pb").orderBy(hash_rank_key(key, f"{seed}|{col}"), key)
     w_dst = Window.partitionBy("_pb").orderBy(key)
