@@ -83,3 +83,15 @@ def normalise_state(c) -> Column:
 def normalise_gender(c) -> Column:
     """Request gender: trimmed, title case (PRJ-16); validity is DQ-09."""
     return F.initcap(F.trim(_c(c)))
+
+
+def epoch_micros(c, dtype: str) -> Column:
+    """Microseconds since 1970-01-01 of a time column, independent of the
+    session time zone: a naive (``timestamp_ntz``) wall clock is read as UTC
+    by plain arithmetic; an instant (``timestamp``) uses ``unix_micros``."""
+    c = _c(c)
+    if dtype.startswith("timestamp_ntz"):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    if dtype.startswith("timestamp"):
+        return F.unix_micros(c)
+    return c.cast("long")

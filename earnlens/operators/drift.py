@@ -80,9 +80,9 @@ def rolling_mean(df: DataFrame, key: str, value: str, n: int = dims.DRIFT_WINDOW
        keeping own rows only."""
     from earnlens.operators.ranking import choose_buckets, with_value_bucket
     t0, rest = order[0], list(order[1:])
+    from earnlens.functions.text import epoch_micros
     base = df.select(key, *order, value).withColumn(
-        "_t", F.col(t0).cast("timestamp").cast("double") if dict(df.dtypes)[t0].startswith("timestamp")
-        else F.col(t0).cast("double"))
+        "_t", epoch_micros(t0, dict(df.dtypes)[t0]).cast("double"))
     nb = n_buckets or choose_buckets(base)
     b = with_value_bucket(base, [key], "_t", nb)
     sizes = b.groupBy(key, "_b").agg(F.count("*").alias("_cnt"))

@@ -35,7 +35,7 @@ def q_stream_window(spark, sf):
 WITH b AS (SELECT round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM events),
 w AS (SELECT date_trunc('day', ts) AS ws, event_type, count(*) AS n, avg(value) AS m
       FROM events GROUP BY 1, 2)
-SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, 'value' AS feature, n,
+SELECT CAST(epoch(ws) AS BIGINT) AS window_start, event_type, 'value' AS feature, n,
        round(m, 4) AS current_mean,
        round(CASE WHEN b.std = 0 THEN 0 ELSE abs(m - b.mean) / b.std END, 4) AS z_score,
        CASE WHEN b.std = 0 THEN false ELSE abs(m - b.mean) / b.std > 2.0 END AS drifted
@@ -47,8 +47,8 @@ def q_event_time(spark, sf):
                       length="1 day", delay="1 hour", by="event_type")
     run_available(d.writeStream.format("parquet").outputMode("append").option("path", loc), loc)
     out = spark.read.parquet(loc)
-    return r4(out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-                         "event_type", "feature", "n", "current_mean", "z_score", "drifted"))
+    return r4(out.select("window_start", "event_type", "feature", "n", "current_mean", "z_score",
+                         "drifted"))
 
 
 def _stream_scores(spark, sf):

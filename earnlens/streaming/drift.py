@@ -82,7 +82,11 @@ def drift_windows(stream: DataFrame, baseline: DataFrame, features: list[str],
     """DRF-07: event-time windows. Late rows behind the watermark are dropped
     (Spark counts them in the query progress). Output per closed window
     (and ``by`` value): feature, n, current_mean, z_score, drifted."""
-    s = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    from earnlens.functions.text import epoch_micros
+    # naive wall clocks are taken as UTC instants (session-time-zone free);
+    # windows align to the epoch, so day windows are UTC days
+    s = stream.withColumn("_ts", F.timestamp_micros(epoch_micros(ts, dict(stream.dtypes)[ts])))
+    s = s.withWatermark("_ts", delay)
     w = F.window("_ts", length, slide) if slide else F.window("_ts", length)
     keys = [w.alias("window")] + ([F.col(by)] if by else [])
     agg = s.groupBy(*keys).agg(F.count("*").alias("n"),
@@ -96,6 +100,7 @@ def drift_windows(stream: DataFrame, baseline: DataFrame, features: list[str],
     j = long.join(F.broadcast(b), "feature")        # static, one row per feature
     z = F.when(F.col("baseline_std") == 0, 0.0).otherwise(
         F.abs(F.col("current_mean") - F.col("baseline_mean")) / F.col("baseline_std"))
-    return j.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+    return j.select(F.unix_seconds(F.col("window.start")).alias("window_start"),
+                    F.unix_seconds(F.col("window.end")).alias("window_end"),
                     *([by] if by else []), "feature", "n", "current_mean",
                     z.alias("z_score"), (z > threshold).alias("drifted"))

@@ -98,7 +98,9 @@ def test_event_time_stream_equals_batch(spark):
     maxts = ev_.agg(F.max("ts")).first()[0]
     b = (ev_.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type").agg(F.count("*").alias("n"))
          .where(F.col("d") + F.expr("INTERVAL 1 DAY") <= F.lit(maxts) - F.expr("INTERVAL 1 HOUR")))
-    got = {(r.window_start[:10], r.event_type, r.n) for r in s.collect()}
+    import datetime as dt
+    day = lambda secs: dt.datetime.fromtimestamp(secs, dt.timezone.utc).strftime("%Y-%m-%d")
+    got = {(day(r.window_start), r.event_type, r.n) for r in s.collect()}
     want = {(str(r.d)[:10], r.event_type, r.n) for r in b.collect()}
     assert got == want
 
