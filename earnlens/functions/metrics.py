@@ -27,3 +27,12 @@ def clamp_trio(p10, p50, p90) -> tuple[Column, Column, Column]:
     hi = F.greatest(_c(p10), _c(p50), _c(p90))
     mid = F.least(F.greatest(_c(p50), lo), hi)
     return lo, mid, hi
+
+
+def exact_mean(c, scale: int = 10) -> Column:
+    """Mean as the double nearest to the exact decimal mean: values are
+    summed as decimal(38, scale) (exact, independent of partitioning and
+    summation order), then divided. A plain double sum can land a few ulps
+    beside a half-way value and round the other way (means of cent amounts
+    often sit exactly on a half at the 5th decimal)."""
+    return F.avg(_c(c).cast(f"decimal(38,{scale})")).cast("double")

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from earnlens.functions.metrics import exact_mean
 from earnlens.operators.joins import one_row
 from earnlens.operators.ranking import distinct_prefix, exact_quantiles, exact_quantiles_long
 
@@ -75,7 +76,7 @@ def peer_benchmarks(df: DataFrame, keys=("state", "education_level"),
     lv = lv.withColumn("_lv", F.explode(F.array(F.lit(0), F.lit(1))))
     lv = lv.select("_lv", *[F.when(F.col("_lv") == 0, F.col(k)).otherwise(F.lit("\u0000")).alias(k)
                             for k in keys], "_v")
-    agg = lv.groupBy("_lv", *keys).agg(F.avg("_v").alias("mean_income"),
+    agg = lv.groupBy("_lv", *keys).agg(exact_mean("_v").alias("mean_income"),
                                         F.count("*").alias("_n"))
     med = exact_quantiles(lv, ["_lv", *keys], "_v", {"median_income": 0.5})
     j = agg.join(med, ["_lv", *keys], "left")

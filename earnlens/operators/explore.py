@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earnlens.functions.metrics import exact_mean
 from earnlens.functions.text import education_bucket
 from earnlens.operators.joins import semi, small
 from earnlens.sources import dims
@@ -33,7 +34,7 @@ def top_k(df: DataFrame, key: str, measure: str | None = None, agg: str = "avg",
         g = df.groupBy(key).agg(F.count("*").alias(out or "n"))
         val = out or "n"
     else:
-        fn = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min}[agg]
+        fn = {"avg": exact_mean, "sum": F.sum, "max": F.max, "min": F.min}[agg]
         val = out or f"{agg}_{measure}"
         g = df.groupBy(key).agg(fn(measure).alias(val), F.count("*").alias("n"))
     return g.orderBy(F.col(val).desc(), F.col(key).asc()).limit(k)
@@ -49,7 +50,7 @@ def mean_by_level_ordered(df: DataFrame, level_dim: DataFrame, level: str = "edu
                           ordinal: str = "education_ord", measure: str = INCOME) -> DataFrame:
     """AGG-02/AGG-22: mean and n per level, in dimension order; a level with
     no rows is kept with a null mean and n = 0."""
-    agg = df.groupBy(level).agg(F.avg(measure).alias("mean_income"), F.count("*").alias("n"))
+    agg = df.groupBy(level).agg(exact_mean(measure).alias("mean_income"), F.count("*").alias("n"))
     return (level_dim.join(agg, level, "left")
             .select(level, ordinal, "mean_income", F.coalesce("n", F.lit(0)).alias("n"))
             .orderBy(ordinal))
@@ -92,7 +93,7 @@ def bucket_means(df: DataFrame, group: str = "state", bucket: Column | None = No
     values (one aggregate, no value-discovery job)."""
     b = bucket if bucket is not None else education_bucket("education_level")
     d = _floor(df, floor, measure).withColumn("_bucket", b)
-    p = d.groupBy(group).pivot("_bucket", BUCKETS).agg(F.avg(measure))
+    p = d.groupBy(group).pivot("_bucket", BUCKETS).agg(exact_mean(measure))
     return p.select(group, *[F.col(x).alias(f"{x.lower()}_mean") for x in BUCKETS])
 
 
@@ -125,7 +126,7 @@ def group_summary(df: DataFrame, group: str, measures: dict[str, Column]) -> Dat
 
 def region_income(df: DataFrame, region: str = "region", measure: str = INCOME) -> DataFrame:
     """AGG-14."""
-    return group_summary(df, region, {"mean_income": F.avg(measure), "n": F.count("*")})
+    return group_summary(df, region, {"mean_income": exact_mean(measure), "n": F.count("*")})
 
 
 def region_share(df: DataFrame, region: str = "region") -> DataFrame:
@@ -138,7 +139,7 @@ def region_share(df: DataFrame, region: str = "region") -> DataFrame:
 def region_describe(df: DataFrame, region: str = "region", measure: str = INCOME) -> DataFrame:
     """AGG-17: mean, exact median (distributed selection), sample std."""
     from earnlens.operators.ranking import exact_median
-    s = group_summary(df, region, {"mean_income": F.avg(measure),
+    s = group_summary(df, region, {"mean_income": exact_mean(measure),
                                    "std_income": F.stddev_samp(measure), "n": F.count("*")})
     med = exact_median(df, [region], measure, "median_income")
     return s.join(med, region, "left").select(region, "mean_income", "median_income",
@@ -148,8 +149,8 @@ def region_describe(df: DataFrame, region: str = "region", measure: str = INCOME
 def state_summary(df: DataFrame, state: str = "state", measure: str = INCOME,
                   lq: str = "location_quotient") -> DataFrame:
     """AGG-16: mean income, count and mean location quotient per state."""
-    return group_summary(df, state, {"mean_income": F.avg(measure), "n": F.count("*"),
-                                     "mean_lq": F.avg(lq)})
+    return group_summary(df, state, {"mean_income": exact_mean(measure), "n": F.count("*"),
+                                     "mean_lq": exact_mean(lq)})
 
 
 def headline_tiles(df: DataFrame, state: str = "state", occupation: str = "occupation",
@@ -160,13 +161,13 @@ def headline_tiles(df: DataFrame, state: str = "state", occupation: str = "occup
     One grouping-sets aggregate over (state), (occupation), () and a second
     tiny aggregate that folds its rows; no joins."""
     g = (df.groupingSets([[state], [occupation], []], state, occupation)
-         .agg(F.count("*").alias("n"), F.sum(measure).alias("s"),
+         .agg(F.count("*").alias("n"), F.sum(F.col(measure).cast("decimal(38,10)")).alias("s"),
               F.grouping_id().alias("gid")))
     best = lambda gid, key: F.min(F.when(F.col("gid") == gid, F.struct(
         (-F.col("n")).alias("neg_n"), F.col(key).alias("v")))).getField("v")
     return g.agg(
         F.max(F.when(F.col("gid") == 3, F.col("n"))).alias("rows"),
-        F.max(F.when(F.col("gid") == 3, F.col("s") / F.col("n"))).alias("mean_income"),
+        F.max(F.when(F.col("gid") == 3, F.col("s") / F.col("n"))).cast("double").alias("mean_income"),
         best(1, state).alias("top_state"),
         best(2, occupation).alias("top_occupation"),
     )
@@ -218,7 +219,7 @@ def within_group_gap(df: DataFrame, group: str = "occupation", gender: str = "ge
                      measure: str = INCOME) -> DataFrame:
     """AGG-23: mean by (group, gender) pivoted; groups lacking either gender
     dropped; gap in money and in % of the female mean."""
-    p = df.groupBy(group).pivot(gender, ["Male", "Female"]).agg(F.avg(measure))
+    p = df.groupBy(group).pivot(gender, ["Male", "Female"]).agg(exact_mean(measure))
     p = p.select(group, F.col("Male").alias("male_mean"), F.col("Female").alias("female_mean"))
     p = p.dropna(subset=["male_mean", "female_mean"])
     return p.withColumns({"gap": F.col("male_mean") - F.col("female_mean"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earnlens.functions.hashing import hash_rank_key, hash_unit
+from earnlens.functions.metrics import exact_mean
 from earnlens.operators.joins import lookup, lookup_with_default, one_row
 from earnlens.sources import dims
 
@@ -46,7 +47,7 @@ def hash_sample(df: DataFrame, key: str, n: int = 500, seed: int = 42) -> DataFr
 def group_means(df: DataFrame, key: str, target: str = INCOME) -> DataFrame:
     """(key string, mean double, n bigint); the key is cast to text."""
     return (df.groupBy(F.col(key).cast("string").alias(key))
-            .agg(F.avg(target).alias("mean"), F.count("*").alias("n")))
+            .agg(exact_mean(target).alias("mean"), F.count("*").alias("n")))
 
 
 def target_encode(df: DataFrame, means: DataFrame, key: str, out: str,
@@ -67,7 +68,7 @@ def with_group_mean(df: DataFrame, key: str, out: str, target: str = INCOME) ->
     aggregate joined back (bounded by key cardinality, size-checked
     broadcast) instead of ``avg().over(partitionBy(key))``, which would put
     a hot key's rows in one task."""
-    m = df.groupBy(key).agg(F.avg(target).alias(out))
+    m = df.groupBy(key).agg(exact_mean(target).alias(out))
     return df.join(m, key, "left")
 
 

@@ -18,7 +18,7 @@ def bucket_col():
 
 
 @query("top_groups_by_mean_income", P + """
-SELECT occupation, round(avg(annual_income), 4) AS mean_income, count(*) AS n
+SELECT occupation, round(avg(CAST(annual_income AS DECIMAL(38,10))), 4) AS mean_income, count(*) AS n
 FROM persons WHERE annual_income >= 100000
 GROUP BY occupation ORDER BY mean_income DESC, occupation LIMIT 10""")
 def q_top_groups(spark, sf):
@@ -26,8 +26,8 @@ def q_top_groups(spark, sf):
 
 
 @query("top_states_by_mean_income", P + """
-SELECT state, round(avg(annual_income), 4) AS mean_income, count(*) AS n
-FROM persons GROUP BY state ORDER BY avg(annual_income) DESC, state LIMIT 20""")
+SELECT state, round(avg(CAST(annual_income AS DECIMAL(38,10))), 4) AS mean_income, count(*) AS n
+FROM persons GROUP BY state ORDER BY avg(CAST(annual_income AS DECIMAL(38,10))) DESC, state LIMIT 20""")
 def q_top_state_income(spark, sf):
     return r4(ex.top_k(tb.persons(spark, sf), "state", "annual_income", "avg", 20,
                        out="mean_income"))
@@ -38,7 +38,7 @@ SELECT d.education_level, d.education_ord, round(a.mean_income, 4) AS mean_incom
        coalesce(a.n, 0) AS n
 FROM (VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('3-MEDIUM', 3), ('4-NOT SPECIFIED', 4), ('5-LOW', 5))
        AS d(education_level, education_ord)
-LEFT JOIN (SELECT education_level, avg(annual_income) AS mean_income, count(*) AS n
+LEFT JOIN (SELECT education_level, avg(CAST(annual_income AS DECIMAL(38,10))) AS mean_income, count(*) AS n
            FROM persons GROUP BY 1) a USING (education_level)""")
 def q_level_ordered(spark, sf):
     return r4(ex.mean_by_level_ordered(tb.persons(spark, sf), tb.education(spark)))
@@ -83,16 +83,16 @@ def q_top_state_counts(spark, sf):
 
 
 @query("top_state_lq", PWC + """
-SELECT state, round(avg(location_quotient), 4) AS mean_lq, count(*) AS n FROM cohort
-GROUP BY 1 ORDER BY avg(location_quotient) DESC, state LIMIT 20""")
+SELECT state, round(avg(CAST(location_quotient AS DECIMAL(38,10))), 4) AS mean_lq, count(*) AS n FROM cohort
+GROUP BY 1 ORDER BY avg(CAST(location_quotient AS DECIMAL(38,10))) DESC, state LIMIT 20""")
 def q_top_state_lq(spark, sf):
     return r4(ex.top_k(tb.cohort(spark, sf), "state", "location_quotient", "avg", 20,
                        out="mean_lq"))
 
 
 @query("top_wage_occupations", PWC + """
-SELECT occupation, round(avg(annual_mean_wage), 4) AS mean_wage, count(*) AS n FROM cohort
-GROUP BY 1 ORDER BY avg(annual_mean_wage) DESC, occupation LIMIT 10""")
+SELECT occupation, round(avg(CAST(annual_mean_wage AS DECIMAL(38,10))), 4) AS mean_wage, count(*) AS n FROM cohort
+GROUP BY 1 ORDER BY avg(CAST(annual_mean_wage AS DECIMAL(38,10))) DESC, occupation LIMIT 10""")
 def q_top_wage_occ(spark, sf):
     return r4(ex.top_k(tb.cohort(spark, sf), "occupation", "annual_mean_wage", "avg", 10,
                        out="mean_wage"))
@@ -118,9 +118,9 @@ def q_dominant_counts(spark, sf):
 
 _BM = """bm AS (
   SELECT state,
-         avg(CASE WHEN b = 'Advanced' THEN annual_income END) AS advanced_mean,
-         avg(CASE WHEN b = 'Bachelor' THEN annual_income END) AS bachelor_mean,
-         avg(CASE WHEN b = 'Lower' THEN annual_income END) AS lower_mean
+         avg(CAST(CASE WHEN b = 'Advanced' THEN annual_income END AS DECIMAL(38,10))) AS advanced_mean,
+         avg(CAST(CASE WHEN b = 'Bachelor' THEN annual_income END AS DECIMAL(38,10))) AS bachelor_mean,
+         avg(CAST(CASE WHEN b = 'Lower' THEN annual_income END AS DECIMAL(38,10))) AS lower_mean
   FROM (SELECT *, """ + BUCKET + """ AS b FROM persons WHERE annual_income >= 100000)
   GROUP BY state),
 prem AS (
@@ -145,7 +145,7 @@ def q_premium_market(spark, sf):
 
 
 @query("region_income", P + """
-SELECT region, round(avg(annual_income), 4) AS mean_income, count(*) AS n FROM persons GROUP BY 1""")
+SELECT region, round(avg(CAST(annual_income AS DECIMAL(38,10))), 4) AS mean_income, count(*) AS n FROM persons GROUP BY 1""")
 def q_region_income(spark, sf):
     return r4(ex.region_income(tb.persons(spark, sf)))
 
@@ -158,7 +158,7 @@ def q_region_share(spark, sf):
 
 
 @query("region_describe", P + """
-SELECT region, round(avg(annual_income), 4) AS mean_income,
+SELECT region, round(avg(CAST(annual_income AS DECIMAL(38,10))), 4) AS mean_income,
        round(quantile_cont(annual_income, 0.5), 4) AS median_income,
        round(stddev_samp(annual_income), 4) AS std_income, count(*) AS n
 FROM persons GROUP BY 1""")
@@ -167,8 +167,8 @@ def q_region_describe(spark, sf):
 
 
 @query("state_summary", PWC + """
-SELECT state, round(avg(annual_income), 4) AS mean_income, count(*) AS n,
-       round(avg(location_quotient), 4) AS mean_lq FROM cohort GROUP BY 1""")
+SELECT state, round(avg(CAST(annual_income AS DECIMAL(38,10))), 4) AS mean_income, count(*) AS n,
+       round(avg(CAST(location_quotient AS DECIMAL(38,10))), 4) AS mean_lq FROM cohort GROUP BY 1""")
 def q_state_summary(spark, sf):
     return r4(ex.state_summary(tb.cohort(spark, sf)))
 
@@ -176,7 +176,7 @@ def q_state_summary(spark, sf):
 @query("headline_tiles", P + """,
 f AS (SELECT * FROM persons)
 SELECT (SELECT count(*) FROM f) AS rows,
-       (SELECT round(avg(annual_income), 4) FROM f) AS mean_income,
+       (SELECT round(avg(CAST(annual_income AS DECIMAL(38,10))), 4) FROM f) AS mean_income,
        (SELECT state FROM f GROUP BY 1 ORDER BY count(*) DESC, state LIMIT 1) AS top_state,
        (SELECT occupation FROM f GROUP BY 1 ORDER BY count(*) DESC, occupation LIMIT 1)
          AS top_occupation""")
@@ -193,7 +193,7 @@ f AS (SELECT * FROM persons WHERE region IN ('AMERICA', 'EUROPE', 'ASIA')
       AND education_level IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
       AND annual_income BETWEEN 150000 AND 400000)
 SELECT (SELECT count(*) FROM f) AS rows,
-       (SELECT round(avg(annual_income), 4) FROM f) AS mean_income,
+       (SELECT round(avg(CAST(annual_income AS DECIMAL(38,10))), 4) FROM f) AS mean_income,
        (SELECT state FROM f GROUP BY 1 ORDER BY count(*) DESC, state LIMIT 1) AS top_state,
        (SELECT occupation FROM f GROUP BY 1 ORDER BY count(*) DESC, occupation LIMIT 1)
          AS top_occupation""")
@@ -232,8 +232,8 @@ _GAP = """gap AS (
   SELECT occupation, male_mean, female_mean, male_mean - female_mean AS gap,
          (male_mean - female_mean) / female_mean * 100 AS gap_pct
   FROM (SELECT occupation,
-               avg(CASE WHEN gender = 'Male' THEN annual_income END) AS male_mean,
-               avg(CASE WHEN gender = 'Female' THEN annual_income END) AS female_mean
+               avg(CAST(CASE WHEN gender = 'Male' THEN annual_income END AS DECIMAL(38,10))) AS male_mean,
+               avg(CAST(CASE WHEN gender = 'Female' THEN annual_income END AS DECIMAL(38,10))) AS female_mean
         FROM persons GROUP BY 1)
   WHERE male_mean IS NOT NULL AND female_mean IS NOT NULL)"""
 
@@ -300,12 +300,13 @@ def q_roundtrip(spark, sf):
 
 
 @query("education_bucket_counts", P + """
-SELECT """ + BUCKET + """ AS bucket, count(*) AS n, round(avg(annual_income), 4) AS mean_income
+SELECT """ + BUCKET + """ AS bucket, count(*) AS n, round(avg(CAST(annual_income AS DECIMAL(38,10))), 4) AS mean_income
 FROM persons GROUP BY 1""")
 def q_bucket(spark, sf):
     p = tb.persons(spark, sf).withColumn("bucket", bucket_col())
+    from earnlens.functions.metrics import exact_mean
     return r4(p.groupBy("bucket").agg(F.count("*").alias("n"),
-                                      F.avg("annual_income").alias("mean_income")))
+                                      exact_mean("annual_income").alias("mean_income")))
 
 
 @query("region_lookup", P + """

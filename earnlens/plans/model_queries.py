@@ -59,7 +59,7 @@ def q_context_lookup(spark, sf):
 
 @query("peer_benchmarks", PWC + """
 SELECT state, education_level, round(quantile_cont(annual_income, 0.5), 4) AS median_income,
-       round(avg(annual_income), 4) AS mean_income,
+       round(avg(CAST(annual_income AS DECIMAL(38,10))), 4) AS mean_income,
        CASE WHEN GROUPING(state, education_level) = 3 THEN 0 ELSE count(*) END AS group_size
 FROM cohort GROUP BY GROUPING SETS ((state, education_level), ())""")
 def q_peer_benchmarks(spark, sf):
@@ -107,8 +107,8 @@ def q_hash_sample(spark, sf):
         "person_id", "state", "annual_income")
 
 
-_ENC = """tm AS (SELECT occupation, avg(annual_income) AS m FROM split WHERE split = 'train' GROUP BY 1),
-sm AS (SELECT state, avg(annual_income) AS m FROM split WHERE split = 'train' GROUP BY 1)"""
+_ENC = """tm AS (SELECT occupation, avg(CAST(annual_income AS DECIMAL(38,10))) AS m FROM split WHERE split = 'train' GROUP BY 1),
+sm AS (SELECT state, avg(CAST(annual_income AS DECIMAL(38,10))) AS m FROM split WHERE split = 'train' GROUP BY 1)"""
 
 
 @query("target_encoding", S + "," + _ENC + """
@@ -125,8 +125,8 @@ def q_target_encoding(spark, sf):
 
 
 @query("group_mean_window", PWC + """
-SELECT person_id, round(avg(annual_income) OVER (PARTITION BY occupation), 4) AS occ_mean_income,
-       round(avg(annual_income) OVER (PARTITION BY state), 4) AS state_mean_income FROM cohort""")
+SELECT person_id, round(avg(CAST(annual_income AS DECIMAL(38,10))) OVER (PARTITION BY occupation), 4) AS occ_mean_income,
+       round(avg(CAST(annual_income AS DECIMAL(38,10))) OVER (PARTITION BY state), 4) AS state_mean_income FROM cohort""")
 def q_group_mean_window(spark, sf):
     c = tb.cohort(spark, sf)
     c = fe.with_group_mean(c, "occupation", "occ_mean_income")
@@ -137,8 +137,8 @@ def q_group_mean_window(spark, sf):
 @query("leakage_gap", S + """
 SELECT t.state, round(t.m, 4) AS train_mean, round(f.m, 4) AS full_mean,
        round(abs(t.m - f.m), 4) AS abs_gap
-FROM (SELECT state, avg(annual_income) AS m FROM split WHERE split = 'train' GROUP BY 1) t
-JOIN (SELECT state, avg(annual_income) AS m FROM split GROUP BY 1) f USING (state)""")
+FROM (SELECT state, avg(CAST(annual_income AS DECIMAL(38,10))) AS m FROM split WHERE split = 'train' GROUP BY 1) t
+JOIN (SELECT state, avg(CAST(annual_income AS DECIMAL(38,10))) AS m FROM split GROUP BY 1) f USING (state)""")
 def q_leakage(spark, sf):
     s = split_cohort(spark, sf)
     return r4(fe.leakage_gap(fe.group_means(s.where("split = 'train'"), "state"),
