@@ -16,7 +16,7 @@ PERSONS = """persons AS (
 
 WAGES = """wage_cells AS (
   SELECT c.c_mktsegment AS occupation, n.n_name AS state, count(*) AS n,
-         avg(o.o_totalprice) AS annual_mean_wage
+         avg(CAST(o.o_totalprice AS DECIMAL(38,10))) AS annual_mean_wage
   FROM orders o
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey

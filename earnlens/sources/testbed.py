@@ -88,8 +88,9 @@ def build_wages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-(occupation, state) wage statistics over all orders."""
     orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
     j = orders.join(customers_located(spark, sf_dir), orders.o_custkey == F.col("c_custkey"))
+    from earnlens.functions.metrics import exact_mean
     cells = j.groupBy("occupation", "state").agg(
-        F.count("*").alias("n"), F.avg("o_totalprice").alias("annual_mean_wage"))
+        F.count("*").alias("n"), exact_mean("o_totalprice").alias("annual_mean_wage"))
     # The cell table is bounded by #occupations x #states, so the three
     # marginal totals are taken with windows over it.
     from pyspark.sql import Window
