@@ -114,3 +114,25 @@ def test_monitor_stream_matches_batch_last_n(spark):
         m = last.agg(F.avg("value"), F.count("*")).first()
         assert r.window_size == m[1] and abs(r.current_mean - round(m[0], 2)) < 0.011
         assert r.total_observations == e.where(F.col("event_type") == r.monitor).count()
+
+
+def test_booster_save_load_roundtrip(spark, planted, tmp_path):
+    from earnlens.modeling.booster import QuantileBoosterModel
+    m = QuantileBooster(["x1", "x2"], rounds=2, step=0.5, max_depth=2, subsample=1.0,
+                        colsample=1.0, reg_lambda=1.0).fit(planted)
+    path = str(tmp_path / "booster")
+    m.save(path)
+    back = QuantileBoosterModel.load(spark, path)
+    a = m.transform(planted.where("id < 50")).select("id", "q10", "q50", "q90").orderBy("id").collect()
+    b = back.transform(planted.where("id < 50")).select("id", "q10", "q50", "q90").orderBy("id").collect()
+    assert a == b
+
+
+def test_artefact_save_and_load(spark, tmp_path):
+    from earnlens.sources.io import load_artefact, save_artefact
+    df = spark.createDataFrame([("a", 1.0)], "key string, mean double")
+    save_artefact(df, str(tmp_path), "group_means")
+    assert load_artefact(spark, str(tmp_path), "group_means").count() == 1
+    assert load_artefact(spark, str(tmp_path), "metrics", required=False) is None
+    with pytest.raises(FileNotFoundError):
+        load_artefact(spark, str(tmp_path), "baseline")
