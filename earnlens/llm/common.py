@@ -33,12 +33,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffle(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit into ``limit``
-    bytes; unchanged otherwise, so that the join shuffles. ``row_bytes`` is
-    the size of a row in memory. ``df`` should be a stage (it is counted)."""
+def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the counted rows of ``df`` (a stage) fit into ``limit`` bytes;
+    ``row_bytes`` is the size of a row in memory."""
     most = limit // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return df.limit(most + 1).count() <= most
+
+
+def small_or_shuffle(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it :func:`fits`; unchanged otherwise,
+    so that the join shuffles."""
+    return F.broadcast(df) if fits(df, row_bytes, limit) else df
 
 
 def text_or_empty(name: str = "text") -> Column:

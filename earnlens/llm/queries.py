@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earnlens.llm import exact_dedup, line_dedup
+from earnlens.llm import exact_dedup, line_dedup, minhash_dedup, substring_dedup
 from earnlens.llm.common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -45,3 +45,38 @@ from m group by doc_id""")
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_minhash_dedup", r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as ws from documents),
+p as (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0),
+s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as sh from p),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as n from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from o join n x on o.a = x.doc_id join n y on o.b = y.doc_id where 100 * o.n >= 85 * (x.n + y.n - o.n)),
+u as (select a, b from e union all select b, a from e),
+r as (select doc_id as v, doc_id as c from documents union select r.v, u.b from r join u on r.c = u.a),
+m as (select v, min(c) as c from r group by v)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id, d.doc_id = m.c as kept
+from documents d left join n on d.doc_id = n.doc_id join m on d.doc_id = m.v""")
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup", r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+p as (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w where len(ws) >= 35),
+k as (select doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) as h from p),
+r as (select doc_id, i from (select *, count(*) over (partition by h) as n from k) where n > 1),
+c as (select distinct doc_id, unnest(range(i, i + 35)) as j from r),
+x as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as j from w),
+y as (select x.doc_id, x.j, x.ws[x.j] as word, c.j is not null as gone from x left join c on x.doc_id = c.doc_id and x.j = c.j),
+z as (select doc_id, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by j) filter (where not gone) as kept
+      from y group by doc_id)
+select w.doc_id, len(w.ws) as n_words, coalesce(z.n_removed, 0) as n_removed, sha256(coalesce(z.kept, '')) as kept_sha256
+from w left join z on w.doc_id = z.doc_id""")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.drop_repeated_runs(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
