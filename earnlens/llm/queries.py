@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earnlens.llm import exact_dedup, line_dedup, minhash_dedup, substring_dedup
+from earnlens.llm import exact_dedup, line_dedup, minhash_dedup, packing, substring_dedup
 from earnlens.llm.common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -80,3 +80,15 @@ from w left join z on w.doc_id = z.doc_id""")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.drop_repeated_runs(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Documents packed with the 50k byte-level vocabulary."""
+    import public_tokenizers
+    pieces = packing.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(pieces)
