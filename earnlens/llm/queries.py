@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earnlens.llm import chat, exact_dedup, line_dedup, minhash_dedup, packing, substring_dedup, toxicity
+from earnlens.llm import chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, substring_dedup, toxicity
 from earnlens.llm.common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -135,3 +135,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
     messages = chat.fold_events(chat.turns_as_events(turns.unionByName(more)))
     return chat.read_back(chat.format_chats(messages))
+
+
+@query("op1_html_extract")
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
