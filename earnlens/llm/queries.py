@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earnlens.llm import chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, substring_dedup, toxicity
+from earnlens.llm import chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, substring_dedup, topk_search, toxicity
 from earnlens.llm.common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -140,3 +140,19 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html_extract")
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+@query("op7_topk_search", """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as q from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
+      from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as "rank", vec_id, score from s)
+select query_id, "rank", vec_id, score from r where "rank" <= 20""")
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    good = F.col("embedding").isNotNull() & F.forall(
+        "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    vectors = rows.where(good).select(F.col("vec_id").cast("long").alias("id"), F.transform(
+        "embedding", lambda x: F.floor(64 * x.cast("double")).cast("long")).alias("v"))
+    return topk_search.top_k(vectors, vectors.where("id % 20 = 0"), 20)
