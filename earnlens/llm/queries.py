@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earnlens.llm import chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, substring_dedup, topk_search, toxicity
+from earnlens.llm import chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, pieces, substring_dedup, topk_search, toxicity
 from earnlens.llm.common import read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -156,3 +156,9 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = rows.where(good).select(F.col("vec_id").cast("long").alias("id"), F.transform(
         "embedding", lambda x: F.floor(64 * x.cast("double")).cast("long")).alias("v"))
     return topk_search.top_k(vectors, vectors.where("id % 20 = 0"), 20)
+
+
+@query("op9_piece_encoding")
+def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return pieces.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

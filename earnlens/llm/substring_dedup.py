@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earnlens.llm.common import fits, stage, text_or_empty
+from earnlens.llm.common import SPACE, fits, stage, text_or_empty
 from earnlens.llm.words import Rolling, mix, word_hashes
 
 #: Consecutive words whose repetition is removed, and words of an anchor.
@@ -131,13 +131,16 @@ def _paths(window: int, k: int):
     return run
 
 
-def _cut(window: int):
-    """Texts with their runs and verified windows to the words that stay."""
+def _cut(window: int, columns: list[str], text: str):
+    """Texts with their runs and verified windows to the words that stay;
+    other columns pass through. A text that loses nothing is not changed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, runs, starts in zip(*(batch.column(c) for c in ("text", "runs", "starts"))):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+            for value, runs, starts in zip(*(batch.column(c) for c in (text, "_runs", "_starts"))):
+                value = value.as_py()
+                words = (value or "").encode("utf-8", "surrogatepass").split()
+                n.append(len(words))
                 drop = np.zeros(len(words) + 1, dtype=np.int64)
                 for r in runs.as_py() or ():
                     drop[r["start"]] += 1
@@ -145,14 +148,14 @@ def _cut(window: int):
                 for a, b in _merge(np.array(sorted(set(starts.as_py() or ())), dtype=np.int64), window):
                     drop[a] += 1
                     drop[b] -= 1
-                n.append(len(words))
                 if drop.any():
                     words = [words[i] for i in np.flatnonzero(np.cumsum(drop[:-1]) == 0)]
+                    value = b" ".join(words).decode("utf-8", "surrogatepass")
                 gone.append(n[-1] - len(words))
-                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept"])
+                kept.append(value)
+            own = [pa.array(kept, pa.string()) if c == text else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(gone, pa.int64())],
+                                             names=[*columns, "_n_words", "_n_removed"])
     return run
 
 
@@ -188,6 +191,26 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                        F.xxhash64(text_or_empty(text)).alias("t"), text_or_empty(text).alias("text"))
 
 
+def cut_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW,
+                      k: int = KMER) -> DataFrame:
+    """The rows of ``docs`` with all their columns and ``_n_words,
+    _n_removed``. A text that loses words becomes the words that stay, joined
+    by one space; any other is left as it is."""
+    cover = stage(repeated_runs(docs, id_col, text, window, k).select(
+        F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("runs").alias("_runs"), F.col("starts").alias("_starts")), "bruijn-cover")
+    key = ["_d", "_t"]
+    rows = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2 ** 63))), "_t": F.xxhash64(text_or_empty(text))})
+    if fits(cover, 24):  # then only the texts that lose words are shuffled
+        some = F.broadcast(cover.select(*key))
+        none = [F.lit(None).cast(cover.schema[c].dataType).alias(c) for c in ("_runs", "_starts")]
+        whole = rows.join(some, key, "left_anti").select(*docs.columns, *none)
+        rows = rows.join(some, key, "left_semi").join(cover, key).select(*docs.columns, "_runs", "_starts").unionByName(whole)
+    else:
+        rows = rows.join(cover, key, "left").select(*docs.columns, "_runs", "_starts")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
+    return rows.mapInArrow(_cut(window, docs.columns, text), schema)
+
+
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW,
                        k: int = KMER) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_removed, kept`` (the words
@@ -199,14 +222,8 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     that repeat id and text repeat all their windows, and lose them. A null id
     is allowed. Other columns are ignored; an empty table gives no rows.
     """
-    rows = keyed(docs, id_col, text).withColumn("doc_id", F.when(F.col("d") != F.lit(-(2 ** 63)), F.col("d")))
-    cover = stage(repeated_runs(docs, id_col, text, window, k), "bruijn-cover")
-    if fits(cover, 24):
-        some = F.broadcast(cover.select(*KEY))
-        whole = rows.join(some, KEY, "left_anti").select(
-            "doc_id", "text", F.lit(None).cast(cover.schema["runs"].dataType).alias("runs"),
-            F.lit(None).cast("array<int>").alias("starts"))
-        rows = rows.join(some, KEY, "left_semi").join(cover, KEY).select("doc_id", "text", "runs", "starts").unionByName(whole)
-    else:
-        rows = rows.join(cover, KEY, "left").select("doc_id", "text", "runs", "starts")
-    return rows.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    out = cut_repeated_runs(rows, window=window, k=k)
+    words = F.btrim(F.regexp_replace("text", SPACE, " "), F.lit(" "))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
+                      F.when(F.col("_n_removed") > 0, F.col("text")).otherwise(words).alias("kept"))

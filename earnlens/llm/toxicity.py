@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -366,3 +367,16 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     schema = "doc_id long, score double" + (", spans array<struct<start: int, stop: int>>" if spans else "")
     return rows.mapInArrow(_score(model, spans), schema)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` scored below ``threshold``, with all their columns;
+    filtered where they are read, without a shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = _score(model, False)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            rows = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            scores = next(one(iter([rows]))).column("score")
+            yield batch.filter(pa.compute.less(scores, threshold))
+    return docs.mapInArrow(run, docs.schema)
