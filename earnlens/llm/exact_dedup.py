@@ -27,9 +27,10 @@ def surviving_heads(docs: DataFrame, text: str = "text", prefix: int = PREFIX_CH
     t = docs.select(normalised(text).alias("t"))
     heads = stage(t.select(F.length("t").alias("n_len"),
                            F.xxhash64(F.substring("t", 1, prefix)).alias("head")), "exact-heads")
-    lengths = heads.groupBy("n_len").agg(F.count("*").alias("n")).where("n > 1").select("n_len")
-    return stage(heads.join(lengths, "n_len", "left_semi").groupBy("n_len", "head")
-                 .agg(F.count("*").alias("n")).where("n > 1").select("n_len", "head"), "exact-groups")
+    # counted before any shuffle, so that a group of very many copies is one row
+    counts = heads.groupBy("n_len", "head").agg(F.count("*").alias("n"))
+    lengths = counts.groupBy("n_len").agg(F.sum("n").alias("all")).where("`all` > 1").select("n_len")
+    return stage(counts.join(lengths, "n_len", "left_semi").where("n > 1").select("n_len", "head"), "exact-groups")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
