@@ -10,8 +10,8 @@
    Survivors are verified on their full sets.
 4. Links become components. A bucket whose members are not all in one
    component is gone over again: its members outside its largest component
-   meet all members of other components, in blocks; so no link between two
-   components of a bucket is left out, and none inside a component is needed.
+   meet all members of other components, in blocks; so no two components that
+   share a bucket and have a link stay apart, and none inside one is needed.
 5. New links that step 4 finds join the components once more.
 """
 
@@ -40,8 +40,8 @@ BATCH = 24
 THRESHOLD = 85
 #: Chance of dropping a pair that is at the threshold or above, by the posterior.
 MISS = 1e-6
-#: Members of the two sides of a block in step 4.
-BLOCK_FEW, BLOCK_ALL = 512, 2048
+#: Shingles of the two sides of a block in step 4 (about: members are dealt by a hash).
+BLOCK_FEW, BLOCK_ALL = 250_000, 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _rng.integers(0, 2 ** 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,41 +127,58 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _blocks(threshold: float, miss: float):
-    """Sorted rows of blocks (key ``g``, ``few`` first) to plausible pairs of
-    different components. Keeps one block in memory."""
-    empty = pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(t.as_py(), width).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(own, pa.binary())], names=["d", "members"])
+    return run
+
+
+def _blocks(percent: int, miss: float):
+    """Sorted rows of blocks (key ``bucket, fb, ab``) to links between
+    different components. Pairs that stay plausible are verified on their full
+    sets, the likeliest first, until one links a member with a component; a
+    pair that shares several bands is looked at in the first. Keeps one block
+    in memory."""
+    columns = ("few", "band", "d", "c", "sig", "members")
+
+    def linked(a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
 
-    def pairs(rows: list[tuple]) -> pa.RecordBatch:
-        few = [r for r in rows if r[1]]
-        rest = [r for r in rows if not r[1]]
-        if not few or not rest:
-            return empty
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        rest = [r for r in rows if not r[0]]
         sig = np.frombuffer(b"".join(r[4] for r in rest), dtype=np.uint32).reshape(len(rest), HASHES)
         ids, comp = (np.array([r[i] for r in rest], dtype=np.int64) for i in (2, 3))
-        out_a, out_b = [], []
-        for _, _, d, c, s in few:
+        sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rest]
+        out = []
+        for _, band, d, c, s, members in (r for r in rows if r[0]):
+            own, one = np.frombuffer(s, dtype=np.uint32), np.frombuffer(members, dtype=np.uint64)
             other = np.flatnonzero(comp != c)
-            if len(other):
-                found = other[plausible(np.frombuffer(s, dtype=np.uint32)[None], sig[other], threshold, miss)]
-                out_a.append(np.minimum(ids[found], d))
-                out_b.append(np.maximum(ids[found], d))
-        if not out_a:
-            return empty
-        return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
+            other = other[plausible(own[None], sig[other], percent / 100, miss)]
+            equal = sig[other] == own
+            first = equal.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            likely = np.argsort(-equal.sum(axis=1), kind="stable")
+            met = set()
+            for i in other[likely[first[likely] == band]].tolist():
+                if comp[i] not in met and linked(one, sets[i]):
+                    met.add(comp[i])
+                    out.append((min(d, int(ids[i])), max(d, int(ids[i]))))
+        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "fb", "ab"))))
-            for key, *row in zip(keys, *(batch.column(c).to_pylist() for c in ("few", "d", "c", "sig"))):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "fb", "ab")))
+            for key, *row in zip(keys, *(batch.column(c).to_pylist() for c in columns)):
                 if key != at:
                     if rows:
-                        yield pairs(rows)
+                        yield links(rows)
                     at, rows = key, []
-                rows.append((key, *row))
+                rows.append(tuple(row))
         if rows:
-            yield pairs(rows)
+            yield links(rows)
     return run
 
 
@@ -191,11 +208,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = stage(signed.where("n_shingles > 0").groupBy("set").agg(F.min("d").alias("rep")), "near-classes")
     reps = signed.where("n_shingles > 0").join(
         classes.select(F.col("set").alias("s"), F.col("rep").alias("r")),
-        (F.col("set") == F.col("s")) & (F.col("d") == F.col("r"))).select("d", "sig")
+        (F.col("set") == F.col("s")) & (F.col("d") == F.col("r"))).select("d", "n_shingles", "sig")
     reps = stage(reps, "near-reps")
 
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * 4 * ROWS + 1, 4 * ROWS)) for i in range(BANDS)])
-    in_band = reps.select("d", F.explode(keys).alias("bucket"))
+    in_band = reps.select("d", F.posexplode(keys).alias("band", "bucket"))
     buckets = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("d").alias("pivot")).where("n > 1")
     shared = stage(in_band.join(buckets, "bucket"), "near-buckets")
 
@@ -211,9 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = _exact(likely, texts, width, percent)
     found = components(links)
 
-    again = _again(shared, found, reps, percent / 100, miss)
-    if again is not None:
-        more = _exact(again, texts, width, percent)
+    more = _between(shared, found, reps, texts, width, percent, miss)
+    if more is not None:
         found = components(links.unionByName(more))
 
     named = classes.join(found, F.col("rep") == F.col("v"), "left").select(
@@ -226,25 +242,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.col("doc_id").eqNullSafe(back("c")).alias("kept"))
 
 
-def _again(shared: DataFrame, found: DataFrame, reps: DataFrame, threshold: float, miss: float) -> DataFrame | None:
-    """Plausible pairs between different components that share a bucket, or
-    None if every bucket lies in one component."""
-    member = shared.where("n > 2").join(found, F.col("d") == F.col("v"), "left").select(
-        "bucket", "n", "d", F.coalesce("component", "d").alias("c"))
-    member = stage(member, "near-members")
-    sizes = member.groupBy("bucket", "n", "c").agg(F.count("*").alias("m"))
-    split = sizes.groupBy("bucket", "n").agg(F.max_by("c", "m").alias("main"), F.max("m").alias("most")).where("most < n")
-    split = stage(split.select("bucket", "n", "main", (F.col("n") - F.col("most")).alias("f")), "near-split")
+def _between(shared: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int,
+             miss: float) -> DataFrame | None:
+    """Links between different components that share a bucket, at least one
+    for every two components that have any; None if every bucket lies in one
+    component."""
+    member = shared.where("n > 2").select("bucket", "band", "d").join(found, F.col("d") == F.col("v"), "left").select(
+        "bucket", "band", "d", F.coalesce("component", "d").alias("c"))
+    member = stage(member.join(reps.select("d", "n_shingles"), "d"), "near-members")
+    sizes = member.groupBy("bucket", "c").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
+    split = sizes.groupBy("bucket").agg(
+        F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts"), F.sum("w").alias("w"),
+        F.max_by("w", F.struct("m", "c")).alias("main_w")).where("parts > 1")
+    ceil = lambda c, most: F.ceil(c / most).cast("int")
+    split = stage(split.select("bucket", "main", ceil(F.col("w") - F.col("main_w"), BLOCK_FEW).alias("nf"),
+                               ceil(F.col("w"), BLOCK_ALL).alias("na")), "near-split")
     if not split.limit(1).count():
         return None
-    at = member.drop("n").join(split, "bucket").join(reps, "d")
-    at = at.withColumns({"nf": F.ceil(F.col("f") / BLOCK_FEW).cast("int"), "na": F.ceil(F.col("n") / BLOCK_ALL).cast("int")})
-    own_f, own_a = (F.pmod(F.xxhash64("d"), F.col(k)).cast("int") for k in ("nf", "na"))
+    at = stage(member.join(split, "bucket"), "near-apart")
+    ids = stage(at.select(F.col("d").alias("i")).distinct(), "near-apart-ids")
+    some = texts.join(small_or_shuffle(ids, 16), F.col("d") == F.col("i"), "left_semi")
+    sets = some.mapInArrow(_sets(width), "d long, members binary").join(reps.select("d", "sig"), "d")
+    at = at.join(stage(sets, "near-sets"), "d")
+    own = lambda k: F.pmod(F.xxhash64("d"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    few = at.where("c <> main").select("bucket", own_f.alias("fb"), every("na").alias("ab"), F.lit(True).alias("few"), "d", "c", "sig")
-    rest = at.select("bucket", every("nf").alias("fb"), own_a.alias("ab"), F.lit(False).alias("few"), "d", "c", "sig")
-    dealt = few.unionByName(rest).repartition("bucket", "fb", "ab").sortWithinPartitions("bucket", "fb", "ab")
-    return stage(dealt.mapInArrow(_blocks(threshold, miss), "a long, b long").distinct(), "near-again")
+    rest = ["band", "d", "c", "sig", "members"]
+    few = at.where("c <> main").select("bucket", own("nf").alias("fb"), every("na").alias("ab"), F.lit(True).alias("few"), *rest)
+    all_ = at.select("bucket", every("nf").alias("fb"), own("na").alias("ab"), F.lit(False).alias("few"), *rest)
+    dealt = few.unionByName(all_).repartition("bucket", "fb", "ab").sortWithinPartitions("bucket", "fb", "ab")
+    return stage(dealt.mapInArrow(_blocks(percent, miss), "a long, b long").distinct(), "near-between")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
