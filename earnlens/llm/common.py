@@ -57,3 +57,15 @@ def lower_ascii(c: Column) -> Column:
 def id_hash(name: str = "doc_id") -> Column:
     """A fixed pseudo-random long of a row's id."""
     return F.xxhash64(F.lit(0x5EED), F.col(name))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, changed as far as needed so that none is in ``columns``
+    (Spark ignores case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n)
+        out.append(n)
+    return out

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earnlens.llm.common import SPACE, small_or_shuffle, stage, text_or_empty
+from earnlens.llm.common import SPACE, fresh, small_or_shuffle, stage, text_or_empty
 
 #: Characters of the prefix that the second level hashes.
 PREFIX_CHARS = 96
@@ -90,14 +90,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
         & (found["text_sha256"] == dropped["text_sha256"]), "left_semi")
     # rows that repeat the kept id and text cannot be told apart by a key
     repeated = bool(both.limit(1).count())
-    out = docs.withColumn("_sha", F.sha2(normalised(text), 256))
+    own, gone_id, gone_sha = fresh(docs.columns, "_sha", "_gone", "_gone_sha")
+    out = docs.withColumn(own, F.sha2(normalised(text), 256))
     if repeated:
-        d = out.groupBy(id_col, "_sha").agg(*[F.first(c).alias(c) for c in docs.columns if c != id_col])
-        out = d.select(*docs.columns, "_sha")
+        first = [F.first(c).alias(c) for c in docs.columns if c != id_col]
+        out = out.groupBy(id_col, own).agg(*first).select(*docs.columns, own)
         twice = both.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_its"))
         dropped = dropped.join(twice, (F.col("text_sha256") == F.col("_its"))
                                & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    gone = dropped.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
-    gone = small_or_shuffle(gone, 112)
-    return out.join(gone, (F.col("_sha") == F.col("_gone_sha")) & F.col(id_col).eqNullSafe(F.col("_gone")),
+    gone = small_or_shuffle(dropped.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)), 112)
+    return out.join(gone, (F.col(own) == F.col(gone_sha)) & F.col(id_col).eqNullSafe(F.col(gone_id)),
                     "left_anti").select(*docs.columns)

@@ -49,7 +49,8 @@ APART_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "bre
                "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription",
                "toolbar", "widget", "alert", "complementary", "sidenav", "topbar", "dfp"}
 MAIN_NAMES = {"article", "articlebody", "main"}
-#: A node whose text is the same on so many different pages is template.
+#: A node whose text is the same on so many pages of different texts, and on
+#: all that have it, is template.
 CONSTANT_PAGES = 4
 #: A region in which links hold more of the text than this is no content.
 LINK_SHARE = 0.6
@@ -181,22 +182,39 @@ def parse(html: str) -> Node:
     return root
 
 
-# -- wrappers: nested lists [key, apart, main, pages, text hash or None (varies), characters, link characters, children]
+# -- wrappers: nested lists [key, apart, main, hashes of some different pages, text hash or None (varies), characters,
+# link characters, children]
 KEY, APART_AT, MAIN, PAGES, SAME, CHARS, LINKS, CHILDREN = range(8)
 
 
-def slots(node: Node) -> list:
+def own_text(node: Node) -> Iterator[str]:
+    """The text that no name sets apart; equal for copies of a page whose
+    menus and adverts differ."""
+    if not node.apart:
+        yield from (t for _, t, _ in node.units)
+        for child in node.children:
+            yield from own_text(child)
+
+
+def has_main(node: Node) -> bool:
+    return not node.apart and (node.main or any(map(has_main, node.children)))
+
+
+def page_slots(page: Node) -> list:
+    return slots(page, xxh3_64_intdigest("\n".join(own_text(page))))
+
+
+def slots(node: Node, page: int) -> list:
     """A page's tree as the wrapper of that one page. Neighbouring siblings of
     the same key are one node."""
     text = "\n".join(t for _, t, _ in node.units)
-    out = [node.key, node.apart, node.main, 1, xxh3_64_intdigest(text) if text else 0, sum(len(t) for _, t, _ in node.units),
+    out = [node.key, node.apart, node.main, [page], xxh3_64_intdigest(text) if text else 0, sum(len(t) for _, t, _ in node.units),
            sum(k for _, _, k in node.units), []]
     for child in node.children:
-        own = slots(child)
+        own = slots(child, page)
         if out[CHILDREN] and out[CHILDREN][-1][KEY] == own[KEY]:
             last = out[CHILDREN][-1]
             merged = merge(last, own)
-            merged[PAGES] = 1
             merged[SAME] = xxh3_64_intdigest(f"{last[SAME]} {own[SAME]}")
             out[CHILDREN][-1] = merged
         else:
@@ -250,7 +268,8 @@ def merge(a: list, b: list) -> list:
     for i, j in align(a[CHILDREN], b[CHILDREN]):
         children.append(merge(a[CHILDREN][i], b[CHILDREN][j]) if i is not None and j is not None
                         else a[CHILDREN][i] if j is None else b[CHILDREN][j])
-    return [a[KEY], a[APART_AT] and b[APART_AT], a[MAIN], a[PAGES] + b[PAGES], same, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], children]
+    pages = sorted({*a[PAGES], *b[PAGES]})[:CONSTANT_PAGES]
+    return [a[KEY], a[APART_AT] and b[APART_AT], a[MAIN], pages, same, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], children]
 
 
 def size(w: list) -> int:
@@ -258,55 +277,54 @@ def size(w: list) -> int:
 
 
 def decide(wrapper: list) -> list:
-    """The wrapper with each node's verdict in place of its counts: ``[key,
-    content, children]``.
+    """The wrapper with each node's verdicts in place of its counts: ``[key,
+    content, content, children]``, for pages with and without a marked region.
 
-    Content is what lies in main regions (if the host marks any that vary;
-    else in the body) but for nodes set apart by name, constant nodes beside
-    varying ones, and, where no main region is marked, lists of links."""
-    def varying(w: list, inside: bool) -> bool:
-        inside = inside or w[MAIN]
-        return not w[APART_AT] and ((inside and w[CHARS] > 0 and (w[SAME] is None or w[PAGES] < CONSTANT_PAGES))
-                                    or any(varying(c, inside) for c in w[CHILDREN]))
+    Content is what lies in main regions (in the body, if there is none) but
+    for nodes set apart by name and for constant nodes beside varying ones;
+    where no region is marked, lists of links are no content either."""
+    def varies(w: list) -> bool:
+        return not w[APART_AT] and (w[SAME] is None or any(map(varies, w[CHILDREN])))
 
     def total(w: list, at: int) -> int:
         return w[at] + sum(total(c, at) for c in w[CHILDREN])
 
-    marked, any_varies = varying(wrapper, False), varying(wrapper, True)
+    any_varies = varies(wrapper)
 
-    def verdict(w: list, inside: bool, apart: bool) -> list:
+    def verdict(w: list, inside: bool, apart: bool, links: bool) -> list:
         inside, apart = inside or w[MAIN], apart or w[APART_AT]
-        if not marked and not apart and w[KEY].split(".")[0] not in ("", "html", "body"):
-            apart = total(w, LINKS) > LINK_SHARE * max(1, total(w, CHARS))
-        constant = any_varies and w[SAME] is not None and w[PAGES] >= CONSTANT_PAGES
-        content = not apart and (inside or not marked) and not constant
-        return [w[KEY], content, [verdict(c, inside, apart) for c in w[CHILDREN]]]
+        links = links or (w[KEY].split(".")[0] not in ("", "html", "body")
+                          and total(w, LINKS) > LINK_SHARE * max(1, total(w, CHARS)))
+        constant = any_varies and w[SAME] is not None and len(w[PAGES]) >= CONSTANT_PAGES
+        keep = not apart and not constant
+        return [w[KEY], keep and inside, keep and not links, [verdict(c, inside, apart, links) for c in w[CHILDREN]]]
 
-    return verdict(wrapper, False, False)
+    return verdict(wrapper, False, False, False)
 
 
 def extract(page: Node, judged: list | None) -> str:
     """The page's content, block by block, by its host's wrapper. A node that
     the wrapper lacks is content like its parent, unless its name sets it apart."""
     found: list[tuple[int, str]] = []
+    marked = has_main(page)
+    at = 1 if marked else 2
 
     def walk(node: Node, w: list | None, content: bool) -> None:
-        content = w[1] if w is not None else content and not node.apart
+        content = w[at] if w is not None else (content or marked and node.main) and not node.apart
         if content:
             found.extend((o, t) for o, t, _ in node.units)
-        kids = w[2] if w is not None else []
         runs: list[list] = []
         for child in node.children:
             if runs and runs[-1][0] == child.key:
-                runs[-1][2].append(child)
+                runs[-1][1].append(child)
             else:
-                runs.append([child.key, None, [child]])
-        pairs = _aligned(runs, kids)
-        for at, (_, _, same) in enumerate(runs):
+                runs.append([child.key, [child]])
+        pairs = _aligned(runs, w[3] if w is not None else [])
+        for i, (_, same) in enumerate(runs):
             for child in same:
-                walk(child, pairs.get(at), content)
+                walk(child, pairs.get(i), content)
 
-    walk(page, judged, True)
+    walk(page, judged, not marked)
     return "\n".join(t for _, t in sorted(found))
 
 
@@ -319,9 +337,9 @@ def _aligned(runs: list, kids: list) -> dict[int, list]:
         return as_node(n.key, [shape(c) for i, c in enumerate(n.children) if not i or n.children[i - 1].key != c.key])
 
     def judged_shape(k: list) -> list:
-        return as_node(k[0], [judged_shape(c) for c in k[2]])
+        return as_node(k[0], [judged_shape(c) for c in k[3]])
 
-    pairs = align([shape(r[2][0]) for r in runs], [judged_shape(k) for k in kids])
+    pairs = align([shape(r[1][0]) for r in runs], [judged_shape(k) for k in kids])
     return {i: kids[j] for i, j in pairs if i is not None and j is not None}
 
 
@@ -335,7 +353,7 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = slots(parse(html))
+            own = page_slots(parse(html))
             w = held.get(host)
             if w is None:
                 held[host] = own

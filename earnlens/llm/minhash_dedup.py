@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from earnlens.llm.common import small_or_shuffle, stage, text_or_empty
+from earnlens.llm.common import fresh, small_or_shuffle, stage, text_or_empty
 from earnlens.llm.graph import components
 from earnlens.llm.words import shingles
 
@@ -276,6 +276,7 @@ def _between(shared: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFr
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with
     all columns."""
-    gone = near_duplicates(docs, id_col, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    name, = fresh(docs.columns, "_gone")
+    gone = near_duplicates(docs, id_col, text).where("not kept").select(F.col("doc_id").alias(name)).distinct()
     gone = small_or_shuffle(stage(gone, "near-gone"), 16)
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

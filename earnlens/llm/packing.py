@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from earnlens.llm.common import small_or_shuffle, stage, text_or_empty
+from earnlens.llm.common import fresh, small_or_shuffle, stage, text_or_empty
 
 CAPACITY = 2048
 END_ID = 0
@@ -119,7 +120,7 @@ def passed_on(fills: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _pack_unit(capacity: int, unit_rows: int):
+def _pack_unit(capacity: int, unit_rows: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
         made, units = 0, 0
@@ -132,7 +133,7 @@ def _pack_unit(capacity: int, unit_rows: int):
                        pa.array(passed_on(fills, capacity)[bins]),
                        pa.array(np.full(len(bins), base + units, dtype=np.int64))]
             made, units = made + len(fills), units + 1
-            return pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names, "bin", "offset", "fill", "on", "unit"])
+            return pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names, *names])
 
         held, n = [], 0
         for batch in batches:
@@ -164,14 +165,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit_rows: int = UNIT_ROWS
     """``pieces`` (any columns, with ``length`` from 1 to the capacity) plus
     ``sequence_id`` and ``offset``. An empty table gives no rows; ties of
     length keep their order, so a recomputed partition packs alike."""
-    if "sequence_id" in pieces.columns or "offset" in pieces.columns:
+    if {"sequence_id", "offset"} & {c.lower() for c in pieces.columns}:
         raise ValueError("pieces already have a place")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    placed = stage(pieces.mapInArrow(_pack_unit(capacity, unit_rows),
-                                     kinds + ", bin long, offset long, fill long, `on` boolean, unit long"), "pack-units")
-    bins = placed.where("`on` and offset = 0").select("bin", "fill", F.col("unit").alias("group"))
+    bin_, offset, fill, on, unit, into, shift = names = fresh(pieces.columns, "bin", "offset", "fill", "on", "unit", "into", "shift")
+    kinds = T.StructType([*pieces.schema.fields, *(T.StructField(n, T.BooleanType() if n == on else T.LongType()) for n in names[:5])])
+    placed = stage(pieces.mapInArrow(_pack_unit(capacity, unit_rows, names[:5]), kinds), "pack-units")
+    bins = placed.where(F.col(on) & (F.col(offset) == 0)).select(
+        F.col(bin_).alias("bin"), F.col(fill).alias("fill"), F.col(unit).alias("group"))
     moved = None
-    groups = placed.select("unit").distinct().count()
+    groups = placed.select(unit).distinct().count()
     while groups > 1:
         groups = -(-groups // FAN_IN)
         met = bins.withColumn("group", F.pmod(F.xxhash64("group"), F.lit(groups)).cast("long"))
@@ -188,8 +190,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit_rows: int = UNIT_ROWS
         moved = stage(moved, "pack-moved")
         bins = met.where("`on` and bin = into").select("bin", "fill", "group")
     if moved is None:
-        return placed.select(*pieces.columns, F.col("bin").alias("sequence_id"), "offset")
-    moved = small_or_shuffle(moved, 24)
-    return placed.join(moved, "bin", "left").select(
-        *pieces.columns, F.coalesce("into", "bin").alias("sequence_id"),
-        (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+        return placed.select(*pieces.columns, F.col(bin_).alias("sequence_id"), offset)
+    moved = small_or_shuffle(moved, 24).select(F.col("bin").alias(bin_), F.col("into").alias(into), F.col("shift").alias(shift))
+    return placed.join(moved, bin_, "left").select(
+        *pieces.columns, F.coalesce(into, bin_).alias("sequence_id"),
+        (F.col(offset) + F.coalesce(shift, F.lit(0))).alias("offset"))

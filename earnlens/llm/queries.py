@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earnlens.llm import chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, pieces, substring_dedup, topk_search, toxicity
@@ -94,21 +94,24 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(pieces)
 
 
-#: Remainder of crc32(doc_id as text) modulo 3 of the rows that are held out.
-HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+def held_out() -> Column:
+    """Rows whose crc32(doc_id as text) modulo 3 is 1 are not learnt from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
 #: Texts scored so or higher are toxic.
 TOXIC = 0.7
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.ToxicityModel:
-    return toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~HELD_OUT)
+    return toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out())
 
 
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
-    return out.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
                       F.col("spans").alias("toxic_spans"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earnlens.llm.common import SPACE, fits, stage, text_or_empty
+from earnlens.llm.common import SPACE, fits, fresh, stage, text_or_empty
 from earnlens.llm.words import Rolling, mix, word_hashes
 
 #: Consecutive words whose repetition is removed, and words of an anchor.
@@ -131,13 +131,13 @@ def _paths(window: int, k: int):
     return run
 
 
-def _cut(window: int, columns: list[str], text: str):
+def _cut(window: int, columns: list[str], text: str, runs_at: str, starts_at: str, counts: list[str]):
     """Texts with their runs and verified windows to the words that stay;
     other columns pass through. A text that loses nothing is not changed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            for value, runs, starts in zip(*(batch.column(c) for c in (text, "_runs", "_starts"))):
+            for value, runs, starts in zip(*(batch.column(c) for c in (text, runs_at, starts_at))):
                 value = value.as_py()
                 words = (value or "").encode("utf-8", "surrogatepass").split()
                 n.append(len(words))
@@ -155,7 +155,7 @@ def _cut(window: int, columns: list[str], text: str):
                 kept.append(value)
             own = [pa.array(kept, pa.string()) if c == text else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(gone, pa.int64())],
-                                             names=[*columns, "_n_words", "_n_removed"])
+                                             names=[*columns, *counts])
     return run
 
 
@@ -196,19 +196,20 @@ def cut_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """The rows of ``docs`` with all their columns and ``_n_words,
     _n_removed``. A text that loses words becomes the words that stay, joined
     by one space; any other is left as it is."""
+    d, t, runs, starts = fresh([*docs.columns, "_n_words", "_n_removed"], "_d", "_t", "_runs", "_starts")
     cover = stage(repeated_runs(docs, id_col, text, window, k).select(
-        F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("runs").alias("_runs"), F.col("starts").alias("_starts")), "bruijn-cover")
-    key = ["_d", "_t"]
-    rows = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2 ** 63))), "_t": F.xxhash64(text_or_empty(text))})
+        F.col("d").alias(d), F.col("t").alias(t), F.col("runs").alias(runs), F.col("starts").alias(starts)), "bruijn-cover")
+    rows = docs.withColumns({d: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2 ** 63))), t: F.xxhash64(text_or_empty(text))})
     if fits(cover, 24):  # then only the texts that lose words are shuffled
-        some = F.broadcast(cover.select(*key))
-        none = [F.lit(None).cast(cover.schema[c].dataType).alias(c) for c in ("_runs", "_starts")]
-        whole = rows.join(some, key, "left_anti").select(*docs.columns, *none)
-        rows = rows.join(some, key, "left_semi").join(cover, key).select(*docs.columns, "_runs", "_starts").unionByName(whole)
+        some = F.broadcast(cover.select(d, t))
+        none = [F.lit(None).cast(cover.schema[c].dataType).alias(c) for c in (runs, starts)]
+        whole = rows.join(some, [d, t], "left_anti").select(*docs.columns, *none)
+        rows = rows.join(some, [d, t], "left_semi").join(cover, [d, t]).select(*docs.columns, runs, starts).unionByName(whole)
     else:
-        rows = rows.join(cover, key, "left").select(*docs.columns, "_runs", "_starts")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
-    return rows.mapInArrow(_cut(window, docs.columns, text), schema)
+        rows = rows.join(cover, [d, t], "left").select(*docs.columns, runs, starts)
+    counts = ["_n_words", "_n_removed"]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
+    return rows.mapInArrow(_cut(window, docs.columns, text, runs, starts, counts), schema)
 
 
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW,

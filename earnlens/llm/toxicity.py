@@ -35,8 +35,9 @@ SPAN, WINDOWS = 48, 2
 #: A marking feature is held by so many families of toxic texts, and is so
 #: many times (as a logarithm) likelier in them than in clean ones.
 LEAST_FAMILIES, LEAST_ODDS = 3, 3.0
-#: Words whose emission a worker remembers at once.
-REMEMBERED = 300_000
+#: Words whose emission a worker remembers at once, and characters of the
+#: texts that it goes through at once (a longer text is alone).
+REMEMBERED, AT_ONCE = 200_000, 12_000_000
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 TOKEN = re.compile(r"\S+")
 
@@ -80,6 +81,8 @@ class ToxicityModel:
 
     def emission(self, tokens: list[str]) -> np.ndarray:
         """The weight of state 1 over state 0 at each token."""
+        if self.weights is None:
+            return np.full(len(tokens), -30.0)
         seen = self.memory
         if len(seen) > REMEMBERED:
             seen.clear()
@@ -283,10 +286,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def _aggregates(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [t.lower().split() for t in batch.column("text").to_pylist()]
-            lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-            found = model.aggregate(model.marginals(model.emission([t for x in tokens for t in x]), lengths), lengths)
+        for batch in _parts(batches):
+            found = model.aggregate(*_marginals(model, batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), pa.array(found[:, 0]),
                                               pa.array(found[:, 1])], names=["toxic", "weight", "x0", "x1"])
     return run
@@ -331,27 +332,43 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     return model
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of bounded text."""
+    for batch in batches:
+        sizes = pa.compute.utf8_length(batch.column("text")).fill_null(0).to_pylist()
+        start, held = 0, 0
+        for i, n in enumerate(sizes):
+            if held and held + n > AT_ONCE:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def _marginals(model: ToxicityModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' marginals of texts one after another, and their numbers."""
+    own = [model.emission((t.as_py() or "").lower().split()) for t in texts]
+    lengths = np.array([len(x) for x in own], dtype=np.int64)
+    return model.marginals(np.concatenate(own) if own else np.empty(0), lengths), lengths
+
+
 def _score(model: ToxicityModel, spans: bool):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            tokens = [t.lower().split() for t in texts]
-            lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-            if model.weights is None:
-                p, found = np.zeros(lengths.sum()), np.zeros((len(texts), 2))
-            else:
-                p = model.marginals(model.emission([t for x in tokens for t in x]), lengths)
-                found = model.aggregate(p, lengths)
-            columns, names = [batch.column("doc_id"), pa.array(model.score(found))], ["doc_id", "score"]
+        for batch in _parts(batches):
+            texts = batch.column("text")
+            p, lengths = _marginals(model, texts)
+            columns = [batch.column("doc_id"), pa.array(model.score(model.aggregate(p, lengths)))]
+            names = ["doc_id", "score"]
             if spans:
                 out = [[] for _ in texts]
                 begin = np.cumsum(lengths) - lengths
                 hits = np.flatnonzero(p > 0.5)
                 for i in np.unique(np.searchsorted(begin + lengths, hits, side="right")).tolist():
                     own = p[begin[i]:begin[i] + lengths[i]]
-                    places = [m.span() for m in TOKEN.finditer(texts[i])]
+                    places = [m.span() for m in TOKEN.finditer(texts[i].as_py())]
                     out[i] = [{"start": places[j][0], "stop": places[j][1]} for j in np.flatnonzero(own > 0.5).tolist()]
                 columns, names = [*columns, pa.array(out, kind)], [*names, "spans"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -373,10 +390,9 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float, text: st
     """The rows of ``docs`` scored below ``threshold``, with all their columns;
     filtered where they are read, without a shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _score(model, False)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            rows = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
-            scores = next(one(iter([rows]))).column("score")
-            yield batch.filter(pa.compute.less(scores, threshold))
+            rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text)], names=["doc_id", "text"])
+            for part in _score(model, False)(iter([rows])):
+                yield batch.slice(0, part.num_rows).filter(pa.compute.less(part.column("score"), threshold))
+                batch = batch.slice(part.num_rows)
     return docs.mapInArrow(run, docs.schema)
