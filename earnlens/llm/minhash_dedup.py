@@ -116,7 +116,8 @@ def _verify(width: int, percent: int):
         last, right = None, None
         for batch in batches:
             keep = []
-            for i, (tb, ta) in enumerate(zip(batch.column("tb").to_pylist(), batch.column("ta"))):
+            for i, (ta, tb) in enumerate(zip(batch.column("ta"), batch.column("tb"))):
+                tb = tb.as_py()
                 if tb != last:
                     last, right = tb, shingles(tb, width)
                 left = shingles(ta.as_py(), width)

@@ -37,7 +37,9 @@ SPAN, WINDOWS = 48, 2
 LEAST_FAMILIES, LEAST_ODDS = 3, 3.0
 #: Words whose emission a worker remembers at once, and characters of the
 #: texts that it goes through at once (a longer text is alone).
-REMEMBERED, AT_ONCE = 200_000, 12_000_000
+REMEMBERED, AT_ONCE = 150_000, 4_000_000
+#: Features that a partial count holds before it is passed on.
+COUNTED = 100_000
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 TOKEN = re.compile(r"\S+")
 
@@ -162,22 +164,28 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, learn:
 
 def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        low = [int(s.min() >> np.uint64(1)) if len(s) else -1 for s in map(shingles, batch.column("text").to_pylist())]
+        sets = (shingles(t.as_py()) for t in batch.column("text"))
+        low = [int(s.min() >> np.uint64(1)) if len(s) else -1 for s in sets]
         yield batch.append_column("family", pa.array(low, pa.int64()))
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of the families that hold a marking feature."""
+    held = {0: Counter(), 1: Counter()}
+
+    def flush(y: int) -> pa.RecordBatch:
+        n = np.array(list(held[y].values()), dtype=np.int64)
+        out = pa.RecordBatch.from_pydict({"feature": pa.array(list(held[y]), pa.string()), "a": n * y, "b": n * (1 - y)})
+        held[y] = Counter()
+        return out
+
     for batch in batches:
-        held = (Counter(), Counter())
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            held[y].update({f for t in set(text.lower().split()) for f in marking(t)})
-        for y in (0, 1):
-            if held[y]:
-                yield pa.RecordBatch.from_pydict({
-                    "feature": pa.array(list(held[y]), pa.string()),
-                    "a": pa.array([n * y for n in held[y].values()], pa.int64()),
-                    "b": pa.array([n * (1 - y) for n in held[y].values()], pa.int64())})
+        for text, y in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+            held[y].update({f for t in set(text.as_py().lower().split()) for f in marking(t)})
+            if len(held[y]) > COUNTED:
+                yield flush(y)
+    yield flush(0)
+    yield flush(1)
 
 
 def marking_features(sample: DataFrame) -> set[str]:
