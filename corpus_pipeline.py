@@ -9,11 +9,14 @@ tests hold the pipeline against a brute-force version.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earnlens.llm import exact_dedup, minhash_dedup, queries, substring_dedup, toxicity
-from earnlens.llm.common import read_table, stage
+from earnlens.llm.common import bounded_batches, read_table, stage
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +46,20 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.pack_documents(docs)
 
 
+def bounded(function: Callable) -> Callable:
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return function(spark, docs, sf_dir)
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", clean),
-    ("exact dedup", without_copies),
-    ("near dedup", without_near_copies),
-    ("substring dedup", without_repeats),
-    ("packing", packed),
+    ("toxicity", bounded(clean)),
+    ("exact dedup", bounded(without_copies)),
+    ("near dedup", bounded(without_near_copies)),
+    ("substring dedup", bounded(without_repeats)),
+    ("packing", bounded(packed)),
 ]
 
 ORACLE_SQL = None

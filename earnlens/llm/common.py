@@ -20,6 +20,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ones are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
+#: Bytes of the Arrow batches that carry whole texts to Python tasks.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that a task holds few long texts at
+    once. A smaller bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, "")
+    if not held or not held.rstrip("bB").isdigit() or not 0 < int(held.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared checkpoint folder and read back.

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earnlens.llm import chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, pieces, substring_dedup, topk_search, toxicity
-from earnlens.llm.common import read_table
+from earnlens.llm.common import bounded_batches, read_table
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -16,7 +17,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bounded_batches(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = bounded
         if sql is not None:
             ORACLE[name] = sql
         return fn

@@ -82,13 +82,12 @@ def _occurrences(window: int, k: int):
     return run
 
 
-def _merge(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
+def _merge(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows (sorted starts) to the word runs that they cover."""
-    if not len(starts):
-        return []
     cut = np.flatnonzero(np.diff(starts) > window)
-    return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(),
-                    (starts[np.concatenate((cut, [len(starts) - 1]))] + window).tolist()))
+    first = np.concatenate(([0], cut + 1)) if len(starts) else cut
+    last = np.concatenate((cut, [len(starts) - 1])) if len(starts) else cut
+    return starts[first], starts[last] + window
 
 
 _RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
@@ -101,18 +100,22 @@ _PATHS = T.StructType([T.StructField("d", T.LongType()), T.StructField("t", T.Lo
 def _paths(window: int, k: int):
     """Texts with their repeated anchors to the runs that are certain and the
     windows that stay open."""
-    runs_t, open_t = (pa.list_(pa.struct(x)) for x in (
-        [("start", pa.int32()), ("stop", pa.int32())], [("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
+    def lists(counts: list[int], **columns: list[np.ndarray]) -> pa.ListArray:
+        flat = [np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in columns.values()]
+        kinds = [pa.int64() if n in ("h1", "h2") else pa.int32() for n in columns]
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(
+            [pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(flat, kinds)], names=list(columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs, still = [], []
+            starts, stops, pos, h1, h2 = [], [], [], [], []
             for text, flags in zip(batch.column("text"), batch.column("flags")):
                 words = word_hashes(text.as_py())
                 roll = Rolling(words)
                 _, least, at = anchors(roll, window, k)
                 state = np.zeros(len(words), dtype=np.int8)  # 1: on a nonbranching path, 2: branching
-                flag = np.array(flags.as_py(), dtype=np.int64)
+                flag = flags.values.to_numpy().astype(np.int64)
                 state[flag >> 1] = 1 + (flag & 1)
                 stop = np.zeros(len(words) + 1, dtype=np.int64)  # anchors that end a path, up to a word
                 stop[at + 1] = state[at] != 1
@@ -120,14 +123,16 @@ def _paths(window: int, k: int):
                 t = np.arange(len(least))
                 repeated = state[least] > 0
                 clear = stop[t + window - k + 1] == stop[t]
-                runs.append([{"start": a, "stop": b} for a, b in _merge(t[repeated & clear], window)])
+                a, b = _merge(t[repeated & clear], window)
+                starts.append(a)
+                stops.append(b)
                 t = t[repeated & ~clear]
-                h1 = mix(roll.runs(t, window)).view(np.int64).tolist()
-                h2 = mix(Rolling(words, BASE2, INVERSE2).runs(t, window)).view(np.int64).tolist()
-                still.append([{"pos": p, "h1": x, "h2": y} for p, x, y in zip(t.tolist(), h1, h2)])
+                pos.append(t)
+                h1.append(mix(roll.runs(t, window)).view(np.int64))
+                h2.append(mix(Rolling(words, BASE2, INVERSE2).runs(t, window)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("d"), batch.column("t"), pa.array(runs, runs_t), pa.array(still, open_t)],
-                names=["d", "t", "runs", "open"])
+                [batch.column("d"), batch.column("t"), lists([len(x) for x in starts], start=starts, stop=stops),
+                 lists([len(x) for x in pos], pos=pos, h1=h1, h2=h2)], names=["d", "t", "runs", "open"])
     return run
 
 
@@ -142,12 +147,13 @@ def _cut(window: int, columns: list[str], text: str, runs_at: str, starts_at: st
                 words = (value or "").encode("utf-8", "surrogatepass").split()
                 n.append(len(words))
                 drop = np.zeros(len(words) + 1, dtype=np.int64)
-                for r in runs.as_py() or ():
-                    drop[r["start"]] += 1
-                    drop[r["stop"]] -= 1
-                for a, b in _merge(np.array(sorted(set(starts.as_py() or ())), dtype=np.int64), window):
+                if runs.is_valid and len(runs.values):
+                    np.add.at(drop, runs.values.field("start").to_numpy(), 1)
+                    np.add.at(drop, runs.values.field("stop").to_numpy(), -1)
+                if starts.is_valid:
+                    a, b = _merge(np.unique(starts.values.to_numpy()).astype(np.int64), window)
                     drop[a] += 1
-                    drop[b] -= 1
+                    np.add.at(drop, b, -1)
                 if drop.any():
                     words = [words[i] for i in np.flatnonzero(np.cumsum(drop[:-1]) == 0)]
                     value = b" ".join(words).decode("utf-8", "surrogatepass")
