@@ -28,8 +28,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, so that a task holds few long texts at
     once. A smaller bound of the session stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(key, "")
-    if not held or not held.rstrip("bB").isdigit() or not 0 < int(held.rstrip("bB")) <= BATCH_BYTES:
+    held = spark.conf.get(key)
+    if not held.rstrip("bB").isdigit() or not 0 < int(held.rstrip("bB")) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
