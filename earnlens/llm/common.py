@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import posixpath
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +85,19 @@ def fresh(columns: list[str], *names: str) -> list[str]:
         taken.add(n)
         out.append(n)
     return out
+
+
+def releasing(run: Callable) -> Callable:
+    """``run`` (batches to batches) for ``mapInArrow``; at its end, memory that
+    is free goes back to the machine. Spark keeps Python workers for later
+    tasks, and they would hold the most that any task took."""
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+    return released

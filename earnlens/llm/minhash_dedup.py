@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from earnlens.llm.common import fresh, small_or_shuffle, stage, text_or_empty
+from earnlens.llm.common import fresh, releasing, small_or_shuffle, stage, text_or_empty
 from earnlens.llm.graph import components
 from earnlens.llm.words import shingles
 
@@ -188,7 +188,7 @@ def _exact(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     ta = texts.select(F.col("d").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("d").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    return stage(both.mapInArrow(_verify(width, percent), "a long, b long").distinct(), "near-links")
+    return stage(both.mapInArrow(releasing(_verify(width, percent)), "a long, b long").distinct(), "near-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     nothing = -(2 ** 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(nothing)).alias("d"), text_or_empty(text).alias("text"))
-    signed = stage(rows.mapInArrow(_signatures(width), "d long, n_shingles long, `set` binary, sig binary"), "near-signed")
+    signed = stage(rows.mapInArrow(releasing(_signatures(width)), "d long, n_shingles long, `set` binary, sig binary"), "near-signed")
     classes = stage(signed.where("n_shingles > 0").groupBy("set").agg(F.min("d").alias("rep")), "near-classes")
     reps = signed.where("n_shingles > 0").join(
         classes.select(F.col("set").alias("s"), F.col("rep").alias("r")),
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sa = reps.select(F.col("d").alias("a"), F.col("sig").alias("sa"))
     sb = reps.select(F.col("d").alias("b"), F.col("sig").alias("sb"))
     signs = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
-    likely = stage(signs.mapInArrow(_bayes(percent / 100, miss), "a long, b long"), "near-likely")
+    likely = stage(signs.mapInArrow(releasing(_bayes(percent / 100, miss)), "a long, b long"), "near-likely")
 
     # texts of the classes that may still be compared, fetched once
     ids = stage(shared.select(F.col("d").alias("i")).distinct(), "near-ids")
@@ -263,7 +263,7 @@ def _between(shared: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFr
     at = stage(member.join(split, "bucket"), "near-apart")
     ids = stage(at.select(F.col("d").alias("i")).distinct(), "near-apart-ids")
     some = texts.join(small_or_shuffle(ids, 16), F.col("d") == F.col("i"), "left_semi")
-    sets = some.mapInArrow(_sets(width), "d long, members binary").join(reps.select("d", "sig"), "d")
+    sets = some.mapInArrow(releasing(_sets(width)), "d long, members binary").join(reps.select("d", "sig"), "d")
     at = at.join(stage(sets, "near-sets"), "d")
     own = lambda k: F.pmod(F.xxhash64("d"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
@@ -271,7 +271,7 @@ def _between(shared: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFr
     few = at.where("c <> main").select("bucket", own("nf").alias("fb"), every("na").alias("ab"), F.lit(True).alias("few"), *rest)
     all_ = at.select("bucket", every("nf").alias("fb"), own("na").alias("ab"), F.lit(False).alias("few"), *rest)
     dealt = few.unionByName(all_).repartition("bucket", "fb", "ab").sortWithinPartitions("bucket", "fb", "ab")
-    return stage(dealt.mapInArrow(_blocks(percent, miss), "a long, b long").distinct(), "near-between")
+    return stage(dealt.mapInArrow(releasing(_blocks(percent, miss)), "a long, b long").distinct(), "near-between")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,6 @@ is left. Only bins move; pieces are joined with their final bin at the end.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earnlens.llm.common import fresh, small_or_shuffle, stage, text_or_empty
+from earnlens.llm.common import fresh, releasing, small_or_shuffle, stage, text_or_empty
 
 CAPACITY = 2048
 END_ID = 0
@@ -36,7 +35,6 @@ PASSED_ON = 512
 UNIT_ROWS, FAN_IN = 200_000, 8
 
 
-@lru_cache(maxsize=2)
 def _encoding(ranks: str, pattern: str):
     from base64 import b64decode
 
@@ -81,7 +79,7 @@ def tokenised_pieces(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
     are one piece of one id; special tokens in a text are ordinary text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return rows.mapInArrow(_pieces(ranks, pattern, capacity, with_ids), schema)
+    return rows.mapInArrow(releasing(_pieces(ranks, pattern, capacity, with_ids)), schema)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +167,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit_rows: int = UNIT_ROWS
         raise ValueError("pieces already have a place")
     bin_, offset, fill, on, unit, into, shift = names = fresh(pieces.columns, "bin", "offset", "fill", "on", "unit", "into", "shift")
     kinds = T.StructType([*pieces.schema.fields, *(T.StructField(n, T.BooleanType() if n == on else T.LongType()) for n in names[:5])])
-    placed = stage(pieces.mapInArrow(_pack_unit(capacity, unit_rows, names[:5]), kinds), "pack-units")
+    placed = stage(pieces.mapInArrow(releasing(_pack_unit(capacity, unit_rows, names[:5])), kinds), "pack-units")
     bins = placed.where(F.col(on) & (F.col(offset) == 0)).select(
         F.col(bin_).alias("bin"), F.col(fill).alias("fill"), F.col(unit).alias("group"))
     moved = None

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 from zlib import crc32
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earnlens.llm.common import text_or_empty
+from earnlens.llm.common import releasing, text_or_empty
 
 #: The space mark of the pieces.
 MARK = "▁"
@@ -163,7 +162,6 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
-@lru_cache(maxsize=2)
 def load(model: str) -> Vocabulary:
     """The vocabulary of a model file with byte fallback, with its own scores."""
     from sentencepiece import SentencePieceProcessor
@@ -201,7 +199,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text:
     that restores the text. Null and empty texts have no ids. Rows that repeat
     are each returned, other columns ignored; an empty table gives no rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(_encode(model), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, "
+    return rows.mapInArrow(releasing(_encode(model)), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, "
                                            "round_trip boolean, ids array<int>")
 
 
@@ -217,4 +215,4 @@ def _decode(model: str):
 def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``doc_id, text`` of rows with ``ids``; null ids are an empty text."""
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids).alias("ids"))
-    return rows.mapInArrow(_decode(model), "doc_id long, text string")
+    return rows.mapInArrow(releasing(_decode(model)), "doc_id long, text string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earnlens.llm.common import SPACE, fits, fresh, stage, text_or_empty
+from earnlens.llm.common import SPACE, fits, fresh, releasing, stage, text_or_empty
 from earnlens.llm.words import Rolling, mix, word_hashes
 
 #: Consecutive words whose repetition is removed, and words of an anchor.
@@ -170,7 +170,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     """``d, t, runs, starts`` for every text with a repeated window: word runs
     of compacted paths and starts of single verified windows."""
     rows = keyed(docs, id_col, text)
-    seen = stage(rows.mapInArrow(_occurrences(window, k), "d long, t long, pos int, node long, way_in long, way_out long"),
+    seen = stage(rows.mapInArrow(releasing(_occurrences(window, k)), "d long, t long, pos int, node long, way_in long, way_out long"),
                  "bruijn-occurrences")
     nodes = seen.groupBy("node").agg(
         F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("way_in", "way_out") for f in (F.min, F.max)])
@@ -183,7 +183,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     if fits(flags, 24):  # then only the texts that need it are shuffled
         rows = rows.join(F.broadcast(flags.select(*KEY)), KEY, "left_semi")
     with_flags = rows.join(flags, KEY)
-    paths = stage(with_flags.mapInArrow(_paths(window, k), _PATHS), "bruijn-paths")
+    paths = stage(with_flags.mapInArrow(releasing(_paths(window, k)), _PATHS), "bruijn-paths")
     still = paths.select(*KEY, F.explode("open").alias("o")).select(*KEY, "o.pos", "o.h1", "o.h2")
     more = still.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     starts = still.join(more, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_list("pos").alias("starts"))
@@ -215,7 +215,7 @@ def cut_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         rows = rows.join(cover, [d, t], "left").select(*docs.columns, runs, starts)
     counts = ["_n_words", "_n_removed"]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
-    return rows.mapInArrow(_cut(window, docs.columns, text, runs, starts, counts), schema)
+    return rows.mapInArrow(releasing(_cut(window, docs.columns, text, runs, starts, counts)), schema)
 
 
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW,

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from earnlens.llm.common import fits, id_hash, stage, text_or_empty
+from earnlens.llm.common import fits, id_hash, releasing, stage, text_or_empty
 from earnlens.llm.words import shingles
 
 #: Bound of the sample of labelled rows of each class that the model is fitted to.
@@ -196,7 +196,7 @@ def marking_features(sample: DataFrame) -> set[str]:
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return set()
-    counts = stage(sample.select("text", "toxic").mapInArrow(_feature_counts, "feature string, a long, b long")
+    counts = stage(sample.select("text", "toxic").mapInArrow(releasing(_feature_counts), "feature string, a long, b long")
                    .groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
                    .where(F.col("a") >= LEAST_FAMILIES), "toxic-features")
     tested = max(2, counts.count())
@@ -237,7 +237,7 @@ def fit_chain(tokens: list[list[str]], tags: list[list[int]], rounds: int = 60,
               decay: float = 1e-3) -> ToxicityModel:
     """Maximum likelihood of the chain by Adagrad over all windows."""
     lengths = np.array([len(x) for x in tokens])
-    words, at = np.unique([t for x in tokens for t in x], return_inverse=True)
+    at, words = pd.factorize(np.array([t for x in tokens for t in x], dtype=object))
     parts = [[bucket(f) for f in features(w)] for w in words]
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     feature = np.concatenate([np.array(p) for p in parts])
@@ -312,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     the smoothed share of toxic labels.
     """
     rows = labelled(docs, labels, id_col, text, learn, sample).select("doc_id", "text", "toxic", "weight")
-    rows = stage(rows.mapInArrow(_family, "doc_id long, text string, toxic int, weight double, family long"), "toxic-texts")
+    rows = stage(rows.mapInArrow(releasing(_family), "doc_id long, text string, toxic int, weight double, family long"), "toxic-texts")
     families = stage(rows.dropDuplicates(["family", "toxic"]), "toxic-families")
     marks = marking_features(families)
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
@@ -321,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     if not marks:
         return constant
     # at most 2 * WINDOWS * sample short windows: one task fits the chain
-    windows = families.mapInArrow(_windows(marks), "one int, tokens array<string>, tags array<int>, weight double")
+    windows = families.mapInArrow(releasing(_windows(marks)), "one int, tokens array<string>, tags array<int>, weight double")
     windows = windows.withColumn("order", F.xxhash64("tokens"))
     found = windows.groupBy("one").applyInPandas(_fit_task, "weights binary, chain array<double>").collect()
     if not found:
@@ -329,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     chain = list(found[0]["chain"])
     model = ToxicityModel(np.frombuffer(bytes(found[0]["weights"]), dtype=np.float32), chain[0], tuple(chain[1:]))
     data = rows.select("text", "toxic", "weight").mapInArrow(
-        _aggregates(model), "toxic int, weight double, x0 double, x1 double").toPandas()
+        releasing(_aggregates(model)), "toxic int, weight double, x0 double, x1 double").toPandas()
     y, weight = data["toxic"].to_numpy(), data["weight"].to_numpy()
     curve = fit_curve(data[["x0", "x1"]].to_numpy(), y, weight)
     if min(curve[1:]) < 0:  # more toxic tokens never lower a score
@@ -391,7 +391,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: s
     a text without toxic tokens. Other columns are ignored."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     schema = "doc_id long, score double" + (", spans array<struct<start: int, stop: int>>" if spans else "")
-    return rows.mapInArrow(_score(model, spans), schema)
+    return rows.mapInArrow(releasing(_score(model, spans)), schema)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float, text: str = "text") -> DataFrame:
@@ -403,4 +403,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float, text: st
             for part in _score(model, False)(iter([rows])):
                 yield batch.slice(0, part.num_rows).filter(pa.compute.less(part.column("score"), threshold))
                 batch = batch.slice(part.num_rows)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
