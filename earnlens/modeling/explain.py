@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earnlens.functions.hashing import hash_rank_key, hash_unit
@@ -13,7 +13,7 @@ def feature_importance(model, features: list[str]) -> DataFrame:
     """EXP-01: the tree ensemble's split-gain importances, sorted."""
     tree = model.stages[-1] if hasattr(model, "stages") else model
     imp = tree.featureImportances.toArray().tolist()
-    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession()
     return spark.createDataFrame(list(zip(features, [float(x) for x in imp])),
                                  "feature string, importance double").orderBy(F.desc("importance"))
 
@@ -56,19 +56,25 @@ def permutation_importance(model, df: DataFrame, features: list[str], key: str,
     ).orderBy(F.desc("importance_mean"))
 
 
+#: Background rows that are used; more are an error, none is dropped.
+BACKGROUND_ROWS = 1000
+
+
 def shapley_values(model, rows: DataFrame, background: DataFrame, features: list[str],
                    key: str, permutations: int = 8, seed: int = 42,
                    prediction: str = "prediction") -> DataFrame:
     """EXP-03: sampling Shapley values. For each explained row, ``permutations``
     seeded feature orders are drawn; for each order and each prefix length
     the hybrid point (row values for features in the prefix, a background
-    row's values otherwise) is scored in ONE ``transform``; the attribution
+    row's values otherwise, for each distinct background row) is scored in ONE ``transform``; the attribution
     of a feature is the mean jump when it joins the prefix. Output: key,
     feature, value, attribution (rows x features)."""
     d = len(features)
-    bg = background.select(*[F.col(f).alias(f"_bg_{f}") for f in features]).limit(1)
-    bg = bg.withColumn("_k", F.lit(0))
-    # one background row, broadcast (limit(1) bounds it)
+    bg = background.select(*[F.col(f).alias(f"_bg_{f}") for f in features])
+    if bg.limit(BACKGROUND_ROWS + 1).count() > BACKGROUND_ROWS:
+        raise ValueError(f"more than {BACKGROUND_ROWS} background rows: sample them first")
+    # every background row counts; their number is checked, so they are broadcast
+    bg = bg.withColumns({"_k": F.lit(0), "_b": F.xxhash64(*bg.columns)}).dropDuplicates(["_b"])
     x = rows.select(key, *features).withColumn("_k", F.lit(0)).join(F.broadcast(bg), "_k").drop("_k")
     x = x.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     # rank of each feature inside this row's permutation
@@ -84,13 +90,13 @@ def shapley_values(model, rows: DataFrame, background: DataFrame, features: list
     for f in features:
         before = F.size(F.filter(ranks, earlier(f)))
         x = x.withColumn(f"_in_{f}", before < F.col("_pos"))
-    hyb = x.select(key, "_perm", "_pos", *[F.col(f"_o_{f}") for f in features],
+    hyb = x.select(key, "_perm", "_b", "_pos", *[F.col(f"_o_{f}") for f in features],
                    *[F.col(f"_in_{f}") for f in features],
                    *[F.when(F.col(f"_in_{f}"), F.col(f)).otherwise(F.col(f"_bg_{f}")).alias(f)
                      for f in features])
-    scored = model.transform(hyb).select(key, "_perm", "_pos", prediction,
+    scored = model.transform(hyb).select(key, "_perm", "_b", "_pos", prediction,
                                          *[f"_o_{f}" for f in features])
-    w = Window.partitionBy(key, "_perm").orderBy("_pos")
+    w = Window.partitionBy(key, "_perm", "_b").orderBy("_pos")
     scored = scored.withColumn("_jump", F.col(prediction) - F.lag(prediction).over(w))
     # the feature that joined at step _pos is the one with exactly _pos-1 before it
     ranks2 = F.array(*[F.col(f"_o_{f}") for f in features])

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from earnlens.operators import evaluate as ev
 from earnlens.operators.features import FEATURES_FULL, hash_folds
+from earnlens.sources import dims
 
-CLASSIFIER = dict(maxIter=200, maxDepth=4, stepSize=0.05, subsamplingRate=0.85,
-                  featureSubsetStrategy="0.85")
+CLASSIFIER = dims.CLASSIFIER_PARAMS
 
 
 def assembler(features=FEATURES_FULL, out: str = "features") -> VectorAssembler:
@@ -131,7 +131,7 @@ def random_search(train: DataFrame, key: str, trials: int = 30, k: int = 5, seed
     """MOD-07: random search over ``SEARCH_SPACE`` maximising CV R2
     (CrossValidator with hash folds, models fitted in parallel)."""
     from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder  # noqa: F401
+    from pyspark.ml.tuning import CrossValidator
     rng = random.Random(seed)
     gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed)
     maps = []

@@ -32,6 +32,8 @@ def context_defaults(df: DataFrame, state: str = "state", occupation: str = "occ
     so all 3 x len(measures) exact medians come from one ranking pass."""
     lv = df.select(F.col(state).cast("string").alias("_s"), F.col(occupation).cast("string").alias("_o"),
                    *measures).withColumn("_lv", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))))
+    # rows of a null key count in the levels above it only
+    lv = lv.where((F.col("_lv") == 3) | (F.col("_s").isNotNull() & ((F.col("_lv") == 1) | F.col("_o").isNotNull())))
     lv = lv.select(F.col("_lv").alias("level"),
                    F.when(F.col("_lv") < 3, F.col("_s")).alias(state),
                    F.when(F.col("_lv") == 0, F.col("_o")).alias(occupation), *measures)
@@ -74,6 +76,9 @@ def peer_benchmarks(df: DataFrame, keys=("state", "education_level"),
     keys = list(keys)
     lv = df.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(measure).alias("_v"))
     lv = lv.withColumn("_lv", F.explode(F.array(F.lit(0), F.lit(1))))
+    # rows of a null key count in the global row only, whose keys are null
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    lv = lv.where((F.col("_lv") == 1) | known)
     lv = lv.select("_lv", *[F.when(F.col("_lv") == 0, F.col(k)).otherwise(F.lit("\u0000")).alias(k)
                             for k in keys], "_v")
     agg = lv.groupBy("_lv", *keys).agg(exact_mean("_v").alias("mean_income"),

@@ -73,17 +73,19 @@ def clean_wages(raw: DataFrame, excluded=dims.EXCLUDED_AREAS,
 
 
 def clean_persons(raw: DataFrame, state_dim: DataFrame, education_dim: DataFrame,
-                  degree_dim: DataFrame, floor: float = dims.MIN_ANNUAL_INCOME) -> DataFrame:
+                  degree_dim: DataFrame, floor: float = dims.MIN_ANNUAL_INCOME,
+                  missing_sex: str | None = "nan") -> DataFrame:
     """Raw person rows -> decoded, null-free person rows.
 
     ``state_dim``: (STATEICP int, STATE string); ``education_dim``:
     (EDUCD int, EDUCATION string); ``degree_dim``: (DEGFIELDD int,
-    DEGREE string). Unknown codes give null and the row is dropped; the
+    DEGREE string). Unknown codes give null and the row is dropped; a
+    missing SEX is kept as the text ``missing_sex`` (None: the row is dropped); the
     degree name only serves that null test and is not carried on."""
     df = raw.where(F.col("INCTOT") >= floor).select(*PERSON_COLUMNS)
     df = df.withColumns({
         "OCC_CODE": first_digits("OCCSOC", 6),
-        "SEX": recode("SEX", SEX_LABELS, keep=True),
+        "SEX": F.coalesce(recode("SEX", SEX_LABELS, keep=True), F.lit(missing_sex)),
     }).drop("OCCSOC")
     df = lookup(df, state_dim, "STATEICP")
     df = lookup(df, education_dim, "EDUCD")

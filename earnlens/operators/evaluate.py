@@ -174,11 +174,17 @@ BANDS = [
 ]
 
 
+# Bounds that a value must not touch.
+STRICT_LOW, STRICT_HIGH = {"subgroup_roc_auc"}, {"roc_auc", "subgroup_roc_auc"}
+
+
 def metric_bands(metrics: DataFrame, bands=BANDS) -> DataFrame:
     """EVA-17: ``metrics`` is long (metric, value); each value is checked
-    against its [lo, hi] band -> (metric, value, lo, hi, passed). Subgroup
+    against its band, inclusive but for the strict bounds -> (metric, value, lo, hi, passed). Subgroup
     metrics may appear many times. The band table is fixed-size."""
     spark = metrics.sparkSession
     b = spark.createDataFrame(bands, "metric string, lo double, hi double")
     j = metrics.join(F.broadcast(b), "metric", "inner")
-    return j.withColumn("passed", F.col("value").between(F.col("lo"), F.col("hi")))
+    touches = (F.col("metric").isin(*STRICT_LOW) & (F.col("value") == F.col("lo"))) | (
+        F.col("metric").isin(*STRICT_HIGH) & (F.col("value") == F.col("hi")))
+    return j.withColumn("passed", F.col("value").between(F.col("lo"), F.col("hi")) & ~touches)

@@ -24,9 +24,11 @@ INCOME = "annual_income"
 # ---------------------------------------------------------------- splits
 def hash_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
                out: str = "split") -> DataFrame:
-    """SPL-01: 'test' when md5-bucket(key) < 100 * test_size, else 'train'.
+    """SPL-01: 'test' when md5-bucket(key) < buckets * test_size, else 'train',
+    with 100 buckets for whole percents and 10,000 for any other share.
     Membership depends on the key only (stable across runs/partitionings)."""
-    return df.withColumn(out, F.when(hash_unit(key, seed, 100) < int(round(test_size * 100)),
+    n = 100 if abs(test_size * 100 - round(test_size * 100)) < 1e-9 else 10_000
+    return df.withColumn(out, F.when(hash_unit(key, seed, n) < int(round(test_size * n)),
                                      "test").otherwise("train"))
 
 

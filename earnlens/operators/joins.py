@@ -30,7 +30,7 @@ def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (a bounded action,
     remembered per session for semantically equal plans)."""
     try:
-        key = (id(df.sparkSession), df.semanticHash(), max_rows)
+        key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
     except Exception:  # noqa: BLE001
         key = None
     if key is not None and key in _FITS:

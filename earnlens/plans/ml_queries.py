@@ -3,8 +3,6 @@ invariants are in tests/test_models.py)."""
 
 from __future__ import annotations
 
-from functools import lru_cache  # noqa: F401
-
 from pyspark.sql import functions as F
 
 from earnlens.modeling import explain as xp
@@ -20,6 +18,7 @@ from earnlens.plans.registry import query, r4
 from earnlens.session import checkpoint_dir, materialize
 from earnlens.sources import dims
 from earnlens.sources import testbed as tb
+from earnlens.sources.tables import input_signature
 
 T = dims.TESTBED_PREMIUM_THRESHOLD
 # Round budget of the registered booster check: 20 rounds at step 0.3 (total
@@ -33,7 +32,7 @@ _FITTED: dict = {}
 
 def _memo(spark, sf, name, build):
     """Fitted models are reused by the queries of one session."""
-    key = (id(spark), sf, name)
+    key = (spark.sparkContext.applicationId, sf, input_signature(spark, sf), name)
     if key not in _FITTED:
         _FITTED[key] = build()
     return _FITTED[key]
@@ -182,13 +181,13 @@ def q_search(spark, sf):
 
 def _forest(spark, sf):
     etrain, etest, *_ = engineered(spark, sf)
-    return _memo(spark, sf, "forest", lambda: tr.fit_forest(etrain, numTrees=30)), etrain, etest
+    return _memo(spark, sf, "forest", lambda: tr.fit_forest(etrain)), etrain, etest
 
 
 @query("feature_importance")
 def q_importance(spark, sf):
     etrain, *_ = engineered(spark, sf)
-    m = tr.fit_gbt_regressor(etrain, maxIter=30)
+    m = tr.fit_gbt_regressor(etrain)
     return r4(xp.feature_importance(m, fe.FEATURES_FULL))
 
 
@@ -202,7 +201,7 @@ def q_perm(spark, sf):
 def q_shap(spark, sf):
     m, etrain, etest = _forest(spark, sf)
     rows = fe.hash_sample(etest, "person_id", 500)
-    bg = fe.hash_sample(etrain, "person_id", 1, seed=7)
+    bg = fe.hash_sample(etrain, "person_id", 8, seed=7)
     return r4(xp.mean_abs_attribution(xp.shapley_values(m, rows, bg, fe.FEATURES_FULL, "person_id")))
 
 
@@ -210,7 +209,7 @@ def q_shap(spark, sf):
 def q_shap_dep(spark, sf):
     m, etrain, etest = _forest(spark, sf)
     rows = fe.hash_sample(etest, "person_id", 500)
-    bg = fe.hash_sample(etrain, "person_id", 1, seed=7)
+    bg = fe.hash_sample(etrain, "person_id", 8, seed=7)
     s = xp.shapley_values(m, rows, bg, fe.FEATURES_FULL, "person_id")
     return r4(s.where(F.col("feature").isin("age", "occ_mean_income", "state_mean_income")))
 

@@ -22,7 +22,16 @@ def _events_baseline(spark, sf):
     return dr.drift_baseline(read_table(spark, sf, "events"), ["value"])
 
 
-@query("drift_stream_window")
+@query("drift_stream_window", """
+WITH b AS (SELECT round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM events),
+r AS (SELECT event_type, value, count(*) OVER (PARTITION BY event_type) AS total,
+             row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+w AS (SELECT event_type, avg(coalesce(value, 0)) AS m, count(*) AS n, max(total) AS total FROM r WHERE rn <= 500 GROUP BY 1),
+z AS (SELECT w.*, b.mean, CASE WHEN b.std = 0 THEN 0 ELSE abs(m - b.mean) / b.std END AS z FROM w, b)
+SELECT event_type AS monitor, CASE WHEN n >= 30 THEN 'value' END AS feature,
+       CASE WHEN n >= 30 THEN round(m, 2) END AS current_mean, CASE WHEN n >= 30 THEN round(mean, 2) END AS baseline_mean,
+       CASE WHEN n >= 30 THEN round(z, 3) END AS z_score, n >= 30 AND z > 2.0 AS drifted,
+       n AS window_size, total AS total_observations FROM z""")
 def q_stream_window(spark, sf):
     loc = stream_location(spark, "drift-window")
     s = monitor_stream(table_stream(spark, sf, "events"), _events_baseline(spark, sf), ["value"],

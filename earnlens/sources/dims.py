@@ -39,8 +39,8 @@ SUBGROUP_MIN_N = 30
 QUANTILES = (0.1, 0.5, 0.9)
 BOOSTER_PARAMS = dict(rounds=169, max_depth=3, step=0.045, subsample=0.741,
                       colsample=0.829, reg_lambda=9.88)
-CLASSIFIER_PARAMS = dict(max_iter=200, max_depth=4, step=0.05, subsample=0.85,
-                         colsample=0.85)
+CLASSIFIER_PARAMS = dict(maxIter=200, maxDepth=4, stepSize=0.05, subsamplingRate=0.85,
+                         featureSubsetStrategy="0.85")
 
 # Test-table stand-ins: order priorities play education levels (fixed
 # labels of the orders table), ordinal = leading digit.

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType)
@@ -80,7 +81,9 @@ def load_artefact(spark: SparkSession, root: str, name: str, required: bool = Tr
     p = os.path.join(root, name)
     try:
         return spark.read.parquet(p)
-    except Exception:  # noqa: BLE001
+    except AnalysisException as e:  # any other error, such as a corrupt file, is raised as it is
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         if required:
-            raise FileNotFoundError(p)
+            raise FileNotFoundError(p) from e
         return None

@@ -11,17 +11,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from earnlens.session import checkpoint_dir
+from earnlens.sources.tables import input_signature
 
 _WRITTEN: dict = {}
 
 
 def processed(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
     """``build()`` written once as Parquet under the checkpoint folder for this
-    application and input folder, then read back."""
+    application and state of the input folder, then read back."""
     app = spark.sparkContext.applicationId
-    key = (app, name, os.path.abspath(sf_dir))
+    key = (app, name, sf_dir, input_signature(spark, sf_dir))
     if key not in _WRITTEN:
-        tag = hashlib.md5(f"{app}|{key[2]}".encode()).hexdigest()[:12]
+        tag = hashlib.md5(repr(key).encode()).hexdigest()[:12]
         path = os.path.join(checkpoint_dir(spark), "processed", f"{name}-{tag}")
         build().write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path

@@ -47,12 +47,14 @@ def monitor_stream(stream: DataFrame, baseline: DataFrame, features: list[str],
         ring, total = ([], 0)
         if state.exists:
             ring, total = list(state.get[0]), int(state.get[1])
+        # chunks of a batch come in any order: the newest rows of all of them
+        newest = None
         for pdf in pdfs:
-            pdf = pdf.sort_values(order_cols)
-            vals = pdf[bfeats].to_numpy(dtype=float)
-            total += len(vals)
-            ring.extend(vals.tolist())
-            ring = ring[-window:]
+            total += len(pdf)
+            newest = pdf if newest is None else pd.concat([newest, pdf])
+            newest = newest.sort_values(order_cols, kind="stable").tail(window)
+        if newest is not None:
+            ring = (ring + newest[bfeats].to_numpy(dtype=float).tolist())[-window:]
         state.update((ring, total))
         n = len(ring)
         if n < min_obs:

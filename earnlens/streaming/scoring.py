@@ -11,19 +11,25 @@ from earnlens.operators.requests import normalise_requests, validate_requests
 from earnlens.operators.score import Artefacts, score
 
 
+def write_batch(df: DataFrame, epoch_id: int, art: Artefacts, catalogue: DataFrame, sink: str) -> None:
+    """One batch of raw requests to ``scores`` and ``rejected``."""
+    df = df.persist()  # read once for both outputs
+    try:
+        good, bad = validate_requests(normalise_requests(df), catalogue)
+        score(good, art).write.mode("overwrite").parquet(os.path.join(sink, "scores", f"batch_id={epoch_id}"))
+        bad.select("request_id", F.array_join("errors", "; ").alias("errors")).write.mode("overwrite").parquet(
+            os.path.join(sink, "rejected", f"batch_id={epoch_id}"))
+    finally:
+        df.unpersist()
+
+
 def stream_score(stream: DataFrame, art: Artefacts, catalogue: DataFrame, sink: str,
                  checkpoint: str):
     """Score each micro-batch of raw requests and append the responses (and
-    the rejected requests, with reasons) to parquet sinks. ``foreachBatch``
-    gives exactly-once output per batch id via the checkpoint."""
-    def batch(df: DataFrame, epoch_id: int):
-        good, bad = validate_requests(normalise_requests(df), catalogue)
-        score(good, art).withColumn("batch_id", F.lit(epoch_id)).write.mode("append").parquet(
-            os.path.join(sink, "scores"))
-        bad.select("request_id", F.array_join("errors", "; ").alias("errors"),
-                   F.lit(epoch_id).alias("batch_id")).write.mode("append").parquet(
-            os.path.join(sink, "rejected"))
-    return (stream.writeStream.foreachBatch(batch)
+    the rejected requests, with reasons) to parquet sinks. Each batch
+    overwrites its own ``batch_id=<n>`` folder, so a replayed batch adds no
+    rows."""
+    return (stream.writeStream.foreachBatch(lambda df, n: write_batch(df, n, art, catalogue, sink))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

@@ -8,17 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from earnlens.session import checkpoint_dir
+from earnlens.sources.tables import path_status
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """A table's parquet file(s) as a file stream with an explicit schema
-    (swap ``format`` for kafka in production; the rest is unchanged)."""
-    schema = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A table as a file stream with an explicit schema (swap ``format`` for
+    kafka in production; the rest is unchanged): the part files of a folder,
+    or the single file itself."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(sf_dir)
+    if path_status(spark, path).isDirectory():
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def stream_location(spark: SparkSession, label: str) -> str:
