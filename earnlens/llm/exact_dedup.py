@@ -67,8 +67,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     key = ["n_len", "sha"]
     same = rows.where("shared").groupBy(*key, "doc_id").agg(F.count("*").alias("n"))
     groups = same.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    # the hot group of copies is one key here: the side of single rows is
-    # split by the adaptive skew join, the other side has unique keys
+    groups = stage(groups, "exact-kept")
+    # the hot group of copies is one key here: both sides are shuffles of their
+    # own, so the adaptive skew join splits the side of single rows
     shared = same.join(groups, key).select(
         "doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"),
         F.col("sha").alias("text_sha256"))

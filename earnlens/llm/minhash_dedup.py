@@ -215,6 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * 4 * ROWS + 1, 4 * ROWS)) for i in range(BANDS)])
     in_band = reps.select("d", F.posexplode(keys).alias("band", "bucket"))
     buckets = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("d").alias("pivot")).where("n > 1")
+    buckets = stage(buckets, "near-pivots")
     shared = stage(in_band.join(buckets, "bucket"), "near-buckets")
 
     pairs = shared.where("d <> pivot").select(F.col("d").alias("a"), F.col("pivot").alias("b")).distinct()

@@ -177,6 +177,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     nodes = nodes.where("n > 1").select(
         "node", ((F.col("min_way_in") != F.col("max_way_in")) | (F.col("min_way_out") != F.col("max_way_out")))
         .cast("int").alias("branching"))
+    # a stage, so that the join's sides are two shuffles and a hot node is split
+    nodes = stage(nodes, "bruijn-nodes")
     flags = seen.select(*KEY, "pos", "node").join(nodes, "node").groupBy(*KEY).agg(
         F.collect_list(F.col("pos") * 2 + F.col("branching")).alias("flags"))
     flags = stage(flags, "bruijn-flags")
@@ -185,7 +187,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     with_flags = rows.join(flags, KEY)
     paths = stage(with_flags.mapInArrow(releasing(_paths(window, k)), _PATHS), "bruijn-paths")
     still = paths.select(*KEY, F.explode("open").alias("o")).select(*KEY, "o.pos", "o.h1", "o.h2")
-    more = still.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    more = stage(still.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "bruijn-windows")
     starts = still.join(more, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_list("pos").alias("starts"))
     found = paths.select(*KEY, "runs").join(starts, KEY, "left").where("size(runs) > 0 or starts is not null")
     return found.dropDuplicates(KEY)  # rows that repeat id and text
