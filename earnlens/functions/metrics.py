@@ -36,3 +36,9 @@ def exact_mean(c, scale: int = 10) -> Column:
     beside a half-way value and round the other way (means of cent amounts
     often sit exactly on a half at the 5th decimal)."""
     return F.avg(_c(c).cast(f"decimal(38,{scale})")).cast("double")
+
+
+def cents(c) -> Column:
+    """Rounded to cents through four exact decimals: half a cent goes up
+    whatever the double nearest to it is."""
+    return F.round(_c(c).cast("decimal(20,4)"), 2).cast("double")

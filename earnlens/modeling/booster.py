@@ -10,7 +10,10 @@ distributed pieces:
 3. the leaf value is the alpha-quantile of the residual y - f among the
    leaf's rows (``percentile_approx``, one aggregate over <= 2^depth
    groups), shrunk by n / (n + lambda);
-4. f += step * value[leaf] (a literal map of <= 2^depth entries).
+4. f += step * value[leaf].
+
+A fitted tree is kept as its splits, and a head is scored as ONE column
+expression over them: no assembler and no model stage per tree.
 
 Lineage grows by one tree per round, so the working frame is checkpointed
 to the shared ``spark.checkpoint.dir`` every ``checkpoint_every`` rounds
@@ -19,11 +22,12 @@ to the shared ``spark.checkpoint.dir`` every ``checkpoint_every`` rounds
 
 from __future__ import annotations
 
+import json
 import random
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +36,43 @@ from earnlens.session import checkpoint_dir
 
 @dataclass
 class _Tree:
-    model: DecisionTreeRegressionModel
-    features: list[str]
-    leaf_values: dict[int, float]
+    """``root``: a leaf's value, or [feature, threshold, left, right]; a value
+    up to the threshold goes left, a larger or missing one right."""
+    root: list | float
+
+    def column(self) -> Column:
+        return _descend(self.root)
+
+
+def _descend(node) -> Column:
+    if not isinstance(node, list):
+        return F.lit(float(node))
+    feature, threshold, left, right = node
+    return F.when(F.col(feature) <= F.lit(float(threshold)), _descend(left)).otherwise(_descend(right))
+
+
+def _splits(node, features: list[str], leaves: list):
+    """The splits of an MLlib tree; leaf i of ``leaves`` (its number) from the left."""
+    if node.subtreeDepth() == 0:
+        leaves.append(len(leaves))
+        return leaves[-1]
+    split = node.split()
+    left = _splits(node.leftChild(), features, leaves)
+    return [features[split.featureIndex()], split.threshold(), left,
+            _splits(node.rightChild(), features, leaves)]
+
+
+def _with_values(node, values: dict[int, float]):
+    if not isinstance(node, list):
+        return values.get(int(node), 0.0)
+    return [*node[:2], _with_values(node[2], values), _with_values(node[3], values)]
+
+
+def _total(cols: list[Column]) -> Column:
+    """The sum, halved recursively: its depth grows with log(n)."""
+    if len(cols) == 1:
+        return cols[0]
+    return _total(cols[:len(cols) // 2]) + _total(cols[len(cols) // 2:])
 
 
 @dataclass
@@ -82,70 +120,44 @@ class QuantileBooster:
             sample = gx.sample(False, self.subsample, seed=rng.randrange(1 << 30)) \
                 if self.subsample < 1.0 else gx
             tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", maxDepth=self.max_depth,
-                                         maxBins=self.max_bins, leafCol="_leaf",
-                                         seed=rng.randrange(1 << 30)).fit(sample)
-            leaves = tree.transform(gx)
-            vals = leaves.groupBy("_leaf").agg(
+                                         maxBins=self.max_bins, seed=rng.randrange(1 << 30)).fit(sample)
+            root = _splits(tree._call_java("rootNode"), feats, [])
+            vals = cur.groupBy(_Tree(root).column().cast("int").alias("_leaf")).agg(
                 F.percentile_approx(F.col("_y") - F.col("_f"), alpha, 10000).alias("q"),
                 F.count("*").alias("n")).collect()          # <= 2^depth rows
-            lv = {int(v["_leaf"]): float(v["q"]) * v["n"] / (v["n"] + self.reg_lambda) for v in vals}
-            head.trees.append(_Tree(tree, feats, lv))
-            cur = tree.transform(gx).withColumn(
-                "_f", F.col("_f") + F.lit(self.step) * _leaf_map(lv)[F.col("_leaf").cast("int")]
-            ).select(*self.features, "_y", "_f")
+            lv = {v["_leaf"]: float(v["q"]) * v["n"] / (v["n"] + self.reg_lambda) for v in vals}
+            head.trees.append(_Tree(_with_values(root, lv)))
+            cur = cur.withColumn("_f", F.col("_f") + F.lit(self.step) * head.trees[-1].column())
             if (r + 1) % self.checkpoint_every == 0:
                 cur = cur.checkpoint(eager=True)
         return head
 
 
-def _leaf_map(lv: dict[int, float]) -> Column:
-    return F.create_map(*[x for k, v in sorted(lv.items()) for x in (F.lit(k), F.lit(v))])
-
-
 class QuantileBoosterModel:
     def __init__(self, features: list[str], heads: list[QuantileHead]):
         self.features, self.heads = features, heads
 
     def transform(self, df: DataFrame, prefix: str = "q") -> DataFrame:
         """Adds one column per head (model space): ``q10``, ``q50``, ``q90``."""
-        out = df
+        heads = {}
         for h in self.heads:
-            name = f"{prefix}{int(round(h.alpha * 100))}"
-            out = out.withColumn(name, F.lit(h.base))
-            for i, t in enumerate(h.trees):
-                asm = VectorAssembler(inputCols=t.features, outputCol="_x", handleInvalid="keep")
-                tm = t.model.copy().setLeafCol("_leaf").setPredictionCol("_p")
-                out = tm.transform(asm.transform(out)).withColumn(
-                    name, F.col(name) + F.lit(h.step) * _leaf_map(t.leaf_values)[F.col("_leaf").cast("int")]
-                ).drop("_x", "_leaf", "_p")
-        return out
+            grown = F.lit(h.step) * _total([t.column() for t in h.trees]) if h.trees else F.lit(0.0)
+            heads[f"{prefix}{int(round(h.alpha * 100))}"] = F.lit(h.base) + grown
+        return df.withColumns(heads)
 
     def save(self, path: str) -> None:
-        """SNK-03: trees as MLlib models + a JSON manifest of leaf values."""
-        import json
-        import os
-        man = {"features": self.features, "heads": []}
-        for hi, h in enumerate(self.heads):
-            hm = {"alpha": h.alpha, "base": h.base, "step": h.step, "trees": []}
-            for ti, t in enumerate(h.trees):
-                p = os.path.join(path, f"h{hi}_t{ti}")
-                t.model.write().overwrite().save(p)
-                hm["trees"].append({"path": p, "features": t.features,
-                                    "leaf_values": {str(k): v for k, v in t.leaf_values.items()}})
-            man["heads"].append(hm)
+        """SNK-03: one JSON document with all splits and leaf values; it holds
+        no path, so a model can be moved."""
+        man = {"features": self.features, "heads": [
+            {"alpha": h.alpha, "base": h.base, "step": h.step, "trees": [t.root for t in h.trees]}
+            for h in self.heads]}
         spark_write_text(path, json.dumps(man))
 
     @staticmethod
     def load(spark, path: str) -> "QuantileBoosterModel":
-        import json
         man = json.loads(spark.read.text(path + "/manifest").first()[0])
-        heads = []
-        for hm in man["heads"]:
-            h = QuantileHead(hm["alpha"], hm["base"], hm["step"])
-            for t in hm["trees"]:
-                h.trees.append(_Tree(DecisionTreeRegressionModel.load(t["path"]), t["features"],
-                                     {int(k): v for k, v in t["leaf_values"].items()}))
-            heads.append(h)
+        heads = [QuantileHead(h["alpha"], h["base"], h["step"], [_Tree(t) for t in h["trees"]])
+                 for h in man["heads"]]
         return QuantileBoosterModel(man["features"], heads)
 
 

@@ -18,35 +18,46 @@ def feature_importance(model, features: list[str]) -> DataFrame:
                                  "feature string, importance double").orderBy(F.desc("importance"))
 
 
-def permuted(df: DataFrame, col: str, key: str, seed: int, buckets: int | None = None) -> DataFrame:
-    """``df`` with ``col`` replaced by a seeded permutation of itself.
-    Rows are spread over random buckets (as many as the session's shuffle
-    parallelism) and permuted inside each bucket (windows partitioned by
-    bucket), so no task sees the whole column."""
+def permuted_copies(df: DataFrame, features: list[str], key: str, repeats: int, seed: int,
+                    buckets: int | None = None) -> DataFrame:
+    """A copy of ``df`` per (``_feature``, ``_repeat``), in it that feature
+    replaced by a seeded permutation of itself. Rows of a copy are spread over
+    random buckets (as many as the session's shuffle parallelism) and permuted
+    inside each (windows partitioned by copy and bucket), so no task sees a
+    whole column. One explode, two windows and one join make all copies."""
     if buckets is None:
         from earnlens.operators.ranking import choose_buckets
         buckets = choose_buckets(df)
-    b = df.withColumn("_pb", hash_unit(key, f"{seed}|b", buckets))
-    w_src = Window.partitionBy("_pb").orderBy(hash_rank_key(key, f"{seed}|{col}"), key)
-    w_dst = Window.partitionBy("_pb").orderBy(key)
-    src = b.select("_pb", F.row_number().over(w_src).alias("_r"), F.col(col).alias("_new"))
-    dst = b.withColumn("_r", F.row_number().over(w_dst))
-    return dst.join(src, ["_pb", "_r"]).drop(col, "_pb", "_r").withColumnRenamed("_new", col)
+    copies = F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1)))
+    x = df.withColumn("_c", copies)
+    x = x.withColumns({"_pb": F.pmod(F.xxhash64(key, "_c", F.lit(seed)), F.lit(buckets)),
+                       "_f": F.element_at(F.array(*[F.lit(f) for f in features]),
+                                          F.floor(F.col("_c") / repeats).cast("int") + 1)})
+    value = F.coalesce(*[F.when(F.col("_f") == f, F.col(f).cast("double")) for f in features])
+    shuffled = Window.partitionBy("_c", "_pb").orderBy(F.xxhash64(key, "_c", F.lit(seed + 1)), key)
+    ordered = Window.partitionBy("_c", "_pb").orderBy(key)
+    src = x.select("_c", "_pb", F.row_number().over(shuffled).alias("_r"), value.alias("_new"))
+    dst = x.withColumn("_r", F.row_number().over(ordered)).join(src, ["_c", "_pb", "_r"])
+    types = dict(df.dtypes)
+    return dst.select(
+        *[F.when(F.col("_f") == c, F.col("_new").cast(types[c])).otherwise(F.col(c)).alias(c)
+          if c in features else F.col(c) for c in df.columns],
+        F.col("_f").alias("_feature"), (F.col("_c") % repeats).alias("_repeat"))
+
+
+def permuted(df: DataFrame, col: str, key: str, seed: int, buckets: int | None = None) -> DataFrame:
+    """``df`` with the numeric ``col`` replaced by a seeded permutation of itself."""
+    return permuted_copies(df, [col], key, 1, seed, buckets).drop("_feature", "_repeat")
 
 
 def permutation_importance(model, df: DataFrame, features: list[str], key: str,
                            label: str = "annual_income", prediction: str = "prediction",
-                           repeats: int = 5, seed: int = 42) -> DataFrame:
+                           repeats: int = 50, seed: int = 42) -> DataFrame:
     """EXP-02: mean and std of the R2 drop when one feature is permuted.
-    All (feature, repeat) copies are unioned and scored in one transform."""
+    All (feature, repeat) copies are scored in one transform."""
     base = ev.point_metrics(model.transform(df), label, prediction).select(
         F.col("r2").alias("base_r2"), F.lit(0).alias("_k"))
-    copies = None
-    for f in features:
-        for r in range(repeats):
-            c = permuted(df, f, key, seed + r).select(*df.columns).withColumns(
-                {"_feature": F.lit(f), "_repeat": F.lit(r)})
-            copies = c if copies is None else copies.unionByName(c)
+    copies = permuted_copies(df, features, key, repeats, seed)
     scored = model.transform(copies)
     per = ev.point_metrics(scored, label, prediction, ["_feature", "_repeat"])
     per = per.withColumn("_k", F.lit(0)).join(F.broadcast(base), "_k")

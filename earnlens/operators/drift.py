@@ -34,7 +34,7 @@ def last_n(df: DataFrame, n: int, order=("ts", "event_id")) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def drift_report(window: DataFrame, baseline: DataFrame, total: DataFrame | None = None,
+def drift_report(window: DataFrame, baseline: DataFrame,
                  threshold: float = dims.DRIFT_THRESHOLD,
                  min_obs: int = dims.DRIFT_MIN_OBS) -> DataFrame:
     """DRF-01..03/05/10: per baseline feature, z = |window mean - baseline
@@ -64,6 +64,22 @@ def drift_report(window: DataFrame, baseline: DataFrame, total: DataFrame | None
                         .over(Window.partitionBy(F.lit(1))) == 1)
 
 
+def drift_envelope(window: DataFrame, baseline: DataFrame, total: DataFrame,
+                   threshold: float = dims.DRIFT_THRESHOLD,
+                   min_obs: int = dims.DRIFT_MIN_OBS) -> DataFrame:
+    """DRF-02/10: one row about the whole report, also where the window has too
+    few observations for one: status ('ok', 'drift' or 'insufficient'),
+    window_size, total_observations, n_drifted. ``total``: all observations."""
+    r = drift_report(window, baseline, threshold, min_obs)
+    n = one_row(r.agg(F.count_if("drifted").alias("n_drifted"), F.lit(0).alias("_k")))
+    w = one_row(window.agg(F.count("*").alias("window_size"), F.lit(0).alias("_k")))
+    t = total.agg(F.count("*").alias("total_observations"), F.lit(0).alias("_k"))
+    status = F.when(F.col("window_size") < min_obs, "insufficient").when(
+        F.col("n_drifted") > 0, "drift").otherwise("ok")
+    return t.join(w, "_k").join(n, "_k").select(
+        status.alias("status"), "window_size", "total_observations", "n_drifted")
+
+
 def rolling_mean(df: DataFrame, key: str, value: str, n: int = dims.DRIFT_WINDOW,
                  order=("ts", "event_id"), n_buckets: int | None = None) -> DataFrame:
     """WIN-02 (batch replay): mean and count of the last ``n`` values per

@@ -160,6 +160,12 @@ def residual_summary(df: DataFrame, y: str = "annual_income", yhat: str = "p50")
                   F.count("*").alias("n"))
 
 
+def residual_pairs(df: DataFrame, key: str, y: str = "annual_income", yhat: str = "p50") -> DataFrame:
+    """EVA-15: actual, predicted and residual of each row."""
+    return df.select(key, F.col(y).alias("actual"), F.col(yhat).alias("predicted"),
+                     (F.col(y) - F.col(yhat)).alias("residual"))
+
+
 # Metric bands (fixed values of the reference's guard tests).
 BANDS = [
     ("coverage_80", 0.72, 0.88),

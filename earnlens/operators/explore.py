@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from earnlens.functions.metrics import exact_mean
 from earnlens.functions.text import education_bucket
-from earnlens.operators.joins import semi, small
+from earnlens.operators.joins import lookup, semi, small
 from earnlens.sources import dims
 
 INCOME = "annual_income"
@@ -263,3 +263,11 @@ def preview(df: DataFrame, n: int = 5, order: list[str] | None = None,
     cols = [F.col(c).desc() if tail else F.col(c).asc() for c in order]
     out = df.orderBy(*cols).limit(n)
     return out.orderBy(*order) if tail else out
+
+
+def region_by_name(df: DataFrame, abbreviations: DataFrame, regions: DataFrame,
+                   state: str = "state") -> DataFrame:
+    """PRJ-13: state name -> ``abbreviation`` -> ``region_name`` by two lookups;
+    an unknown name or abbreviation gives null. ``abbreviations``: (state,
+    abbreviation); ``regions``: (abbreviation, region_name)."""
+    return lookup(lookup(df, abbreviations, state), regions, "abbreviation")

@@ -100,3 +100,23 @@ def threshold_consistency(annual: float, hourly: float, hours: int = 2080,
                           tol: float = 0.01) -> bool:
     """DQ-12: the hourly floor equals annual / hours within ``tol``."""
     return abs(hourly - annual / hours) <= tol
+
+
+def threshold_checks(wages: DataFrame, labelled: DataFrame, annual: float, hourly: float,
+                     threshold: float, hours: int = 2080, tol: float = 0.01, label: str = "premium",
+                     income: str = "annual_income") -> DataFrame:
+    """DQ-12 -> (rule, passed, observed): the two wage floors agree, every wage
+    row's hourly mean is its annual mean over ``hours`` and every label is
+    income >= ``threshold``, the one that is served."""
+    off = F.abs(F.col("hourly_mean") - F.col("annual_mean_wage") / hours) > tol
+    w = wages.agg(F.count_if(off).cast("double").alias("observed")).select(
+        F.lit("wage_rows_agree").alias("rule"), (F.col("observed") == 0).alias("passed"), "observed",
+        F.lit(abs(hourly - annual / hours)).alias("_gap"))
+    w = w.select(F.explode(F.array(
+        F.struct("rule", "passed", "observed"),
+        F.struct(F.lit("floors_agree").alias("rule"), F.lit(threshold_consistency(annual, hourly, hours, tol)).alias(
+            "passed"), F.col("_gap").alias("observed")))).alias("r")).select("r.*")
+    wrong = F.col(label).cast("int") != (F.col(income) >= threshold).cast("int")
+    lab = labelled.agg(F.count_if(wrong).cast("double").alias("observed")).select(
+        F.lit("labels_match_threshold").alias("rule"), (F.col("observed") == 0).alias("passed"), "observed")
+    return w.unionByName(lab)

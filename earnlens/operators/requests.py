@@ -18,10 +18,9 @@ def normalise_requests(df: DataFrame) -> DataFrame:
                            "gender": normalise_gender("gender")})
 
 
-def validate_requests(df: DataFrame, catalogue: DataFrame, age_lo: int = 18,
-                      age_hi: int = 80) -> tuple[DataFrame, DataFrame]:
-    """DQ-09: split requests into (valid, rejected). A request is rejected
-    with every reason that applies: unknown state / occupation / education
+def flag_requests(df: DataFrame, catalogue: DataFrame, age_lo: int = 18,
+                  age_hi: int = 80) -> DataFrame:
+    """DQ-09: every request with the array ``errors`` of all reasons to reject it: unknown state / occupation / education
     (against the cohort's catalogue of valid values, distinct and
     broadcast after a size check), age outside [age_lo, age_hi], negative
     optional context, gender not Male/Female."""
@@ -40,7 +39,13 @@ def validate_requests(df: DataFrame, catalogue: DataFrame, age_lo: int = 18,
     flags.append(F.when(~F.col("gender").isin(*GENDERS) | F.col("gender").isNull(),
                         F.lit("invalid gender")))
     out = out.withColumn("errors", F.array_compact(F.array(*flags)))
-    out = out.drop(*[f"_hit_{c}" for c in ("state", "occupation", "education_level")])
+    return out.drop(*[f"_hit_{c}" for c in ("state", "occupation", "education_level")])
+
+
+def validate_requests(df: DataFrame, catalogue: DataFrame, age_lo: int = 18,
+                      age_hi: int = 80) -> tuple[DataFrame, DataFrame]:
+    """DQ-09: split requests into (valid, rejected with ``errors``)."""
+    out = flag_requests(df, catalogue, age_lo, age_hi)
     good = out.where(F.size("errors") == 0).drop("errors")
     bad = out.where(F.size("errors") > 0)
     return good, bad
@@ -48,12 +53,9 @@ def validate_requests(df: DataFrame, catalogue: DataFrame, age_lo: int = 18,
 
 def validation_report(df: DataFrame, catalogue: DataFrame, id_col: str = "request_id") -> DataFrame:
     """One row per request: is_valid, error_count, errors joined by '; '."""
-    good, bad = validate_requests(df, catalogue)
-    g = good.select(id_col, F.lit(True).alias("is_valid"), F.lit(0).alias("error_count"),
-                    F.lit("").alias("errors"))
-    b = bad.select(id_col, F.lit(False).alias("is_valid"), F.size("errors").alias("error_count"),
-                   F.array_join("errors", "; ").alias("errors"))
-    return g.unionByName(b)
+    return flag_requests(df, catalogue).select(
+        id_col, (F.size("errors") == 0).alias("is_valid"), F.size("errors").alias("error_count"),
+        F.array_join("errors", "; ").alias("errors"))
 
 
 def batch_verdict(df: DataFrame, catalogue: DataFrame, id_col: str = "request_id",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earnlens.functions.hashing import payload_hash
-from earnlens.functions.metrics import clamp_trio, crossed
+from earnlens.functions.metrics import cents, clamp_trio, crossed
 from earnlens.operators import benchmarks as bm
 from earnlens.operators import features as fe
 from earnlens.operators.joins import one_row
@@ -92,7 +92,7 @@ def score(requests: DataFrame, art: Artefacts, id_col: str = "request_id") -> Da
     q = q.withColumn("quantiles_crossed", crossed("_p10", "_p50", "_p90"))
     lo, mid, hi = clamp_trio("_p10", "_p50", "_p90")
     q = q.withColumns({"predicted_p10": F.round(lo, 2), "predicted_p50": F.round(mid, 2),
-                       "predicted_p90": F.round(hi, 2), "_rank": mid})
+                       "predicted_p90": F.round(hi, 2), "_rank": F.round(mid, 6)})  # 6 digits: a peer's very income ties
     if art.classifier is not None:
         from pyspark.ml.functions import vector_to_array
         q = art.classifier.transform(q).withColumn(
@@ -111,7 +111,7 @@ def score(requests: DataFrame, art: Artefacts, id_col: str = "request_id") -> Da
         F.col("predicted_p50").alias("predicted_salary"), "predicted_p10", "predicted_p50",
         "predicted_p90", F.col("predicted_p10").alias("prediction_interval_low"),
         F.col("predicted_p90").alias("prediction_interval_high"), "percentile_in_group",
-        F.round("group_median", 2).alias("group_median"), F.round("group_mean", 2).alias("group_mean"),
+        cents("group_median").alias("group_median"), cents("group_mean").alias("group_mean"),
         "group_size", "p_above_premium_threshold", thr.alias("premium_threshold"),
         "quantiles_crossed")
     if art.model_version:

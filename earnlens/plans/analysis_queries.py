@@ -13,6 +13,7 @@ from earnlens.operators import provenance as pv
 from earnlens.operators import stats as st
 from earnlens.operators.integrate import duplicate_count
 from earnlens.operators.requests import normalise_requests, validation_report
+from earnlens.plans.explore_queries import _BM
 from earnlens.plans.modelviews import S, split_cohort
 from earnlens.plans.registry import query, r4
 from earnlens.plans.sqlviews import P, PW, PWC, with_views, PERSONS, WAGES
@@ -128,7 +129,11 @@ def q_ols(spark, sf):
     return r4(st.ols_line(read_table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice"))
 
 
-@query("premium_market_ols")
+@query("premium_market_ols", P.rstrip() + ",\n" + _BM + """,
+d AS (SELECT p.premium, m.market_size FROM prem p
+      JOIN (SELECT state, count(*) AS market_size FROM persons WHERE annual_income >= 100000 GROUP BY 1) m USING (state))
+SELECT round(regr_slope(premium, market_size), 4) AS slope, round(regr_intercept(premium, market_size), 4) AS intercept,
+       round(regr_r2(premium, market_size), 4) AS r2, CAST(regr_count(premium, market_size) AS BIGINT) AS n FROM d""")
 def q_premium_ols(spark, sf):
     from earnlens.operators.explore import premium_vs_market_size
     from earnlens.plans.explore_queries import bucket_col

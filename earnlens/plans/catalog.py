@@ -2,6 +2,7 @@
 
 from earnlens.plans import analysis_queries  # noqa: F401
 from earnlens.plans import explore_queries  # noqa: F401
+from earnlens.plans import helper_queries  # noqa: F401
 from earnlens.plans import ml_queries  # noqa: F401
 from earnlens.plans import model_queries  # noqa: F401
 from earnlens.plans import stream_queries  # noqa: F401

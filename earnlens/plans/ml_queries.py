@@ -13,11 +13,14 @@ from earnlens.operators import evaluate as ev
 from earnlens.operators import features as fe
 from earnlens.operators.requests import normalise_requests, validate_requests
 from earnlens.operators.score import Artefacts, GroupQuantileModel, score, score_memoised
+from earnlens.operators.ranking import exact_quantiles
 from earnlens.plans.modelviews import split_cohort
+from earnlens.plans.scoring_sql import SCORES
 from earnlens.plans.registry import query, r4
-from earnlens.session import checkpoint_dir, materialize
+from earnlens.session import materialize
 from earnlens.sources import dims
 from earnlens.sources import testbed as tb
+from earnlens.sources.store import processed
 from earnlens.sources.tables import input_signature
 
 T = dims.TESTBED_PREMIUM_THRESHOLD
@@ -52,23 +55,26 @@ def _engineered(spark, sf):
 
 
 def artefacts(spark, sf, model=None, classifier=None):
-    """Training artefacts, each written once (reliable checkpoint in the
-    shared checkpoint folder) like the persisted artefacts of a training run;
-    scoring plans then start from these small tables, not from the cohort's
-    lineage."""
-    raw_train = materialize(split_cohort(spark, sf).where("split = 'train'").drop("split"))
-    om = materialize(fe.group_means(raw_train, "occupation"))
-    sm = materialize(fe.group_means(raw_train, "state"))
-    etrain = materialize(fe.premium_label(fe.log_target(fe.engineer(
-        raw_train, tb.education(spark), tb.region_map(spark, sf), om, sm)), T))
-    gq = GroupQuantileModel("occupation").fit(etrain)
-    gq.table, gq.glob = materialize(gq.table), materialize(gq.glob)
+    """Training artefacts, each written once a session as a Parquet table in
+    the shared folder, like the persisted artefacts of a training run; scoring
+    plans then start from these small tables, not from the cohort's lineage."""
+    kept = lambda name, build: processed(spark, f"artefact-{name}", sf, build)
+    raw_train = kept("train", lambda: split_cohort(spark, sf).where("split = 'train'").drop("split"))
+    om = kept("occ-means", lambda: fe.group_means(raw_train, "occupation"))
+    sm = kept("state-means", lambda: fe.group_means(raw_train, "state"))
+    if model is None:
+        model = GroupQuantileModel("occupation")
+        label = fe.log_target(raw_train)
+        probs = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+        model.table = kept("quantiles", lambda: exact_quantiles(label, ["occupation"], "label", probs))
+        model.glob = kept("quantiles-all", lambda: exact_quantiles(
+            label, [], "label", {f"{k}_g": v for k, v in probs.items()}))
     return Artefacts(
-        education=tb.education(spark), regions=materialize(tb.region_map(spark, sf)),
-        occ_means=om, state_means=sm, defaults=materialize(bm.context_defaults(raw_train)),
-        benchmarks=materialize(bm.peer_benchmarks(raw_train)),
+        education=tb.education(spark), regions=kept("regions", lambda: tb.region_map(spark, sf)),
+        occ_means=om, state_means=sm, defaults=kept("defaults", lambda: bm.context_defaults(raw_train)),
+        benchmarks=kept("benchmarks", lambda: bm.peer_benchmarks(raw_train)),
         incomes=raw_train.select("state", "education_level", "annual_income"),
-        model=model or gq, classifier=classifier,
+        model=model, classifier=classifier,
         premium_threshold=T if classifier is not None else None)
 
 
@@ -77,12 +83,12 @@ def valid_requests(spark, sf):
     return good
 
 
-@query("score_batch")
+@query("score_batch", SCORES.format(more=""))
 def q_score(spark, sf):
     return score(valid_requests(spark, sf), artefacts(spark, sf))
 
 
-@query("score_memoised")
+@query("score_memoised", SCORES.format(more=", true AS cache_hit"))
 def q_score_memo(spark, sf):
     art = artefacts(spark, sf)
     req = valid_requests(spark, sf)
@@ -94,10 +100,27 @@ def q_score_memo(spark, sf):
     return second
 
 
+def premium_model(spark, sf):
+    return _memo(spark, sf, "premium_model", lambda: tr.fit_premium(engineered(spark, sf)[0], label="premium"))
+
+
+def booster_model(spark, sf):
+    p = dict(dims.BOOSTER_PARAMS, **BOOSTER_CHECK)
+    return _memo(spark, sf, "booster", lambda: QuantileBooster(fe.FEATURES_FULL, "label", **p).fit(
+        engineered(spark, sf)[0]))
+
+
+@query("score_trained")
+def q_score_trained(spark, sf):
+    """Requests scored by fitted quantile heads and the fitted classifier."""
+    art = artefacts(spark, sf, booster_model(spark, sf), premium_model(spark, sf))
+    return score(valid_requests(spark, sf), art)
+
+
 def premium_scored(spark, sf):
     def build():
-        etrain, etest, *_ = engineered(spark, sf)
-        m = tr.fit_premium(etrain, label="premium")
+        etest = engineered(spark, sf)[1]
+        m = premium_model(spark, sf)
         return materialize(tr.premium_probability(m, etest))
     return _memo(spark, sf, "premium_scored", build)
 
@@ -142,10 +165,7 @@ def q_compare(spark, sf):
 
 @query("quantile_booster")
 def q_booster(spark, sf):
-    etrain, etest, *_ = engineered(spark, sf)
-    p = dict(dims.BOOSTER_PARAMS, **BOOSTER_CHECK)
-    m = QuantileBooster(fe.FEATURES_FULL, "label", **p).fit(etrain)
-    sc = m.transform(etest).withColumns({"p10": F.expm1("q10"), "p50": F.expm1("q50"),
+    sc = booster_model(spark, sf).transform(engineered(spark, sf)[1]).withColumns({"p10": F.expm1("q10"), "p50": F.expm1("q50"),
                                          "p90": F.expm1("q90")})
     k = lambda d: d.withColumn("_k", F.lit(0))
     return r4(k(ev.interval_metrics(sc)).join(k(ev.pinball_losses(sc)), "_k")
@@ -194,7 +214,7 @@ def q_importance(spark, sf):
 @query("permutation_importance")
 def q_perm(spark, sf):
     m, _, etest = _forest(spark, sf)
-    return r4(xp.permutation_importance(m, etest, fe.FEATURES_FULL, "person_id", repeats=3))
+    return r4(xp.permutation_importance(m, etest, fe.FEATURES_FULL, "person_id", repeats=50))
 
 
 @query("shapley_values")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from earnlens.operators import drift as dr
 from earnlens.plans.registry import query, r4
+from earnlens.plans.scoring_sql import CROSSINGS, SCORES
 from earnlens.sources import testbed as tb
 from earnlens.sources.tables import read_table
 from earnlens.streaming.drift import drift_windows, monitor_stream
@@ -70,13 +71,13 @@ def _stream_scores(spark, sf):
     return loc
 
 
-@query("stream_score")
+@query("stream_score", SCORES.format(more=", 0 AS batch_id"))
 def q_stream_score(spark, sf):
     loc = _stream_scores(spark, sf)
     return spark.read.parquet(os.path.join(loc, "scores"))
 
 
-@query("crossing_counter")
+@query("crossing_counter", CROSSINGS)
 def q_crossings(spark, sf):
     loc = _stream_scores(spark, sf)
     scores = os.path.join(loc, "scores")

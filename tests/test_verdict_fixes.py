@@ -109,3 +109,49 @@ def test_replayed_batch_adds_no_rows(spark, tmp_path):
     rejected = spark.read.parquet(str(tmp_path / "rejected"))
     assert scores.count() + rejected.count() == tb.requests(spark, small).count()
     assert scores.select("request_id").distinct().count() == scores.count()
+
+
+def test_drift_envelope_reports_short_windows(spark):
+    from earnlens.operators import drift as dr
+    base = spark.createDataFrame([("v", 0.0, 1.0)], "feature string, mean double, std double")
+    total = spark.range(1000)
+    rows = lambda n, v: spark.range(n).selectExpr(f"cast({v} as double) as v")
+    one = lambda w: dr.drift_envelope(w, base, total).first().asDict()
+    assert one(rows(29, 5)) == {"status": "insufficient", "window_size": 29, "total_observations": 1000, "n_drifted": 0}
+    assert one(rows(0, 5))["status"] == "insufficient"
+    assert one(rows(30, 5))["status"] == "drift" and one(rows(30, 0))["status"] == "ok"
+
+
+def test_permuted_copies_change_one_column_each(spark):
+    from earnlens.modeling import explain as xp
+    d = spark.range(200).selectExpr("id", "cast(id as double) as a", "cast(id * 2 as int) as b")
+    c = xp.permuted_copies(d, ["a", "b"], "id", 3, 1, buckets=4).toPandas()
+    assert len(c) == 1200 and c.groupby(["_feature", "_repeat"]).size().eq(200).all()
+    for (f, _), g in c.groupby(["_feature", "_repeat"]):
+        other = "b" if f == "a" else "a"
+        scale = {"a": 1, "b": 2}
+        assert sorted(g[f]) == sorted(g["id"] * scale[f]) and (g[f] != g["id"] * scale[f]).any()
+        assert (g[other] == g["id"] * scale[other]).all()
+    assert not (c[c["_repeat"] == 0]["a"].values == c[c["_repeat"] == 1]["a"].values).all()
+
+
+def test_tree_columns_score_like_the_trees(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from earnlens.modeling.booster import _splits, _Tree
+    d = spark.range(300).selectExpr("id", "cast(id % 17 as double) as a", "cast(id % 5 as double) as b",
+                                    "cast((id % 17) * (id % 5) as double) as y")
+    x = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(d)
+    m = DecisionTreeRegressor(featuresCol="x", labelCol="y", maxDepth=3, leafCol="leaf").fit(x)
+    t = _Tree(_splits(m._call_java("rootNode"), ["a", "b"], []))
+    assert m.transform(x).where(t.column() != F.col("leaf")).count() == 0
+
+
+def test_region_by_name_keeps_unknown_names(spark):
+    from earnlens.operators.explore import region_by_name
+    d = spark.createDataFrame([("X",), ("Nowhere",), (None,)], "state string")
+    a = spark.createDataFrame([("X", "XX")], "state string, abbreviation string")
+    r = spark.createDataFrame([("XX", "South")], "abbreviation string, region_name string")
+    got = {x.state: x.region_name for x in region_by_name(d, a, r).collect()}
+    assert got == {"X": "South", "Nowhere": None, None: None}
