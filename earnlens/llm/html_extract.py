@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from earnlens.llm.common import fits, stage, text_or_empty
+from earnlens.llm.common import fits, small_or_shuffle, stage, text_or_empty
 
 # Element names of the HTML standard.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -54,9 +54,13 @@ MAIN_NAMES = {"article", "articlebody", "main"}
 CONSTANT_PAGES = 4
 #: A region in which links hold more of the text than this is no content.
 LINK_SHARE = 0.6
-#: Hosts a worker holds wrappers of before it passes them on, and nodes of a
-#: wrapper; further nodes are judged by their names alone.
+#: Hosts a worker holds wrappers of before it passes them on, and nodes at which
+#: a partial wrapper is passed on and the next one begun.
 HOSTS_HELD, NODES_HELD = 2000, 4000
+#: Characters of a judged wrapper; larger ones are not sent with every page.
+LARGE = 1 << 16
+#: Pages that one copy of a large wrapper meets (about: pages are dealt by a hash).
+PAGES_MET = 2000
 
 #: Elements nested deeper than this are not nodes of their own.
 DEEPEST = 100
@@ -227,7 +231,27 @@ def match_score(a: list, b: list) -> int:
     parents and the order of siblings."""
     if a[KEY] != b[KEY]:
         return 0
-    return 1 + (_table(a[CHILDREN], b[CHILDREN])[-1][-1] if a[CHILDREN] and b[CHILDREN] else 0)
+    xs, ys = a[CHILDREN], b[CHILDREN]
+    if not xs or not ys:
+        return 1
+    left, right = _alike([x[KEY] for x in xs], [y[KEY] for y in ys])
+    xs, ys = [xs[i] for i in left], [ys[j] for j in right]
+    if _plain(xs, ys):
+        return 1 + sum(map(match_score, xs, ys))
+    return 1 + _table(xs, ys)[-1][-1]
+
+
+def _alike(xs: list[str], ys: list[str]) -> tuple[list[int], list[int]]:
+    """Indexes of the keys that the other list has too; no others can match."""
+    in_x, in_y = set(xs), set(ys)
+    return [i for i, k in enumerate(xs) if k in in_y], [j for j, k in enumerate(ys) if k in in_x]
+
+
+def _plain(xs: list, ys: list) -> bool:
+    """Whether both have the same keys in the same order, none twice: then all
+    of them match."""
+    keys = [x[KEY] for x in xs]
+    return keys == [y[KEY] for y in ys] and len(set(keys)) == len(keys)
 
 
 def _table(xs: list, ys: list) -> list[list[int]]:
@@ -243,21 +267,33 @@ def _table(xs: list, ys: list) -> list[list[int]]:
 
 def align(xs: list, ys: list) -> list[tuple[int | None, int | None]]:
     """Sibling lists aligned by their matching; unmatched ones with None."""
-    if [x[KEY] for x in xs] == [y[KEY] for y in ys]:
+    a, b = [x[KEY] for x in xs], [y[KEY] for y in ys]
+    if a == b:
+        return [(i, i) for i in range(len(xs))]
+    left, right = _alike(a, b)
+    out, i, j = [], 0, 0
+    for m, n in [*_matched([xs[k] for k in left], [ys[k] for k in right]), (None, None)]:
+        to_i, to_j = (len(xs), len(ys)) if m is None else (left[m], right[n])
+        out += [(k, None) for k in range(i, to_i)] + [(None, k) for k in range(j, to_j)]
+        if m is not None:
+            out.append((to_i, to_j))
+            i, j = to_i + 1, to_j + 1
+    return out
+
+
+def _matched(xs: list, ys: list) -> list[tuple[int, int]]:
+    if _plain(xs, ys):
         return [(i, i) for i in range(len(xs))]
     table, out = _table(xs, ys), []
     i, j = len(xs), len(ys)
-    while i or j:
-        if i and j and xs[i - 1][KEY] == ys[j - 1][KEY] and \
-                table[i][j] == table[i - 1][j - 1] + match_score(xs[i - 1], ys[j - 1]):
+    while i and j:
+        if xs[i - 1][KEY] == ys[j - 1][KEY] and table[i][j] == table[i - 1][j - 1] + match_score(xs[i - 1], ys[j - 1]):
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif j and (not i or table[i][j] == table[i][j - 1]):
+        elif table[i][j] == table[i][j - 1]:
             j -= 1
-            out.append((None, j))
         else:
             i -= 1
-            out.append((i, None))
     return out[::-1]
 
 
@@ -319,7 +355,7 @@ def extract(page: Node, judged: list | None) -> str:
                 runs[-1][1].append(child)
             else:
                 runs.append([child.key, [child]])
-        pairs = _aligned(runs, w[3] if w is not None else [])
+        pairs = _aligned(runs, w) if w is not None else {}
         for i, (_, same) in enumerate(runs):
             for child in same:
                 walk(child, pairs.get(i), content)
@@ -328,10 +364,20 @@ def extract(page: Node, judged: list | None) -> str:
     return "\n".join(t for _, t in sorted(found))
 
 
-def _aligned(runs: list, kids: list) -> dict[int, list]:
+def _aligned(runs: list, w: list) -> dict[int, list]:
     as_node = lambda key, children: [key, 0, 0, 0, 0, 0, 0, children]
-    if [r[0] for r in runs] == [k[0] for k in kids]:
+    kids = w[3]
+    if len(runs) == len(kids) and [r[0] for r in runs] == [k[0] for k in kids]:
         return dict(enumerate(kids))
+    if len(w) == 4:  # places of its children by key, made once
+        w.append({})
+        for j, k in enumerate(kids):
+            w[4].setdefault(k[0], []).append(j)
+    left = [i for i, r in enumerate(runs) if r[0] in w[4]]
+    right = sorted(j for key in {runs[i][0] for i in left} for j in w[4][key])
+    keys = [runs[i][0] for i in left]
+    if keys == [kids[j][0] for j in right] and len(set(keys)) == len(keys):
+        return {i: kids[j] for i, j in zip(left, right)}
 
     def shape(n: Node) -> list:
         return as_node(n.key, [shape(c) for i, c in enumerate(n.children) if not i or n.children[i - 1].key != c.key])
@@ -339,37 +385,45 @@ def _aligned(runs: list, kids: list) -> dict[int, list]:
     def judged_shape(k: list) -> list:
         return as_node(k[0], [judged_shape(c) for c in k[3]])
 
-    pairs = align([shape(r[1][0]) for r in runs], [judged_shape(k) for k in kids])
-    return {i: kids[j] for i, j in pairs if i is not None and j is not None}
+    pairs = align([shape(runs[i][1][0]) for i in left], [judged_shape(kids[j]) for j in right])
+    return {left[i]: kids[right[j]] for i, j in pairs if i is not None and j is not None}
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
+    most: dict[str, int] = {}
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_pydict({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
-        held.clear()
+    def flush(hosts: list[str]) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pydict({"host": hosts, "wrapper": [json.dumps(held.pop(h)) for h in hosts]})
+        for h in hosts:
+            most.pop(h)
         return out
 
     for batch in batches:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             own = page_slots(parse(html))
-            w = held.get(host)
-            if w is None:
-                held[host] = own
-            elif own[SAME] is not None and size(w) < NODES_HELD:
-                held[host] = merge(w, own)
+            if host not in held:
+                held[host], most[host] = own, max(NODES_HELD, 2 * size(own))
+                continue
+            held[host] = merge(held[host], own)
+            if size(held[host]) >= most[host]:
+                yield flush([host])
         if len(held) > HOSTS_HELD:
-            yield flush()
+            yield flush(list(held))
     if held:
-        yield flush()
+        yield flush(list(held))
 
 
 def _merge_hosts(rows: pd.DataFrame) -> pd.DataFrame:
-    whole = None
+    parts: list[tuple[int, list]] = []  # merged by twos, so that none meets all others one after another
     for text in rows["wrapper"].sort_values():
-        w = json.loads(text)
-        whole = w if whole is None else merge(whole, w) if size(whole) < NODES_HELD else whole
+        level, w = 0, json.loads(text)
+        while parts and parts[-1][0] == level:
+            level, w = level + 1, merge(parts.pop()[1], w)
+        parts.append((level, w))
+    whole = parts.pop()[1]
+    while parts:
+        whole = merge(parts.pop()[1], whole)
     return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [json.dumps(whole)]})
 
 
@@ -393,6 +447,22 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def _extract_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in which a host's wrapper comes before its pages."""
+    known = None
+    for batch in batches:
+        at, out = [], []
+        for i, (html, wrapper) in enumerate(zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist())):
+            if wrapper is not None:
+                known = json.loads(wrapper)
+            else:
+                at.append(i)
+                out.append(extract(parse(html), known))
+        ids = batch.select(["page_id", "url"]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())],
+                                         names=["page_id", "url", "text", "n_chars"])
+
+
 def host_of(url: str = "url"):
     """The host of a URL in lower case; empty if there is none."""
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
@@ -420,12 +490,31 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), host_of(url).alias("host"),
                         text_or_empty(html).alias("html"))
+    schema = "page_id long, url string, text string, n_chars long"
     wrappers = stage(induce_wrappers(rows.where("html <> ''").select("host", "html")), "html-judged")
+    large = wrappers.where(F.length("wrapper") > LARGE)
+    dealt = None
+    if large.limit(1).count():
+        hosts = rows.join(small_or_shuffle(large.select("host"), 64), "host", "left_semi").groupBy("host").agg(
+            F.ceil(F.count("*") / PAGES_MET).cast("int").alias("salts"))
+        hosts = stage(hosts, "html-large")
+        wrappers = wrappers.where(F.length("wrapper") <= LARGE)
+        few = small_or_shuffle(hosts, 64)
+        own = rows.join(few, "host").select(
+            "host", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"),
+            "page_id", "url", "html", F.lit(None).cast("string").alias("wrapper"))
+        nothing = lambda kind: F.lit(None).cast(kind)
+        sent = large.join(few, "host").select(
+            "host", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"),
+            nothing("long").alias("page_id"), nothing("string").alias("url"), nothing("string").alias("html"), "wrapper")
+        dealt = sent.unionByName(own).repartition("host", "salt").sortWithinPartitions("host", "salt", "kind").select(
+            "page_id", "url", "html", "wrapper").mapInArrow(_extract_dealt, schema)
+        rows = rows.join(few, "host", "left_anti")
     if fits(wrappers, 8192):
         known = rows.join(F.broadcast(wrappers), "host", "left")
     else:  # hot hosts are split over salts
         salts = F.array(*[F.lit(i) for i in range(SALTS)])
         known = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(
             wrappers.withColumn("salt", F.explode(salts)), ["host", "salt"], "left")
-    return known.select("page_id", "url", "html", "wrapper").mapInArrow(
-        _extract, "page_id long, url string, text string, n_chars long")
+    out = known.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, schema)
+    return out if dealt is None else out.unionByName(dealt)
