@@ -31,9 +31,7 @@ from earnlens.llm.graph import components
 from earnlens.llm.words import shingles
 
 WIDTH = 5
-#: A pair at the threshold agrees on no band with a chance of about 1e-6.
-BANDS, ROWS = 24, 5
-HASHES = BANDS * ROWS
+HASHES = 120
 #: Hashes compared before each test of the posterior.
 BATCH = 24
 #: Percent of the union.
@@ -48,6 +46,14 @@ _MUL = _rng.integers(0, 2 ** 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.ui
 _ADD = _rng.integers(0, 2 ** 63, HASHES, dtype=np.uint64)
 
 
+def bands(percent: int, miss: float = MISS) -> tuple[int, int]:
+    """Bands and hashes of a band: the longest bands at which a pair at the
+    threshold agrees on none with a chance of about ``miss`` (up to twice it)."""
+    s = percent / 100
+    return next((HASHES // r, r) for r in range(HASHES, 0, -1)
+                if HASHES % r == 0 and (r == 1 or (1 - s ** r) ** (HASHES // r) <= 2 * miss))
+
+
 def signature(sh: np.ndarray) -> bytes:
     low = np.full(HASHES, 2 ** 32 - 1, dtype=np.uint32)
     for i in range(0, len(sh), 512):
@@ -136,7 +142,7 @@ def _sets(width: int):
     return run
 
 
-def _blocks(percent: int, miss: float):
+def _blocks(percent: int, miss: float, n_bands: int, n_rows: int):
     """Sorted rows of blocks (key ``bucket, fb, ab``) to links between
     different components. Pairs that stay plausible are verified on their full
     sets, the likeliest first, until one links a member with a component; a
@@ -159,7 +165,7 @@ def _blocks(percent: int, miss: float):
             other = np.flatnonzero(comp != c)
             other = other[plausible(own[None], sig[other], percent / 100, miss)]
             equal = sig[other] == own
-            first = equal.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            first = equal.reshape(len(other), n_bands, n_rows).all(axis=2).argmax(axis=1)
             likely = np.argsort(-equal.sum(axis=1), kind="stable")
             met = set()
             for i in other[likely[first[likely] == band]].tolist():
@@ -212,7 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         (F.col("set") == F.col("s")) & (F.col("d") == F.col("r"))).select("d", "n_shingles", "sig")
     reps = stage(reps, "near-reps")
 
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * 4 * ROWS + 1, 4 * ROWS)) for i in range(BANDS)])
+    n_bands, n_rows = bands(percent, miss)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * 4 * n_rows + 1, 4 * n_rows)) for i in range(n_bands)])
     in_band = reps.select("d", F.posexplode(keys).alias("band", "bucket"))
     buckets = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("d").alias("pivot")).where("n > 1")
     buckets = stage(buckets, "near-pivots")
@@ -272,13 +279,13 @@ def _between(shared: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFr
     few = at.where("c <> main").select("bucket", own("nf").alias("fb"), every("na").alias("ab"), F.lit(True).alias("few"), *rest)
     all_ = at.select("bucket", every("nf").alias("fb"), own("na").alias("ab"), F.lit(False).alias("few"), *rest)
     dealt = few.unionByName(all_).repartition("bucket", "fb", "ab").sortWithinPartitions("bucket", "fb", "ab")
-    return stage(dealt.mapInArrow(releasing(_blocks(percent, miss)), "a long, b long").distinct(), "near-between")
+    return stage(dealt.mapInArrow(releasing(_blocks(percent, miss, *bands(percent, miss))), "a long, b long").distinct(), "near-between")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with
-    all columns."""
+    all columns. Texts that share at least ``percent`` of their shingles are linked."""
     name, = fresh(docs.columns, "_gone")
-    gone = near_duplicates(docs, id_col, text).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    gone = near_duplicates(docs, id_col, text, percent=percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
     gone = small_or_shuffle(stage(gone, "near-gone"), 16)
     return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
