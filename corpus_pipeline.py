@@ -43,7 +43,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in sequences of a model's length."""
-    return queries.pack_documents(docs)
+    return queries.pack_documents(docs, queries.ADDED)
 
 
 def bounded(function: Callable) -> Callable:

@@ -10,6 +10,7 @@ is left. Only bins move; pieces are joined with their final bin at the end.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from zlib import crc32
 
 import numpy as np
@@ -35,18 +36,19 @@ PASSED_ON = 512
 UNIT_ROWS, FAN_IN = 200_000, 8
 
 
-def _encoding(ranks: str, pattern: str):
+def _encoding(ranks: str, pattern: str, added: dict[str, int]):
     from base64 import b64decode
 
     from tiktoken import Encoding
     with open(ranks, "rb") as f:
         table = {b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=added)
 
 
-def _pieces(ranks: str, pattern: str, capacity: int, with_ids: bool):
+def _pieces(ranks: str, pattern: str, capacity: int, with_ids: bool, added: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(ranks, pattern).encode_ordinary
+        encoding = _encoding(ranks, pattern, added)
+        encode = partial(encoding.encode, allowed_special="all") if added else encoding.encode_ordinary
         for batch in batches:
             row, piece, start, length, crc, all_ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
@@ -71,15 +73,17 @@ def _pieces(ranks: str, pattern: str, capacity: int, with_ids: bool):
 
 
 def tokenised_pieces(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text: str = "text",
-                     capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+                     capacity: int = CAPACITY, with_ids: bool = False,
+                     added: dict[str, int] | None = None) -> DataFrame:
     """Documents to pieces: ``doc_id, piece, start, length, ids_crc32`` and,
     if asked for, ``ids``. A document is its token ids and an end id; a longer
     one is cut so that all pieces but the first are full. ``ranks`` and
     ``pattern`` are those of a byte-level BPE vocabulary. Null and empty texts
-    are one piece of one id; special tokens in a text are ordinary text."""
+    are one piece of one id. ``added`` tokens in a text (token to id) split it and
+    become their ids, as a tokenizer that has them does; without, they are ordinary text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return rows.mapInArrow(releasing(_pieces(ranks, pattern, capacity, with_ids)), schema)
+    return rows.mapInArrow(releasing(_pieces(ranks, pattern, capacity, with_ids, added or {})), schema)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -89,13 +89,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"))
+    return pack_documents(read_table(spark, sf_dir, "documents"), ADDED)
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    """Documents packed with the 50k byte-level vocabulary."""
+#: The token that byte_bpe_50k.json adds to the ranks.
+ADDED = {"<|endoftext|>": 50256}
+
+
+def pack_documents(docs: DataFrame, added: dict[str, int] | None = None) -> DataFrame:
+    """Documents packed with the 50k byte-level vocabulary; ``added`` as in
+    :func:`packing.tokenised_pieces`."""
     import public_tokenizers
-    pieces = packing.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    pieces = packing.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
     return packing.pack(pieces)
 
 
