@@ -3,6 +3,7 @@ the runs table (MOD-02..09, EVA-12/13/18). All fits are Spark ML jobs."""
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import date
 
@@ -122,37 +123,56 @@ def seed_stability(run, seeds=(11, 22, 33, 44, 55)) -> DataFrame:
                                                    F.stddev_pop(m).alias(f"{m}_std"))])
 
 
-SEARCH_SPACE = {"maxDepth": (3, 8), "stepSize": (0.01, 0.3), "maxIter": (10, 60),
-                "subsamplingRate": (0.6, 1.0)}
+SEARCH_SPACE = {"maxDepth": (3, 8), "stepSize": (0.01, 0.3), "maxIter": (100, 500),
+                "subsamplingRate": (0.6, 1.0), "columnShare": (0.6, 1.0)}
+
+
+def draw_trials(trials: int, seed: int = 42, space=None) -> list[dict]:
+    """``trials`` points of the space; the step is drawn log-uniformly."""
+    s, rng = space or SEARCH_SPACE, random.Random(seed)
+    return [{"maxDepth": rng.randint(*s["maxDepth"]),
+             "stepSize": math.exp(rng.uniform(*map(math.log, s["stepSize"]))),
+             "maxIter": rng.randint(*s["maxIter"]),
+             "subsamplingRate": rng.uniform(*s["subsamplingRate"]),
+             "columnShare": rng.uniform(*s["columnShare"])} for _ in range(trials)]
 
 
 def random_search(train: DataFrame, key: str, trials: int = 30, k: int = 5, seed: int = 42,
-                  features=FEATURES_FULL, label: str = "annual_income", parallelism: int = 4):
+                  features=FEATURES_FULL, label: str = "annual_income", parallelism: int = 4,
+                  space=None):
     """MOD-07: random search over ``SEARCH_SPACE`` maximising CV R2
-    (CrossValidator with hash folds, models fitted in parallel)."""
+    (CrossValidator with hash folds, models fitted in parallel). Columns are
+    sampled for each node, Spark's way. The first result's ``bestModel`` is
+    the best trial refitted on all of ``train``."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator
-    rng = random.Random(seed)
     gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed)
-    maps = []
-    for _ in range(trials):
-        maps.append({gbt.maxDepth: rng.randint(*SEARCH_SPACE["maxDepth"]),
-                     gbt.stepSize: rng.uniform(*SEARCH_SPACE["stepSize"]),
-                     gbt.maxIter: rng.randint(*SEARCH_SPACE["maxIter"]),
-                     gbt.subsamplingRate: rng.uniform(*SEARCH_SPACE["subsamplingRate"])})
+    drawn = draw_trials(trials, seed, space)
+    maps = [{gbt.maxDepth: t["maxDepth"], gbt.stepSize: t["stepSize"], gbt.maxIter: t["maxIter"],
+             gbt.subsamplingRate: t["subsamplingRate"],
+             gbt.featureSubsetStrategy: f"{t['columnShare']:.6f}"} for t in drawn]
     cv = CrossValidator(estimator=Pipeline(stages=[assembler(features), gbt]),
                         estimatorParamMaps=maps, evaluator=RegressionEvaluator(
                             labelCol=label, metricName="r2"),
-                        foldCol="fold", parallelism=parallelism)
+                        numFolds=k, foldCol="fold", parallelism=parallelism)
     model = cv.fit(hash_folds(train, key, k, seed))
     spark = train.sparkSession
-    rows = [(i, float(m[gbt.maxDepth]), float(m[gbt.stepSize]), float(m[gbt.maxIter]),
-             float(m[gbt.subsamplingRate]), float(r)) for i, (m, r) in enumerate(zip(maps, model.avgMetrics))]
+    rows = [(i, float(t["maxDepth"]), t["stepSize"], float(t["maxIter"]), t["subsamplingRate"],
+             t["columnShare"], float(r)) for i, (t, r) in enumerate(zip(drawn, model.avgMetrics))]
     trials_df = spark.createDataFrame(rows, "trial int, max_depth double, step double, "
-                                            "max_iter double, subsample double, cv_r2 double")
+                                            "max_iter double, subsample double, column_share double, cv_r2 double")
     return model, trials_df
 
 
+def search_gain(best, train: DataFrame, test: DataFrame, features=FEATURES_FULL,
+                label: str = "annual_income") -> DataFrame:
+    """MOD-07: the refitted best trial on the test split, and its R2 less that
+    of the booster with its default parameters (MOD-05), as one row."""
+    own = regression_metrics(best, test, label).select(*[F.col(c).alias(f"test_{c}") for c in ("r2", "rmse", "mae")])
+    default = regression_metrics(fit_gbt_regressor(train, features, label), test, label).select(F.col("r2").alias("default_r2"))
+    return own.crossJoin(default).withColumn("delta_r2", F.col("test_r2") - F.col("default_r2"))
+
+
 def run_row(spark, name: str, params: dict, metrics: dict, feature_set: str, n_train: int,
             n_test: int) -> DataFrame:
     """MOD-09/EVA-18: one row of the runs table (append with unionByName or
