@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earnlens.llm import chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, pieces, substring_dedup, topk_search, toxicity
+from earnlens.llm import (chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, periodic_runs, pieces, substring_dedup,
+                          topk_search, toxicity)
 from earnlens.llm.common import bounded_batches, read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -175,3 +177,50 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return pieces.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def with_planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """One document in ten repeats from word ``a`` on with period ``p``."""
+    h = 1 if doc_id is None else crc32(str(doc_id).encode())
+    n = len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    part = words[a:a + p]
+    return words[:a] + (part * ((n - a) // p + 1))[:n - a]
+
+
+@query("op11_periodic_runs", r"""
+with recursive c as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+         xor(list_reduce([4294967295::bigint] || flatten(list_transform(string_split(cast(doc_id as varchar), ''),
+             lambda ch: [cast(ascii(ch) as bigint), -1, -1, -1, -1, -1, -1, -1, -1])),
+             lambda s, x: case when x >= 0 then xor(s, x) else xor(s >> 1, 3988292384::bigint * (s & 1)) end), 4294967295::bigint) as h
+  from documents),
+d as (select doc_id, ws, len(ws) as n, h, h // 10 as g, case when len(ws) > 0 then (h // 10) % len(ws) end as a from c),
+e as (select *, 1 + (n - a) // (3 + g % 8) as p from d),
+w as (select doc_id, n, i, case when h % 10 = 0 and i >= a then ws[a + (i - a) % p + 1] else ws[i + 1] end as word
+      from (select *, unnest(range(n)) as i from e)),
+m as (select x.doc_id, y.i - x.i as q, x.i from w x join w y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and y.i - x.i <= x.n // 3),
+s as (select doc_id, q, min(i) as start, count(*) + q as length
+      from (select *, i - row_number() over (partition by doc_id, q order by i) as island from m) group by doc_id, q, island),
+r as (select doc_id, start, length, min(q) as period from s where length >= greatest(24, 3 * q) group by doc_id, start, length),
+t as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs from r group by doc_id),
+b as (select x.* from r x where not exists (select 1 from r y where x.doc_id = y.doc_id and
+      (y.length * x.period > x.length * y.period or (y.length * x.period = x.length * y.period and (y.start < x.start or (y.start = x.start and y.period < x.period)))))),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from r),
+k as (select w.doc_id, string_agg(word, ' ' order by w.i) as kept from w left join gone on w.doc_id = gone.doc_id and w.i = gone.i
+      where gone.i is null group by w.doc_id)
+select d.doc_id, coalesce(t.n_runs, 0) as n_runs, b.start, b.length, b.period, (1000 * b.length) // b.period as exponent_milli,
+       sha256(coalesce(t.runs, '')) as runs_sha256, sha256(coalesce(k.kept, '')) as collapsed_sha256
+from d left join t on d.doc_id = t.doc_id left join b on d.doc_id = b.doc_id left join k on d.doc_id = k.doc_id""")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(read_table(spark, sf_dir, "documents"), rewrite=with_planted_run)
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    best = F.col("strongest")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
