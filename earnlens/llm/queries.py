@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earnlens.llm import (chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, periodic_runs, pieces, substring_dedup,
-                          topk_search, toxicity)
+                          token_alignment, topk_search, toxicity)
 from earnlens.llm.common import bounded_batches, read_table
 
 QUERIES: dict[str, Callable] = {}
@@ -224,3 +224,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
         best["period"].alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    out = token_alignment.align_documents(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"))
+    return out.drop("groups")
