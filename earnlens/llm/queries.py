@@ -9,7 +9,7 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earnlens.llm import (chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, periodic_runs, pieces, substring_dedup,
+from earnlens.llm import (chat, exact_dedup, html_extract, line_dedup, minhash_dedup, packing, periodic_runs, pieces, posting_lists, substring_dedup,
                           token_alignment, topk_search, toxicity)
 from earnlens.llm.common import bounded_batches, read_table
 
@@ -233,3 +233,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
         public_tokenizers.path("piece_bpe_32k.model"))
     return out.drop("groups")
+
+
+@query("op13_nearest_neighbours")
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    good = F.col("embedding").isNotNull() & F.forall(
+        "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    vectors = rows.where(good).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return posting_lists.nearest(vectors, vectors.where("id % 100 = 0"), 10)
