@@ -10,7 +10,6 @@ is left. Only bins move; pieces are joined with their final bin at the end.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from zlib import crc32
 
 import numpy as np
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from earnlens.llm.byte_tokens import ByteEncoder, read_ranks
 from earnlens.llm.common import fresh, releasing, small_or_shuffle, stage, text_or_empty
 
 CAPACITY = 2048
@@ -36,19 +36,9 @@ PASSED_ON = 512
 UNIT_ROWS, FAN_IN = 200_000, 8
 
 
-def _encoding(ranks: str, pattern: str, added: dict[str, int]):
-    from base64 import b64decode
-
-    from tiktoken import Encoding
-    with open(ranks, "rb") as f:
-        table = {b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=added)
-
-
 def _pieces(ranks: str, pattern: str, capacity: int, with_ids: bool, added: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(ranks, pattern, added)
-        encode = partial(encoding.encode, allowed_special="all") if added else encoding.encode_ordinary
+        encode = ByteEncoder(read_ranks(ranks), pattern, added).encode
         for batch in batches:
             row, piece, start, length, crc, all_ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
