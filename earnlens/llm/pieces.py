@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 from zlib import crc32
 
@@ -33,6 +34,22 @@ UNUSED_SCORE = -1e8
 REMEMBERED, LONGEST = 250_000, 48
 
 
+class Memory(dict):
+    """Stretches to the bytes of their ids (32 bits each), found on first use."""
+
+    def __init__(self, search):
+        super().__init__()
+        self.search = search
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = np.fromiter(self.search(stretch), dtype="<u4").tobytes()
+        if len(stretch) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[stretch] = ids
+        return ids
+
+
 class Vocabulary:
     """Pieces with their scores; byte pieces stand for any other character."""
 
@@ -70,7 +87,7 @@ class Vocabulary:
         letters = "[" + "".join(map(re.escape, joined)) + "]" if joined else r"(?!)"
         #: Stretches that no piece leaves.
         self.stretch = None if inner else re.compile(f"{MARK}+{letters}*|{letters}+|.", re.S)
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory = Memory(self.stream)
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -118,30 +135,24 @@ class Vocabulary:
                     best, back, ids = best[meet - base:], back[meet - base:], ids[meet - base:]
                     base = meet
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text. A space mark in the text itself is spelt in
-        bytes, so that every text can be restored."""
-        out: list[int] = []
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text, 32 bits each. A space mark in the text itself is
+        spelt in bytes, so that every text can be restored."""
         if not text:
-            return out
-        memory = self.memory
+            return b""
+        out: list[bytes] = []
         for n, part in enumerate(text.split(MARK)):
             if n:
-                out += self.bytes_of(MARK)
+                out.append(np.array(self.bytes_of(MARK), dtype="<u4").tobytes())
             chars = (MARK if not n else "") + part.replace(" ", MARK)
             if self.stretch is None:
-                out.extend(self.stream(chars))
-                continue
-            for s in self.stretch.findall(chars):
-                known = memory.get(s)
-                if known is None:
-                    known = tuple(self.stream(s))
-                    if len(s) <= LONGEST:
-                        if len(memory) >= REMEMBERED:
-                            memory.clear()
-                        memory[s] = known
-                out += known
-        return out
+                out.append(np.fromiter(self.stream(chars), dtype="<u4").tobytes())
+            else:
+                out.extend(map(self.memory.__getitem__, self.stretch.findall(chars)))
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement marks."""
@@ -162,8 +173,10 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(maxsize=1)
 def load(model: str) -> Vocabulary:
-    """The vocabulary of a model file with byte fallback, with its own scores."""
+    """The vocabulary of a model file with byte fallback, with its own scores.
+    A worker keeps it, and the stretches it remembers, for its later tasks."""
     from sentencepiece import SentencePieceProcessor
     sp = SentencePieceProcessor(model_file=model)
     ids = range(sp.get_piece_size())
@@ -180,10 +193,11 @@ def _encode(model: str):
                 part = batch.slice(i, 500)
                 ids, crc, digest, same = [], [], [], []
                 for text in part.column("text").to_pylist():
-                    own = vocabulary.encode(text)
-                    again = vocabulary.decode(own)
-                    ids.append(np.array(own, dtype=np.int32))
-                    crc.append(crc32(ids[-1].astype("<u4").tobytes()))
+                    raw = vocabulary.encode_bytes(text)
+                    own = np.frombuffer(raw, dtype="<u4")
+                    again = vocabulary.decode(own.tolist())
+                    ids.append(own.astype(np.int32))
+                    crc.append(crc32(raw))
                     digest.append(sha256(again.encode("utf-8", "surrogatepass")).hexdigest())
                     same.append(again == text)
                 yield pa.RecordBatch.from_arrays(
