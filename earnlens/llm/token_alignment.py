@@ -34,49 +34,58 @@ BLOCK_BYTES = 8 << 20
 CODEC = "zstd"
 
 
-def aligned(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+#: Tokens of the first probe of a stretch.
+FIRST_PROBE = 8
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All links, in order, of tokens that end at ``a`` and ``b`` (ascending,
-    with the same last end): indices into ``a`` and into ``b``. A link is the
-    last one of its group where both tokens end alike."""
-    left: list[int] = []
-    right: list[int] = []
-    i = j = 0
-    n = len(a)
+    with the same last end): indices into ``a`` and into ``b``, and whether the
+    link is the last one of its group, because both tokens end alike."""
+    x, y = a.tolist(), b.tolist()
+    # slices of the end arrays, as bytes, compare at once
+    raw_x, raw_y = (ends.astype("<i8").tobytes() for ends in (a, b))
+    stay_x: list[int] = []  # links after which only B goes on to its next token
+    stay_y: list[int] = []
+    i = j = links = 0
+    n = len(x)
     while i < n:
-        at, step = i, 1
-        while i < n and a[i:i + step] == b[j:j + step]:
+        at, step = i, FIRST_PROBE
+        while i < n and raw_x[8 * i:8 * (i + step)] == raw_y[8 * j:8 * (j + step)]:
             i += step
             j += step
             step *= 2
-        if i < n:
-            while step > 1:
-                step //= 2
-                if a[i:i + step] == b[j:j + step]:
-                    i += step
-                    j += step
-        else:
-            j += n - i
-            i = n
-        if i > at:
-            left.extend(range(at, i))
-            right.extend(range(j - i + at, j))
-        if i == n:
+        if i >= n:
+            links += n - at
             break
-        x, y = a[i], b[j]
-        while x != y:
-            left.append(i)
-            right.append(j)
-            if x < y:
+        while step > 1:
+            step //= 2
+            if raw_x[8 * i:8 * (i + step)] == raw_y[8 * j:8 * (j + step)]:
+                i += step
+                j += step
+        links += i - at
+        u, v = x[i], y[j]
+        while u != v:
+            if u < v:
+                stay_y.append(links)
                 i += 1
-                x = a[i]
+                u = x[i]
             else:
+                stay_x.append(links)
                 j += 1
-                y = b[j]
-        left.append(i)
-        right.append(j)
+                v = y[j]
+            links += 1
+        links += 1
         i += 1
         j += 1
-    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+    every, last = np.arange(links), np.ones(links, dtype=bool)
+    sides = []
+    for stay in (stay_x, stay_y):
+        still = np.zeros(links + 1, dtype=np.int64)
+        still[np.array(stay, dtype=np.int64) + 1] = 1
+        sides.append(every - np.cumsum(still)[:-1])
+        last[stay] = False
+    return *sides, last
 
 
 class Aligner:
@@ -115,9 +124,7 @@ class Aligner:
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The links (indices of A and B tokens) and which of them end a group."""
-        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        left, right = aligned(a_ends.tolist(), b_ends.tolist())
-        return left, right, a_ends[left] == b_ends[right]
+        return aligned(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
 
     def spell(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3``, from the ids and the last index of every group on both sides."""

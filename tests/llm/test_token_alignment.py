@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -32,11 +33,12 @@ def test_links_of_random_cuts():
     for _ in range(500):
         n = rng.randrange(1, 70)
         a, b = ([x for x in range(1, n) if rng.random() < rng.choice([.2, .6, 1])] + [n] for _ in "ab")
-        left, right = token_alignment.aligned(a, b)
+        left, right, last = token_alignment.aligned(np.array(a), np.array(b))
         assert list(zip(left, right)) == overlaps(a, b)
-    left, right = token_alignment.aligned(list(range(1, 5001)), list(range(1, 5001)))
-    assert list(left) == list(right) == list(range(5000))
-    assert [len(x) for x in token_alignment.aligned([], [])] == [0, 0]
+        assert list(last) == [a[i] == b[j] for i, j in zip(left, right)]
+    left, right, last = token_alignment.aligned(np.arange(1, 5001), np.arange(1, 5001))
+    assert list(left) == list(right) == list(range(5000)) and last.all()
+    assert [len(x) for x in token_alignment.aligned(*[np.empty(0, dtype=np.int64)] * 2)] == [0, 0, 0]
 
 
 TEXTS = [None, "", " ", "a", "The quick brown fox", "The quick brown fox", "naïve café — 東京 \U0001f600", "</s> <s> <|endoftext|>", "a  b\n\n\tc",
