@@ -13,11 +13,14 @@ that is asked for.
 
 Equal vectors count by their smallest ids only, as no query can return more;
 lists are dealt into segments of bounded rows and their queries into blocks,
-so that no task depends on how many vectors or queries a list draws.
+so that no task depends on how many vectors or queries a list draws. A task
+goes through its segments in order and carries each query's best along, so
+that it passes on no more than those and skips what their last one excludes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 from earnlens.llm.common import releasing, stage
 
 #: Vectors that the centroids are fitted to, at most (rows of least hash), and
-#: lists, at most. Below that there is a list for every ``LIST_ROWS`` vectors.
-SAMPLE_ROWS, MAX_LISTS, LIST_ROWS = 65_536, 8192, 64
+#: lists, at most. Below that the lists, and what each holds, grow with the
+#: square root of the vectors: ``LIST_SHARE`` times it.
+SAMPLE_ROWS, MAX_LISTS, LIST_SHARE = 65_536, 8192, 2
 #: Links of a centroid, and centroids that a search keeps in view at first:
 #: the view widens while its last centroid is still within a query's ratio.
 DEGREE, BEAM = 24, 64
@@ -44,6 +48,10 @@ BOUNDARY_RATIO, REPLICAS, SPREAD = 1.02, 2, 0.25
 RECALL, CALIBRATED = 0.96, 256
 #: Vectors of a segment and queries of a block.
 SEGMENT_ROWS, BLOCK_ROWS = 4096, 512
+#: Tasks that search the graph for the queries, at most (64 queries each at least).
+PROBE_TASKS = 2048
+#: Queries whose best a task carries along; beyond it passes them on.
+CARRIED = 50_000
 
 
 @dataclass
@@ -237,7 +245,7 @@ def fit(vectors: DataFrame, dim: int, rows: int, lists: int | None = None, sampl
     """The centroids and their graph, from at most about ``sample`` of the
     ``rows`` vectors (``id, v``); one task holds the sample, and the driver the
     index: at most ``MAX_LISTS`` centroids."""
-    lists = min(lists or -(-rows // LIST_ROWS), MAX_LISTS)
+    lists = min(lists or math.ceil(LIST_SHARE * math.sqrt(rows)), MAX_LISTS)
     share = min(1.0, sample / max(rows, 1))
     part = vectors.where(F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(1 << 20)) < share * (1 << 20))
     part = part if rows <= sample else part.limit(2 * sample)
@@ -264,21 +272,81 @@ def nearest_in(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np
         yield q_ids[i], ids[at][order], exact[order]
 
 
-def _search(dim: int, k: int):
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            q_ids, queries = left.column("id").to_numpy(), _matrix(left.column("v").combine_chunks(), dim)
-            ids, rows = right.column("id").to_numpy(), _matrix(right.column("v").combine_chunks(), dim)
-            for i in range(0, len(q_ids), 128):
-                out += nearest_in(queries[i:i + 128], q_ids[i:i + 128], rows, ids, k)
-        sizes = [len(x[1]) for x in out]
-        whole = lambda j, kind: np.concatenate([x[j] for x in out]) if out else np.empty(0, dtype=kind)
-        return pa.table({"query_id": pa.array(np.repeat(np.array([x[0] for x in out], dtype=np.int64), sizes)),
-                         "vec_id": pa.array(whole(1, np.int64)), "score": pa.array(whole(2, np.float64))})
+class Carried:
+    """The best of the queries that a task has met: ``query id -> (distances, ids)``."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bound(self, q: int) -> float:
+        far = self.best[q][0] if q in self.best else ()
+        return far[-1] if len(far) == self.k else np.inf
+
+    def meet(self, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Products tell which queries the rows may improve, and by which rows."""
+        approx = squared(queries, rows)
+        approx[q_ids[:, None] == ids[None, :]] = np.inf
+        slack = 1e-9 * ((queries ** 2).sum(axis=1) + (rows ** 2).sum(axis=1).max(initial=0))
+        limit = np.array([self.bound(q) for q in q_ids.tolist()]) ** 2 + slack
+        for i in np.flatnonzero(approx.min(axis=1, initial=np.inf) <= limit):
+            d, most = approx[i], limit[i]
+            if len(d) > self.k:
+                most = min(most, np.partition(d, self.k - 1)[self.k - 1] + slack[i])
+            at = np.flatnonzero((d <= most) & np.isfinite(d))
+            far, near = np.sqrt(((rows[at] - queries[i]) ** 2).sum(axis=1)), ids[at]
+            have = self.best.get(int(q_ids[i]))
+            if have is not None:
+                # a vector that lies in several lists comes again
+                again = np.isin(near, have[1]) & np.isin(far, have[0])
+                far, near = np.concatenate((have[0], far[~again])), np.concatenate((have[1], near[~again]))
+            order = np.lexsort((near, far))[:self.k]
+            self.best[int(q_ids[i])] = (far[order], near[order])
+
+    def rows(self) -> pa.RecordBatch:
+        found, self.best = self.best, {}
+        sizes = [len(far) for far, _ in found.values()]
+        whole = lambda j, kind: np.concatenate([x[j] for x in found.values()]) if found else np.empty(0, dtype=kind)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.fromiter(found, dtype=np.int64, count=len(found)), sizes)), pa.array(whole(1, np.int64)),
+             pa.array(whole(0, np.float64))], names=["query_id", "vec_id", "score"])
+
+
+def _search(dim: int, k: int, group: list[str]):
+    """Rows sorted by ``group`` and ``side`` (queries, 0, before vectors, 1) to
+    the best of each query in this task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, at = Carried(k), None
+        q_ids, queries = np.empty(0, dtype=np.int64), np.empty((0, dim))
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in [*group, "side"]], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                key, side = tuple(keys[a, :-1]), keys[a, -1]
+                if key != at:
+                    if len(carried.best) > CARRIED:
+                        yield carried.rows()
+                    at, q_ids, queries = key, q_ids[:0], queries[:0]
+                for c in range(a, b, 2048):
+                    part = batch.slice(c, min(2048, b - c))
+                    ids, rows = part.column("id").to_numpy(), _matrix(part.column("v"), dim)
+                    if side == 0:
+                        q_ids, queries = np.concatenate((q_ids, ids)), np.concatenate((queries, rows))
+                        continue
+                    for i in range(0, len(q_ids), 256):
+                        carried.meet(q_ids[i:i + 256], queries[i:i + 256], ids, rows)
+        yield carried.rows()
     return run
 
 
+def _met(queries: DataFrame, vectors: DataFrame, group: list[str], dim: int, k: int) -> DataFrame:
+    """The best of every query among the vectors of its own groups."""
+    both = queries.select(*group, F.lit(0).cast("long").alias("side"), "id", "v").unionByName(
+        vectors.select(*group, F.lit(1).cast("long").alias("side"), "id", "v"))
+    dealt = both.repartition(*group).sortWithinPartitions(*group, "side", "id")
+    return dealt.mapInArrow(releasing(_search(dim, k, group)), "query_id long, vec_id long, score double")
+
+
 def _nearest_of_all(q_ids: np.ndarray, queries: np.ndarray, k: int):
     """Rows ``id, v`` to each query's ``k`` nearest of the task, with vectors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +436,8 @@ def _nearest_of(own: DataFrame, mine: DataFrame, dim: int, rows: int, k: int, li
     kinds = "list long, id long, v array<double>"
     posted = stage(own.mapInArrow(releasing(_by_lists(index, dim, lambda v: boundary_lists(index, v, boundary_ratio, replicas))), kinds),
                    "lists-posted")
-    probes = stage(mine.mapInArrow(releasing(_by_lists(index, dim, lambda v: query_lists(index, v, ratio, beam))), kinds), "lists-probes")
+    apart = mine.repartition(max(1, min(PROBE_TASKS, mine.count() // 64)), "id")
+    probes = stage(apart.mapInArrow(releasing(_by_lists(index, dim, lambda v: query_lists(index, v, ratio, beam))), kinds), "lists-probes")
     # both sides of a list are split by a hash: segments of vectors meet blocks of queries
     count = lambda df, n, name: df.groupBy("list").agg(F.ceil(F.count("*") / n).alias(name))
     grid = stage(count(posted, segment_rows, "segments").join(count(probes, block_rows, "blocks"), "list"), "lists-grid")
@@ -376,9 +445,7 @@ def _nearest_of(own: DataFrame, mine: DataFrame, dim: int, rows: int, k: int, li
     salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     sides = [posted.join(grid, "list").withColumn("segment", salt("segments")).withColumn("block", spread("blocks")),
              probes.join(grid, "list").withColumn("block", salt("blocks")).withColumn("segment", spread("segments"))]
-    vectors, queries = (x.select("list", "segment", "block", "id", "v").groupBy("list", "segment", "block") for x in sides)
-    found = queries.cogroup(vectors).applyInArrow(_search(dim, k), "query_id long, vec_id long, score double")
-    found = stage(found, "lists-found")
+    found = stage(_met(sides[1], sides[0], ["list", "segment", "block"], dim, k), "lists-found")
     # queries whose lists hold too few are compared with every vector
     enough = found.distinct().groupBy("query_id").count().where(F.col("count") >= k)
     short = stage(mine.join(enough.select(F.col("query_id").alias("id")), "id", "left_anti"), "lists-short")
@@ -388,6 +455,6 @@ def _nearest_of(own: DataFrame, mine: DataFrame, dim: int, rows: int, k: int, li
     parts, groups = -(-rows // segment_rows), -(-n // block_rows)
     number = lambda m: F.pmod(F.xxhash64("id"), F.lit(m))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    all_vectors = own.withColumn("segment", number(parts)).withColumn("block", every(groups)).groupBy("segment", "block")
-    all_queries = short.withColumn("block", number(groups)).withColumn("segment", every(parts)).groupBy("segment", "block")
-    return found.unionByName(all_queries.cogroup(all_vectors).applyInArrow(_search(dim, k), "query_id long, vec_id long, score double"))
+    all_vectors = own.withColumn("segment", number(parts)).withColumn("block", every(groups))
+    all_queries = short.withColumn("block", number(groups)).withColumn("segment", every(parts))
+    return found.unionByName(_met(all_queries, all_vectors, ["segment", "block"], dim, k))
