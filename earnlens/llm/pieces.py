@@ -31,7 +31,9 @@ UNKNOWN_PENALTY = 10.0
 #: Scores below this mark pieces that are never to be used.
 UNUSED_SCORE = -1e8
 #: Stretches that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 250_000, 48
+REMEMBERED, LONGEST = 600_000, 48
+#: Pairs of a word character and a sign that pieces may hold, for stretches to end between the two.
+MOST_BRIDGES = 200
 
 
 class Memory(dict):
@@ -82,11 +84,22 @@ class Vocabulary:
         #: Lengths of the pieces that end in two characters, the longest first.
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         self.text = [p.replace(MARK, " ") if p in self.score else "" for p, _ in pieces]
-        joined = sorted({c for p in self.score if len(p) > 1 for c in p} - {MARK})
+        #: Neighbouring characters that some piece holds; a place between any
+        #: other two is spanned by no piece.
+        inside = {x + y for p in self.score for x, y in zip(p, p[1:])}
+        joined = {c for pair in inside for c in pair} - {MARK}
+        words = {c for c in joined if c.isalnum()}
+        kinds = [c for c in (words, joined - words) if c]
+        runs = "(?:" + "|".join("[" + "".join(map(re.escape, sorted(c))) + "]+" for c in kinds) + ")" if kinds else "(?!)"
+        # words and signs are run together at the pairs of the two only
+        across = sorted(x + y for x, y in inside if MARK not in (x, y) and (x in words) != (y in words))
+        bridge = "|".join(f"(?<={re.escape(x)})(?={re.escape(y)})" for x, y in across)
+        if len(across) > MOST_BRIDGES:
+            runs, bridge = "[" + "".join(map(re.escape, sorted(joined))) + "]+", ""
+        run = runs + (f"(?:(?:{bridge}){runs})*" if bridge else "")
         inner = any(MARK in p.lstrip(MARK) for p in self.score)
-        letters = "[" + "".join(map(re.escape, joined)) + "]" if joined else r"(?!)"
         #: Stretches that no piece leaves.
-        self.stretch = None if inner else re.compile(f"{MARK}+{letters}*|{letters}+|.", re.S)
+        self.stretch = None if inner else re.compile(f"{MARK}+(?:{run})?|{run}|.", re.S)
         self.memory = Memory(self.stream)
 
     def bytes_of(self, char: str) -> list[int]:
