@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 from zlib import crc32
 
@@ -30,7 +29,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Scores below this mark pieces that are never to be used.
 UNUSED_SCORE = -1e8
-#: Stretches that a worker remembers, and the longest of them.
+#: Stretches that a task remembers, and the longest of them.
 REMEMBERED, LONGEST = 600_000, 48
 #: Pairs of a word character and a sign that pieces may hold, for stretches to end between the two.
 MOST_BRIDGES = 200
@@ -186,10 +185,8 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
-@lru_cache(maxsize=1)
 def load(model: str) -> Vocabulary:
-    """The vocabulary of a model file with byte fallback, with its own scores.
-    A worker keeps it, and the stretches it remembers, for its later tasks."""
+    """The vocabulary of a model file with byte fallback, with its own scores."""
     from sentencepiece import SentencePieceProcessor
     sp = SentencePieceProcessor(model_file=model)
     ids = range(sp.get_piece_size())
