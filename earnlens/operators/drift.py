@@ -81,45 +81,38 @@ def drift_envelope(window: DataFrame, baseline: DataFrame, total: DataFrame,
 
 
 def rolling_mean(df: DataFrame, key: str, value: str, n: int = dims.DRIFT_WINDOW,
-                 order=("ts", "event_id"), n_buckets: int | None = None) -> DataFrame:
+                 order=("ts", "event_id"), n_buckets: int | None = None, exact: bool = False) -> DataFrame:
     """WIN-02 (batch replay): mean and count of the last ``n`` values per
-    key in arrival order (``order``), exact, without putting a hot key in
-    one task.
-
-    1. each key's rows are cut into time ranges (``percentile_approx``
-       bounds of the first order column);
-    2. a row's rank in its key = rows in lower ranges + its rank inside the
-       range (window per (key, range));
-    3. every range receives copies of the rows, from earlier ranges, that
-       fall within its first row's n-1 predecessors (at most n-1 per range);
-    4. a ROWS frame of n inside each (key, range) over own + borrowed rows,
-       keeping own rows only."""
-    from earnlens.operators.ranking import choose_buckets, with_value_bucket
-    t0, rest = order[0], list(order[1:])
-    from earnlens.functions.text import epoch_micros
-    base = df.select(key, *order, value).withColumn(
-        "_t", epoch_micros(t0, dict(df.dtypes)[t0]).cast("double"))
-    nb = n_buckets or choose_buckets(base)
-    b = with_value_bucket(base, [key], "_t", nb)
-    sizes = b.groupBy(key, "_b").agg(F.count("*").alias("_cnt"))
-    wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)))
-    # per key: range starts in range order (at most n_buckets entries)
-    starts_arr = starts.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_b", "_start"))).alias("_starts"))
-    lw = Window.partitionBy(key, "_b").orderBy(*order)
-    r = (b.join(starts.select(key, "_b", "_start"), [key, "_b"])
-         .withColumn("_g", F.col("_start") + F.row_number().over(lw) - 1)
-         .join(starts_arr, key))
-    # last range whose first row still needs this row as history
-    reach = F.filter("_starts", lambda s: s.getField("_start") <= F.col("_g") + (n - 1))
-    r = r.withColumn("_bmax", F.element_at(F.transform(reach, lambda s: s.getField("_b")), -1))
-    own = r.select(key, *order, value, "_b", "_g", F.lit(True).alias("_own"))
-    borrowed = r.where(F.col("_bmax") > F.col("_b")).select(
-        key, *order, value, F.explode(F.sequence(F.col("_b") + 1, F.col("_bmax"))).alias("_b"),
-        "_g", F.lit(False).alias("_own"))
-    u = own.unionByName(borrowed)
-    w = Window.partitionBy(key, "_b").orderBy("_g").rowsBetween(-(n - 1), 0)
-    out = u.select(key, *order, value, "_own", F.avg(value).over(w).alias("rolling_mean"),
-                   F.count(value).over(w).alias("rolling_n"))
-    return out.where("_own").drop("_own")
+    key in arrival order (``order``), without putting a hot key in one task.
+    ``exact``: the mean of the values' ten decimals, whatever their order.
+
+    A halo exchange over ranges of (key, order):
+
+    1. rows are dealt out by ranges; the offset table tells where in its key
+       every range starts;
+    2. a row's rank in its key = its range's start + its rank inside;
+    3. a range borrows, from the ranges before it in its key, the rows that are
+       among its first row's n-1 predecessors: each range offers its own last
+       n-1 rows at most, and which range borrows from which is a self-join of
+       the offset table;
+    4. a ROWS frame of n inside each range over own + borrowed rows, keeping
+       own rows only."""
+    from earnlens.operators.ranking import PART, offsets, ranged
+    order = list(order)
+    rows = ranged(df.select(key, *order, value, F.lit(1).cast("bigint").alias("_1")), [key, *order], n_buckets)
+    ends = rows.groupBy(key, PART).agg(F.sum("_1").alias("_size")).join(offsets(rows, [key], ["_1"]), [key, PART])
+    ends = ends.select(key, PART, F.col("_1_pre").alias("_start"), (F.col("_1_pre") + F.col("_size")).alias("_end"))
+    inside = Window.partitionBy(PART, key).orderBy(*order)
+    rows = rows.withColumn("_in", F.row_number().over(inside)).join(ends, [key, PART])
+    rows = rows.withColumn("_g", F.col("_start") + F.col("_in") - 1).drop("_in", "_1")
+    lender = ends.select(key, PART, F.col("_end").alias("_own_end"))
+    borrower = ends.select(key, F.col(PART).alias("_to"), F.col("_start").alias("_first"))
+    loans = lender.join(borrower, key).where((F.col("_own_end") <= F.col("_first")) & (F.col("_own_end") > F.col("_first") - (n - 1)))
+    offered = rows.where(F.col("_g") >= F.col("_end") - (n - 1)).join(loans, [key, PART]).where(F.col("_g") >= F.col("_first") - (n - 1))
+    columns = [key, *order, value, "_g"]
+    both = rows.select(*columns, PART, F.lit(True).alias("_own")).unionByName(
+        offered.select(*columns, F.col("_to").alias(PART), F.lit(False).alias("_own")))
+    frame = Window.partitionBy(key, PART).orderBy("_g").rowsBetween(-(n - 1), 0)
+    mean = F.avg(F.col(value).cast("decimal(38,10)")).over(frame).cast("double") if exact else F.avg(value).over(frame)
+    out = both.withColumns({"rolling_mean": mean, "rolling_n": F.count(value).over(frame)})
+    return out.where("_own").select(key, *order, value, "rolling_mean", "rolling_n")

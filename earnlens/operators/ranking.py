@@ -1,15 +1,17 @@
 """Exact ranks, prefix counts and quantiles without a single-task sort.
 
 A global ``Window.orderBy`` (or Spark's exact ``percentile`` on one big
-group) funnels every row of a group through one task. Here each group is
-first cut into value ranges whose bounds come from ``percentile_approx``
-(a bounded, mergeable sketch); rows are reduced to *distinct values* per
-(group, range); exact counts below each value are then the prefix over
-ranges (a table of groups x ranges) plus a window inside one range. The
-approximate bounds only decide the load balance: results are exact.
+group) funnels every row of a group through one task. Here rows are first
+reduced to distinct (group, value) with map-side combine, and those are dealt
+out by ranges of (group, value): a hot group spreads over as many partitions
+as its values fill, and each partition holds a contiguous stretch. The
+partitions' counts make a small offset table, one row for each group in each
+partition; a count below a value is its partition's offset plus a window
+inside the partition.
 
 Used by exact medians/quantiles (AGG-17/21/25/26, DST-01, PRF-02, EVA-04),
-percentile-in-group (BEN-03), ROC-AUC and average precision (EVA-07/08).
+percentile-in-group (BEN-03), ROC-AUC and average precision (EVA-07/08), and,
+for rows instead of values, by the rolling window (WIN-02).
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earnlens.operators.joins import one_row
+from earnlens.session import materialize
 
 G0 = "_g0"
+#: The column with the number of a row's range.
+PART = "_part"
 
 
 def _groups(df: DataFrame, groups):
@@ -31,102 +35,77 @@ def _groups(df: DataFrame, groups):
 
 
 def choose_buckets(df: DataFrame, lo: int = 16, hi: int = 4096) -> int:
-    """Ranges per group: the session's shuffle parallelism, clamped. A hot
-    group then spreads over as many tasks as a shuffle has, without an
-    extra job to measure group sizes (``earnlens.rank.buckets`` overrides)."""
+    """Ranges to deal rows into: the session's shuffle parallelism, clamped
+    (``earnlens.rank.buckets`` overrides)."""
     conf = df.sparkSession.conf
     b = conf.get("earnlens.rank.buckets", None) or conf.get("spark.sql.shuffle.partitions", "200")
     return int(min(hi, max(lo, int(b))))
 
 
-def with_value_bucket(df: DataFrame, groups, value: str, n_buckets: int) -> DataFrame:
-    """Attach ``_b`` = index of the approximate per-group range of ``value``."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    acc = max(10_000, 20 * n_buckets)
-    bounds = df.groupBy(*groups).agg(
-        F.percentile_approx(value, probs, acc).alias("_bounds"))
-    # one row per group: AQE broadcasts it at runtime
-    j = df.join(bounds, groups)
-    return j.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
+def ranged(df: DataFrame, by: list[str], n: int | None = None) -> DataFrame:
+    """``df`` dealt out by ranges of ``by`` and written once, with ``_part``,
+    the number of a row's range: numbers ascend with ``by``, and rows with
+    equal ``by`` share one. Without ``n`` small ranges are put together."""
+    n = n or df.sparkSession.conf.get("earnlens.rank.buckets", None)
+    dealt = df.repartitionByRange(int(n), *by) if n else df.repartitionByRange(*by)
+    return materialize(dealt.withColumn(PART, F.spark_partition_id()))
+
+
+def offsets(dealt: DataFrame, groups: list[str], weights: list[str]) -> DataFrame:
+    """What the lower ranges of the group sum to: ``groups, _part`` and
+    ``{w}_pre`` for each weight; one row for each group in each range."""
+    sums = dealt.groupBy(*groups, PART).agg(*[F.sum(w).alias(w) for w in weights])
+    lower = Window.partitionBy(*groups).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*groups, PART, *[F.coalesce(F.sum(w).over(lower), F.lit(0)).alias(f"{w}_pre") for w in weights])
 
 
 def distinct_prefix(df: DataFrame, groups, value: str, weights: dict[str, Column],
-                    n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
+                    n_buckets: int | None = None) -> DataFrame:
     """One row per (group, distinct value) with, for each weight ``w``:
     ``w`` (sum at this value) and ``w_below`` (sum over strictly smaller
-    values in the group). Null values are ignored.
-
-    1. rows collapse to distinct (group, value) with summed weights: one
-       shuffle with map-side combine, hashed on the value too, so a hot
-       group spreads over all partitions;
-    2. that (smaller) table is written once as a reliable checkpoint, since
-       the next steps read it twice;
-    3. per-group range bounds come from ``percentile_approx`` over the
-       distinct values; each range's prefix is a window inside the range,
-       plus the sum of all lower ranges (a groups x ranges table)."""
+    values in the group). Null values and null groups are ignored."""
     df = df.where(F.col(value).isNotNull())
     df, groups = _groups(df, groups)
     dv = df.groupBy(*groups, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
-    if materialize:
-        from earnlens.session import materialize as _mat
-        dv = _mat(dv)
-    if n_buckets is None:
-        n_buckets = choose_buckets(dv)
-    dv = with_value_bucket(dv, groups, value, n_buckets)
-    win = (Window.partitionBy(*groups, "_b").orderBy(value)
-           .rowsBetween(Window.unboundedPreceding, -1))
-    dv = dv.withColumns({f"{n}_in": F.coalesce(F.sum(n).over(win), F.lit(0)) for n in weights})
-    tot = dv.groupBy(*groups, "_b").agg(*[F.sum(n).alias(f"{n}_tot") for n in weights])
-    wb = (Window.partitionBy(*groups).orderBy("_b")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    tot = tot.select(*groups, "_b", *[F.coalesce(F.sum(f"{n}_tot").over(wb), F.lit(0))
-                                      .alias(f"{n}_pre") for n in weights])
-    out = dv.join(tot, [*groups, "_b"])
+    dv = ranged(dv, [*groups, value], n_buckets)
+    inside = Window.partitionBy(PART, *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = offsets(dv, groups, list(weights))
+    out = dv.withColumns({f"{n}_in": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in weights}).join(below, [*groups, PART])
     return out.select(*groups, value, *weights.keys(),
-                      *[(F.col(f"{n}_pre") + F.col(f"{n}_in")).alias(f"{n}_below")
-                        for n in weights])
+                      *[(F.col(f"{n}_pre") + F.col(f"{n}_in")).alias(f"{n}_below") for n in weights])
 
 
 def exact_quantiles(df: DataFrame, groups, value: str, probs: dict[str, float],
-                    n_buckets: int | None = None) -> DataFrame:
+                    n_buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact linearly-interpolated quantiles (= ``percentile`` /
     ``quantile_cont``) per group: one column per entry of ``probs``.
-    Groups with no non-null value are absent. Two passes over ``df``
-    (range bounds, then distinct values); the rest runs on reduced tables."""
+    Groups with no non-null value are absent. ``weight``: a column with how
+    many rows a row stands for."""
     user_groups = list(groups or [])
-    base = df.where(F.col(value).isNotNull())
-    base, groups = _groups(base, user_groups)
-    dv = distinct_prefix(base, groups, value, {"_c": F.lit(1).cast("bigint")}, n_buckets)
-    n = dv.groupBy(*groups).agg(F.sum("_c").alias("_n"))
-    # target ranks (0-based): lower and upper neighbour of p * (n - 1)
-    tg = n.select(*groups, "_n", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p")) for name, p in probs.items()
-    ])).alias("t")).select(*groups, "t.q", (F.col("t.p") * (F.col("_n") - 1)).alias("pos"))
-    tg = tg.select(*groups, "q", "pos", F.explode(F.array(
-        F.struct(F.lit("lo").alias("side"), F.floor("pos").alias("r")),
-        F.struct(F.lit("hi").alias("side"), F.ceil("pos").alias("r")))).alias("s")
-    ).select(*groups, "q", "pos", "s.side", "s.r")
-    # targets: a few rows per group (AQE broadcasts them); the range test
-    # is a post-join filter, so a hot group's values stream through.
-    hit = dv.join(tg, groups).where(
-        (F.col("_c_below") <= F.col("r")) & (F.col("r") < F.col("_c_below") + F.col("_c")))
-    piv = hit.groupBy(*groups, "q", "pos").agg(
-        F.max(F.when(F.col("side") == "lo", F.col(value))).alias("vlo"),
-        F.max(F.when(F.col("side") == "hi", F.col(value))).alias("vhi"))
-    piv = piv.withColumn("v", F.col("vlo") + (F.col("pos") - F.floor("pos")) * (F.col("vhi") - F.col("vlo")))
-    out = piv.groupBy(*groups).pivot("q", list(probs)).agg(F.first("v"))
-    return out.drop(G0) if not user_groups else out
+    base, groups = _groups(df.where(F.col(value).isNotNull()), user_groups)
+    count = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    dv = distinct_prefix(base, groups, value, {"_c": count}, n_buckets)
+    sizes = dv.groupBy(*groups).agg(F.sum("_c").alias("_n"))
+    # the values whose ranks hold the target's lower and upper neighbour
+    at = {q: F.lit(float(p)) * (F.col("_n") - 1) for q, p in probs.items()}
+    holds = lambda rank: (F.col("_c_below") <= rank) & (rank < F.col("_c_below") + F.col("_c"))
+    found = dv.join(sizes, groups).groupBy(*groups, "_n").agg(*[
+        F.max(F.when(holds(rank(at[q])), F.col(value))).alias(f"_{i}{side}")
+        for i, q in enumerate(probs) for side, rank in (("lo", F.floor), ("hi", F.ceil))])
+    between = [(F.col(f"_{i}lo") + (at[q] - F.floor(at[q])) * (F.col(f"_{i}hi") - F.col(f"_{i}lo"))).alias(q) for i, q in enumerate(probs)]
+    return found.select(*user_groups, *between)
 
 
 def exact_quantiles_long(df: DataFrame, groups, values: list[str], probs: dict[str, float],
-                         n_buckets: int | None = None) -> DataFrame:
+                         n_buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """Quantiles of several measures in one pass: rows are stacked into
     (measure, _val) first, so the measure is one more group key.
     Output: groups..., measure, one column per prob."""
-    st = df.select(*(groups or []), F.explode(F.array(*[
+    kept = [*(groups or []), *([weight] if weight else [])]
+    st = df.select(*kept, F.explode(F.array(*[
         F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("_val"))
-        for v in values])).alias("_m")).select(*(groups or []), "_m.measure", "_m._val")
-    return exact_quantiles(st, [*(groups or []), "measure"], "_val", probs, n_buckets)
+        for v in values])).alias("_m")).select(*kept, "_m.measure", "_m._val")
+    return exact_quantiles(st, [*(groups or []), "measure"], "_val", probs, n_buckets, weight)
 
 
 def exact_median(df: DataFrame, groups, value: str, out: str = "median") -> DataFrame:

@@ -415,17 +415,13 @@ def q_drift(spark, sf):
 
 @query("rolling_window_mean", """
 SELECT event_id, event_type, value,
-       round(sum(value) OVER w, 2) AS rolling_sum, count(value) OVER w AS rolling_n
+       round(avg(CAST(value AS DECIMAL(38,10))) OVER w, 10) AS rolling_mean, count(value) OVER w AS rolling_n
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id
                          ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)""")
 def q_rolling(spark, sf):
     e = read_table(spark, sf, "events")
-    # the sum (2 dp) and count are compared: a mean of 2-dp values over n
-    # rows often lands exactly on a rounding tie, decided by summation order
-    r = dr.rolling_mean(e, "event_type", "value", 500).drop("ts")
-    return r.select("event_id", "event_type", "value",
-                    F.round(F.col("rolling_mean") * F.col("rolling_n"), 2).alias("rolling_sum"),
-                    "rolling_n")
+    # ten decimals: the mean of up to 500 values of two decimals has no half there to round
+    return r4(dr.rolling_mean(e, "event_type", "value", 500, exact=True).drop("ts"), 10)
 
 
 # ------------------------------------------------------------------ provenance
