@@ -42,3 +42,7 @@ FROM pred p JOIN below b USING (state, education_level, p50) LEFT JOIN cell e US
 
 CROSSINGS = S.rstrip() + ",\n" + _REQUESTS + """
 SELECT count(*) AS scored, CAST(0 AS BIGINT) AS crossings FROM requests"""
+
+#: Views of the training rows (``inc``) and the valid requests.
+SCORED_REQUESTS = S.rstrip() + ",\n" + _REQUESTS + """,
+inc AS (SELECT * FROM split WHERE split = 'train')"""

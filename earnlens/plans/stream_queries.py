@@ -5,17 +5,16 @@ returns the sink's contents."""
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
 from earnlens.operators import drift as dr
 from earnlens.plans.registry import query, r4
-from earnlens.plans.scoring_sql import CROSSINGS, SCORES
+from earnlens.plans.scoring_sql import CROSSINGS, SCORED_REQUESTS, SCORES
 from earnlens.sources import testbed as tb
 from earnlens.sources.tables import read_table
-from earnlens.streaming.drift import drift_windows, monitor_stream
-from earnlens.streaming.scoring import crossing_counter, stream_score
+from earnlens.streaming.drift import drift_windows, monitor_stream, run_windows
+from earnlens.streaming.scoring import ScoreSink, stream_score
 from earnlens.streaming.sources import run_available, stream_location, table_stream
 
 
@@ -46,44 +45,70 @@ WITH b AS (SELECT round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS s
 w AS (SELECT date_trunc('day', ts) AS ws, event_type, count(*) AS n, avg(value) AS m
       FROM events GROUP BY 1, 2)
 SELECT CAST(epoch(ws) AS BIGINT) AS window_start, event_type, 'value' AS feature, n,
-       round(m, 4) AS current_mean,
-       round(CASE WHEN b.std = 0 THEN 0 ELSE abs(m - b.mean) / b.std END, 4) AS z_score,
-       CASE WHEN b.std = 0 THEN false ELSE abs(m - b.mean) / b.std > 2.0 END AS drifted
-FROM w, b
-WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+       round(m, 9) AS current_mean,
+       round(CASE WHEN b.std = 0 THEN 0 ELSE abs(m - b.mean) / b.std END, 9) AS z_score,
+       CASE WHEN b.std = 0 THEN false ELSE abs(m - b.mean) / b.std > 2.0 END AS drifted,
+       ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS closed
+FROM w, b""")
 def q_event_time(spark, sf):
-    loc = stream_location(spark, "drift-event-time")
+    """Every window, the open ones of the last day too."""
     d = drift_windows(table_stream(spark, sf, "events"), _events_baseline(spark, sf), ["value"],
                       length="1 day", delay="1 hour", by="event_type")
-    run_available(d.writeStream.format("parquet").outputMode("append").option("path", loc), loc)
-    out = spark.read.parquet(loc)
+    out, _ = run_windows(d, stream_location(spark, "drift-event-time"), by="event_type")
     return r4(out.select("window_start", "event_type", "feature", "n", "current_mean", "z_score",
-                         "drifted"))
+                         "drifted", "closed"), 9)
 
 
-def _stream_scores(spark, sf):
-    from earnlens.plans.ml_queries import artefacts
-    loc = stream_location(spark, "stream-score")
-    reqs = tb.requests(spark, sf, orders=table_stream(spark, sf, "orders"))
-    q = stream_score(reqs, artefacts(spark, sf),
-                     tb.persons(spark, sf), loc, os.path.join(loc, "_checkpoint"))
-    q.awaitTermination()
-    return loc
+#: Part files that the scored orders arrive in, one for each micro-batch.
+ORDER_FILES = 4
 
 
-@query("stream_score", SCORES.format(more=", 0 AS batch_id"))
+def _stream_scores(spark, sf) -> ScoreSink:
+    """Orders arriving file by file, scored once a session."""
+    from earnlens.plans.ml_queries import _memo, artefacts
+
+    def run():
+        loc = stream_location(spark, "stream-score")
+        orders = read_table(spark, sf, "orders")
+        files = os.path.join(loc, "arriving")
+        orders.repartitionByRange(ORDER_FILES, "o_orderkey").write.parquet(files)
+        arriving = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(files)
+        q = stream_score(tb.requests(spark, sf, orders=arriving), artefacts(spark, sf), tb.persons(spark, sf), loc,
+                         os.path.join(loc, "_checkpoint"))
+        q.awaitTermination()
+        return ScoreSink(spark, loc)
+
+    return _memo(spark, sf, "stream-score", run)
+
+
+@query("stream_score", SCORES.format(more=""))
 def q_stream_score(spark, sf):
-    loc = _stream_scores(spark, sf)
-    return spark.read.parquet(os.path.join(loc, "scores"))
+    return _stream_scores(spark, sf).scores.rows().drop("batch_id")
 
 
 @query("crossing_counter", CROSSINGS)
 def q_crossings(spark, sf):
-    loc = _stream_scores(spark, sf)
-    scores = os.path.join(loc, "scores")
-    schema = spark.read.parquet(scores).schema
-    name = f"crossings_{uuid.uuid4().hex[:8]}"
-    c = crossing_counter(spark.readStream.schema(schema).parquet(scores))
-    run_available(c.writeStream.format("memory").queryName(name).outputMode("complete"),
-                  stream_location(spark, "crossings"))
-    return spark.table(name)
+    return _stream_scores(spark, sf).crossings()
+
+
+_OBSERVED = ["age", "education_ord", "occ_mean_income"]
+
+
+@query("stream_observed_drift", SCORED_REQUESTS + """,
+om AS (SELECT occupation, avg(CAST(annual_income AS DECIMAL(38,10))) AS m FROM inc GROUP BY 1),
+tf AS (SELECT i.age, i.education_ord, om.m AS occ_mean_income FROM inc i JOIN om USING (occupation)),
+rf AS (SELECT r.request_id, r.age, CAST(substr(r.education_level, 1, 1) AS INTEGER) AS education_ord,
+              coalesce(om.m, (SELECT avg(m) FROM om)) AS occ_mean_income
+       FROM requests r LEFT JOIN om USING (occupation) ORDER BY request_id DESC LIMIT 500),
+b AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std FROM tf" for c in _OBSERVED) + """),
+w AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) AS m, count(*) AS n FROM rf" for c in _OBSERVED) + """)
+SELECT feature, round(m, 2) AS current_mean, round(mean, 2) AS baseline_mean, round(abs(m - mean) / std, 3) AS z_score,
+       abs(m - mean) / std > 2.0 AS drifted, n AS window_size, (SELECT count(*) FROM requests) AS total_observations
+FROM w JOIN b USING (feature)""")
+def q_stream_drift(spark, sf):
+    """DRF-08: the newest 500 scored requests against the training features."""
+    from earnlens.plans.ml_queries import engineered
+    sink = _stream_scores(spark, sf)
+    train, _, om, sm, raw = engineered(spark, sf)
+    baseline = dr.drift_baseline(train, _OBSERVED)
+    return sink.drift(baseline).where(F.col("feature").isin(*_OBSERVED)).drop("any_drifted").join(F.broadcast(sink.observed()))

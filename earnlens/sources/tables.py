@@ -23,6 +23,11 @@ def path_status(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def input_signature(spark: SparkSession, sf_dir: str, names=TABLES) -> tuple:
     """Names, sizes and change times of the tables' files: differs once a
     table is rewritten."""

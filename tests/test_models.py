@@ -92,17 +92,18 @@ def test_score_batch_invariants(spark):
 
 
 def test_event_time_stream_equals_batch(spark):
+    """Every window comes, and is closed where the watermark has passed it."""
     from earnlens.plans.stream_queries import q_event_time
     s = q_event_time(spark, SF)
     ev_ = spark.read.parquet(os.path.join(SF, "events.parquet"))
     maxts = ev_.agg(F.max("ts")).first()[0]
-    b = (ev_.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type").agg(F.count("*").alias("n"))
-         .where(F.col("d") + F.expr("INTERVAL 1 DAY") <= F.lit(maxts) - F.expr("INTERVAL 1 HOUR")))
+    b = ev_.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type").agg(F.count("*").alias("n")).withColumn(
+        "closed", F.col("d") + F.expr("INTERVAL 1 DAY") <= F.lit(maxts) - F.expr("INTERVAL 1 HOUR"))
     import datetime as dt
     day = lambda secs: dt.datetime.fromtimestamp(secs, dt.timezone.utc).strftime("%Y-%m-%d")
-    got = {(day(r.window_start), r.event_type, r.n) for r in s.collect()}
-    want = {(str(r.d)[:10], r.event_type, r.n) for r in b.collect()}
-    assert got == want
+    got = {(day(r.window_start), r.event_type, r.n, r.closed) for r in s.collect()}
+    want = {(str(r.d)[:10], r.event_type, r.n, r.closed) for r in b.collect()}
+    assert got == want and {c for *_, c in got} == {True, False}
 
 
 def test_monitor_stream_matches_batch_last_n(spark):
