@@ -1,10 +1,9 @@
-"""Classifier, baselines, cross-validation, seed stability, random search and
-the runs table (MOD-02..09, EVA-12/13/18). All fits are Spark ML jobs."""
+"""Classifier, baselines, cross-validation, seed stability and the runs table
+(MOD-02..06, MOD-08/09, EVA-12/13). All fits are Spark ML jobs; the search is in ``search``."""
 
 from __future__ import annotations
 
-import math
-import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.ml import Pipeline
@@ -15,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from earnlens.modeling.search import SEARCH_SPACE, draw_trials, random_search, training_frame  # noqa: F401
 from earnlens.operators import evaluate as ev
 from earnlens.operators.features import FEATURES_FULL, hash_folds
 from earnlens.sources import dims
@@ -32,7 +32,7 @@ def fit_premium(train: DataFrame, features=FEATURES_FULL, label: str = "premium"
     """MOD-02: boosted-tree premium classifier (no class weights)."""
     p = dict(CLASSIFIER, **params)
     gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=seed, **p)
-    return Pipeline(stages=[assembler(features), gbt]).fit(train)
+    return Pipeline(stages=[assembler(features), gbt]).fit(training_frame(train))
 
 
 def premium_probability(model, df: DataFrame, out: str = "score") -> DataFrame:
@@ -94,74 +94,37 @@ def compare_models(train: DataFrame, test: DataFrame, features=FEATURES_FULL,
     return rows.orderBy(F.col("r2").desc())
 
 
-def cv_scores(train: DataFrame, fit, key: str, k: int = 5, seed: int = 42,
-              label: str = "annual_income", prediction: str = "prediction") -> DataFrame:
+def side_by_side(run, over, parallelism: int) -> list:
+    """``run`` of every item, some at a time: independent Spark jobs."""
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(run, over))
+
+
+def cv_scores(train: DataFrame, fit, key: str, k: int = 5, seed: int = 42, label: str = "annual_income",
+              prediction: str = "prediction", parallelism: int = 5) -> DataFrame:
     """EVA-12: k-fold CV on the train split (hash folds), R2 per fold, then
-    mean and population std. Each fold is a distributed fit."""
-    f = hash_folds(train, key, k, seed).cache()
-    per = []
-    for i in range(k):
-        m = fit(f.where(F.col("fold") != i))
-        s = ev.point_metrics(m.transform(f.where(F.col("fold") == i)), label, prediction)
-        per.append(s.withColumn("fold", F.lit(i)))
-    out = per[0]
-    for p in per[1:]:
-        out = out.unionByName(p)
-    return out.agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"),
+    mean and population std. Each fold is a distributed fit; ``fit(rows)``
+    gives a model whose ``transform`` adds ``prediction``."""
+    rows = training_frame(hash_folds(train, key, k, seed))
+
+    def run(i: int) -> tuple:
+        scored = fit(rows.where(F.col("fold") != i)).transform(rows.where(F.col("fold") == i))
+        return i, ev.point_metrics(scored, label, prediction).first()["r2"]
+
+    per = train.sparkSession.createDataFrame(side_by_side(run, range(k), parallelism), "fold int, r2 double")
+    return per.agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"),
                    F.count("*").alias("folds"))
 
 
-def seed_stability(run, seeds=(11, 22, 33, 44, 55)) -> DataFrame:
-    """EVA-13: ``run(seed) -> one-row DataFrame of metrics``; mean and
-    population std of every metric over the seeds."""
-    rows = None
-    for s in seeds:
-        r = run(s).withColumn("seed", F.lit(s))
-        rows = r if rows is None else rows.unionByName(r)
-    metrics = [c for c in rows.columns if c != "seed"]
-    return rows.agg(*[x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"),
-                                                   F.stddev_pop(m).alias(f"{m}_std"))])
-
-
-SEARCH_SPACE = {"maxDepth": (3, 8), "stepSize": (0.01, 0.3), "maxIter": (100, 500),
-                "subsamplingRate": (0.6, 1.0), "columnShare": (0.6, 1.0)}
-
-
-def draw_trials(trials: int, seed: int = 42, space=None) -> list[dict]:
-    """``trials`` points of the space; the step is drawn log-uniformly."""
-    s, rng = space or SEARCH_SPACE, random.Random(seed)
-    return [{"maxDepth": rng.randint(*s["maxDepth"]),
-             "stepSize": math.exp(rng.uniform(*map(math.log, s["stepSize"]))),
-             "maxIter": rng.randint(*s["maxIter"]),
-             "subsamplingRate": rng.uniform(*s["subsamplingRate"]),
-             "columnShare": rng.uniform(*s["columnShare"])} for _ in range(trials)]
-
-
-def random_search(train: DataFrame, key: str, trials: int = 30, k: int = 5, seed: int = 42,
-                  features=FEATURES_FULL, label: str = "annual_income", parallelism: int = 4,
-                  space=None):
-    """MOD-07: random search over ``SEARCH_SPACE`` maximising CV R2
-    (CrossValidator with hash folds, models fitted in parallel). Columns are
-    sampled for each node, Spark's way. The first result's ``bestModel`` is
-    the best trial refitted on all of ``train``."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed)
-    drawn = draw_trials(trials, seed, space)
-    maps = [{gbt.maxDepth: t["maxDepth"], gbt.stepSize: t["stepSize"], gbt.maxIter: t["maxIter"],
-             gbt.subsamplingRate: t["subsamplingRate"],
-             gbt.featureSubsetStrategy: f"{t['columnShare']:.6f}"} for t in drawn]
-    cv = CrossValidator(estimator=Pipeline(stages=[assembler(features), gbt]),
-                        estimatorParamMaps=maps, evaluator=RegressionEvaluator(
-                            labelCol=label, metricName="r2"),
-                        numFolds=k, foldCol="fold", parallelism=parallelism)
-    model = cv.fit(hash_folds(train, key, k, seed))
-    spark = train.sparkSession
-    rows = [(i, float(t["maxDepth"]), t["stepSize"], float(t["maxIter"]), t["subsamplingRate"],
-             t["columnShare"], float(r)) for i, (t, r) in enumerate(zip(drawn, model.avgMetrics))]
-    trials_df = spark.createDataFrame(rows, "trial int, max_depth double, step double, "
-                                            "max_iter double, subsample double, column_share double, cv_r2 double")
-    return model, trials_df
+def seed_stability(run, seeds=(11, 22, 33, 44, 55), parallelism: int = 5) -> DataFrame:
+    """EVA-13: ``run(seed) -> one-row DataFrame of metrics`` (a new split and
+    new fits); mean and population std of every metric over the seeds."""
+    runs = side_by_side(lambda s: run(s), seeds, parallelism)
+    kept = side_by_side(lambda r: r.first().asDict(), runs, parallelism)
+    metrics = list(kept[0])
+    rows = runs[0].sparkSession.createDataFrame([tuple(r[m] for m in metrics) for r in kept], ", ".join(f"{m} double" for m in metrics))
+    return rows.agg(F.count("*").alias("seeds"), *[x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"),
+                                                                                F.stddev_pop(m).alias(f"{m}_std"))])
 
 
 def search_gain(best, train: DataFrame, test: DataFrame, features=FEATURES_FULL,

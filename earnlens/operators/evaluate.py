@@ -184,6 +184,24 @@ BANDS = [
 STRICT_LOW, STRICT_HIGH = {"subgroup_roc_auc"}, {"roc_auc", "subgroup_roc_auc"}
 
 
+def band_values(scored: DataFrame, cv: DataFrame, classes: DataFrame, subgroup_auc: DataFrame) -> DataFrame:
+    """The nine banded metrics as long rows ``metric, grp, value``; ``grp`` is
+    null but for subgroups. ``scored``: heads in dollars; ``cv``: one row with
+    ``cv_r2_mean``; ``classes``: classifier scores; ``subgroup_auc``:
+    ``attribute, grp, roc_auc``."""
+    one = interval_metrics(scored).select("coverage", "crossings", F.lit(0).alias("_k"))
+    for f in (point_metrics(scored).select("r2", "mae", "rmse"), cv.select("cv_r2_mean"), roc_auc(classes).select("roc_auc")):
+        one = one.join(f.withColumn("_k", F.lit(0)), "_k")
+    values = {"coverage_80": F.col("coverage"), "crossings": F.col("crossings").cast("double"), "r2": F.col("r2"), "mae": F.col("mae"),
+              "rmse": F.col("rmse"), "cv_test_gap": F.abs(F.col("cv_r2_mean") - F.col("r2")), "roc_auc": F.col("roc_auc")}
+    none = F.lit(None).cast("string").alias("grp")
+    head = one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), none, v.alias("value")) for m, v in values.items()])).alias("r"))
+    group = F.concat_ws("=", "attribute", "grp").alias("grp")
+    return head.select("r.*").unionByName(
+        subgroup_coverage(scored).select(F.lit("subgroup_coverage").alias("metric"), group, F.col("coverage").alias("value"))).unionByName(
+        subgroup_auc.select(F.lit("subgroup_roc_auc").alias("metric"), group, F.col("roc_auc").alias("value")))
+
+
 def metric_bands(metrics: DataFrame, bands=BANDS) -> DataFrame:
     """EVA-17: ``metrics`` is long (metric, value); each value is checked
     against its band, inclusive but for the strict bounds -> (metric, value, lo, hi, passed). Subgroup

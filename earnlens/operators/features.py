@@ -18,6 +18,14 @@ FEATURES_FULL = ["age", "education_ord", "gender_bin", "region_code", "employmen
                  "state_mean_income"]
 FEATURES_DEMO = ["age", "education_ord", "gender_bin", "employment", "location_quotient",
                  "jobs_per_1000", "hourly_mean", "occ_mean_income", "state_mean_income"]
+# The modelling study's own two lists (fixed).
+FEATURES_STUDY = ["age", "education_ord", "gender_bin", "region_code", "employment",
+                  "location_quotient", "jobs_per_1000", "hourly_mean", "annual_mean_wage",
+                  "occ_mean_income", "state_mean_income"]
+FEATURES_STUDY_DEMO = ["age", "education_ord", "gender_bin", "region_code", "occ_mean_income",
+                       "state_mean_income"]
+FEATURE_SETS = {"full": FEATURES_FULL, "demographic": FEATURES_DEMO, "study_full": FEATURES_STUDY,
+                "study_demographic": FEATURES_STUDY_DEMO}
 INCOME = "annual_income"
 
 

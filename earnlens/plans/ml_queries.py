@@ -3,6 +3,10 @@ invariants are in tests/test_models.py)."""
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from earnlens.modeling import explain as xp
@@ -13,11 +17,12 @@ from earnlens.operators import evaluate as ev
 from earnlens.operators import features as fe
 from earnlens.operators.requests import normalise_requests, validate_requests
 from earnlens.operators.score import Artefacts, GroupQuantileModel, score, score_memoised
+from earnlens.operators.score_store import ScoreStore, score_through
 from earnlens.operators.ranking import exact_quantiles
 from earnlens.plans.modelviews import split_cohort
 from earnlens.plans.scoring_sql import SCORES
 from earnlens.plans.registry import query, r4
-from earnlens.session import materialize
+from earnlens.session import checkpoint_dir, materialize
 from earnlens.sources import dims
 from earnlens.sources import testbed as tb
 from earnlens.sources.store import processed
@@ -100,6 +105,18 @@ def q_score_memo(spark, sf):
     return second
 
 
+@query("score_store", SCORES.format(more=", true AS cache_hit"))
+def q_score_store(spark, sf):
+    """The bucketed store: scores of five hours ago are expired, those of ten minutes ago answer every request."""
+    art, req = artefacts(spark, sf), valid_requests(spark, sf)
+    path = posixpath.join(checkpoint_dir(spark), "scores", uuid.uuid4().hex)
+    store = ScoreStore(spark, path, ScoreStore.schema_of(art, req))
+    now = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
+    for minutes in (300, 10):
+        score_through(store, req, art, now=now - timedelta(minutes=minutes))
+    return score_through(store, req, art, now=now)
+
+
 def premium_model(spark, sf):
     return _memo(spark, sf, "premium_model", lambda: tr.fit_premium(engineered(spark, sf)[0], label="premium"))
 
@@ -110,13 +127,6 @@ def booster_model(spark, sf):
         engineered(spark, sf)[0]))
 
 
-@query("score_trained")
-def q_score_trained(spark, sf):
-    """Requests scored by fitted quantile heads and the fitted classifier."""
-    art = artefacts(spark, sf, booster_model(spark, sf), premium_model(spark, sf))
-    return score(valid_requests(spark, sf), art)
-
-
 def premium_scored(spark, sf):
     def build():
         etest = engineered(spark, sf)[1]
@@ -172,37 +182,6 @@ def q_booster(spark, sf):
               .join(k(ev.point_metrics(sc).select("r2", "mae", "rmse")), "_k").drop("_k"))
 
 
-@query("cv_scores")
-def q_cv(spark, sf):
-    etrain, *_ = engineered(spark, sf)
-    return r4(tr.cv_scores(etrain, lambda d: tr.fit_ridge(d), "person_id", 5))
-
-
-@query("seed_stability")
-def q_stability(spark, sf):
-    def run(seed):
-        from earnlens.operators.features import hash_split
-        c = hash_split(tb.cohort(spark, sf), "person_id", 0.2, seed)
-        trn, tst = c.where("split = 'train'"), c.where("split = 'test'")
-        from earnlens.operators.ranking import exact_quantiles
-        q = exact_quantiles(trn, ["occupation"], "annual_income", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-        sc = tst.join(q, "occupation")
-        return ev.interval_metrics(sc).select("coverage").withColumn("_k", F.lit(0)).join(
-            ev.point_metrics(sc).select("r2").withColumn("_k", F.lit(0)), "_k").drop("_k")
-    return r4(tr.seed_stability(run))
-
-
-@query("random_search")
-def q_search(spark, sf):
-    """30 trials x 5 folds; the row of the best trial has the refit's test
-    metrics beside those of the default booster."""
-    etrain, etest, *_ = engineered(spark, sf)
-    model, trials = tr.random_search(etrain, "person_id", parallelism=4)
-    best = max(range(len(model.avgMetrics)), key=model.avgMetrics.__getitem__)
-    gain = tr.search_gain(model.bestModel, etrain, etest).withColumn("trial", F.lit(best))
-    return r4(trials.join(gain, "trial", "left"))
-
-
 def _forest(spark, sf):
     etrain, etest, *_ = engineered(spark, sf)
     return _memo(spark, sf, "forest", lambda: tr.fit_forest(etrain)), etrain, etest
@@ -236,23 +215,3 @@ def q_shap_dep(spark, sf):
     bg = fe.hash_sample(etrain, "person_id", 8, seed=7)
     s = xp.shapley_values(m, rows, bg, fe.FEATURES_FULL, "person_id")
     return r4(s.where(F.col("feature").isin("age", "occ_mean_income", "state_mean_income")))
-
-
-@query("metrics_document")
-def q_metrics_doc(spark, sf):
-    """EVA-18: the metrics document as one row: headline numbers plus
-    subgroup maps (string -> double), from the closed-form quantile model
-    and the premium classifier."""
-    from earnlens.plans.modelviews import quantile_scored
-    sc = quantile_scored(spark, sf)
-    k = lambda d: d.withColumn("_k", F.lit(0))
-    pm = ev.point_metrics(sc).select("r2", "mae", "rmse")
-    im = ev.interval_metrics(sc).select("coverage", "median_width", "crossings")
-    sub = ev.subgroup_coverage(sc).agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws("=", "attribute", "grp"), F.round("coverage", 4)))).alias("subgroup_coverage"))
-    clf = premium_scored(spark, sf)
-    auc = ev.roc_auc(clf).select("roc_auc")
-    sauc = ev.roc_auc(clf, groups=["gender"]).agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat(F.lit("gender="), F.col("gender")), F.round("roc_auc", 4)))).alias("subgroup_roc_auc"))
-    doc = k(pm).join(k(im), "_k").join(k(sub), "_k").join(k(auc), "_k").join(k(sauc), "_k").drop("_k")
-    return r4(doc)

@@ -8,9 +8,10 @@ from earnlens.operators import benchmarks as bm
 from earnlens.operators import evaluate as ev
 from earnlens.operators import features as fe
 from earnlens.operators.requests import normalise_requests, validate_requests
-from earnlens.plans.modelviews import C, Q, S, class_scored, quantile_scored, split_cohort
+from earnlens.operators.ranking import exact_quantiles
+from earnlens.plans.modelviews import C, CSCORED_SQL, Q, QSCORED_SQL, S, SPLIT_SQL, class_scored, quantile_scored, split_cohort
 from earnlens.plans.registry import query, r4
-from earnlens.plans.sqlviews import P, PWC
+from earnlens.plans.sqlviews import COHORT, P, PERSONS, PWC, WAGES, with_views
 from earnlens.sources import testbed as tb
 
 CTX = ["employment", "location_quotient", "jobs_per_1000", "hourly_mean"]
@@ -320,26 +321,49 @@ def q_residuals(spark, sf):
     return r4(ev.residual_summary(quantile_scored(spark, sf)))
 
 
-@query("metric_bands", Q + """,
-m AS (SELECT 'coverage_80' AS metric,
+def closed_form_cv(spark, sf):
+    """EVA-12 of the per-occupation median: every fold is predicted from the
+    other ones, all folds' medians in one pass; one row, ``cv_r2_mean``."""
+    t = fe.hash_folds(split_cohort(spark, sf).where("split = 'train'"), "person_id", 5, 42)
+    others = t.withColumn("held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda f: f != F.col("fold"))))
+    medians = exact_quantiles(others, ["held", "occupation"], "annual_income", {"p50": 0.5})
+    own = t.join(medians, (F.col("fold") == F.col("held")) & (t["occupation"] == medians["occupation"])).drop(medians["occupation"])
+    return ev.point_metrics(own, groups=["fold"]).agg(F.avg("r2").alias("cv_r2_mean"))
+
+
+@query("metric_bands", with_views(PERSONS, WAGES, COHORT, SPLIT_SQL, QSCORED_SQL, CSCORED_SQL) + """,
+st AS (SELECT 'gender=' || gender AS grp, * FROM scored UNION ALL SELECT 'region=' || region, * FROM scored),
+fo AS (SELECT *, CAST(CAST(('0x' || substr(md5(CAST(person_id AS VARCHAR) || '|42|fold'), 1, 8)) AS UBIGINT) % 5 AS INTEGER) AS fold
+       FROM split WHERE split = 'train'),
+md AS (SELECT h.held, t.occupation, quantile_cont(t.annual_income, 0.5) AS p50 FROM range(5) h(held) JOIN fo t ON t.fold <> h.held GROUP BY 1, 2),
+cv AS (SELECT avg(r2) AS r2 FROM (SELECT fo.fold, 1 - sum(power(annual_income - p50, 2)) / (var_pop(annual_income) * count(*)) AS r2
+                                  FROM fo JOIN md ON md.held = fo.fold AND md.occupation = fo.occupation GROUP BY 1)),
+cg AS (SELECT NULL AS grp, score, premium FROM cscored UNION ALL SELECT 'gender=' || gender, score, premium FROM cscored
+       UNION ALL SELECT 'region=' || region, score, premium FROM cscored),
+dv AS (SELECT grp, score, sum(premium) AS pos, sum(1 - premium) AS neg FROM cg GROUP BY 1, 2),
+nb AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY grp ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM dv),
+au AS (SELECT grp, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc, sum(pos) + sum(neg) AS n FROM nb GROUP BY 1
+       HAVING sum(pos) > 0 AND sum(neg) > 0),
+m AS (SELECT 'coverage_80' AS metric, NULL AS grp,
              avg(CASE WHEN annual_income BETWEEN p10 AND p90 THEN 1.0 ELSE 0.0 END) AS value FROM scored
-      UNION ALL SELECT 'crossings', CAST(count(*) FILTER (WHERE p10 > p50 OR p50 > p90) AS DOUBLE) FROM scored
-      UNION ALL SELECT 'r2', 1 - sum(power(annual_income - p50, 2)) / (var_pop(annual_income) * count(*)) FROM scored
-      UNION ALL SELECT 'mae', avg(abs(annual_income - p50)) FROM scored
-      UNION ALL SELECT 'rmse', sqrt(avg(power(annual_income - p50, 2))) FROM scored),
-b AS (SELECT * FROM (VALUES ('coverage_80', 0.72, 0.88), ('crossings', 0.0, 0.0), ('r2', 0.0, 0.4),
-                            ('mae', 30000.0, 90000.0), ('rmse', 60000.0, 160000.0)) b(metric, lo, hi))
-SELECT m.metric, round(m.value, 4) AS value, CAST(b.lo AS DOUBLE) AS lo, CAST(b.hi AS DOUBLE) AS hi,
-       m.value BETWEEN b.lo AND b.hi AS passed FROM m JOIN b USING (metric)""")
+      UNION ALL SELECT 'crossings', NULL, CAST(count(*) FILTER (WHERE p10 > p50 OR p50 > p90) AS DOUBLE) FROM scored
+      UNION ALL SELECT 'r2', NULL, 1 - sum(power(annual_income - p50, 2)) / (var_pop(annual_income) * count(*)) FROM scored
+      UNION ALL SELECT 'mae', NULL, avg(abs(annual_income - p50)) FROM scored
+      UNION ALL SELECT 'rmse', NULL, sqrt(avg(power(annual_income - p50, 2))) FROM scored
+      UNION ALL SELECT 'cv_test_gap', NULL, abs((SELECT r2 FROM cv) - (1 - sum(power(annual_income - p50, 2)) / (var_pop(annual_income) * count(*)))) FROM scored
+      UNION ALL SELECT 'subgroup_coverage', grp, avg(CASE WHEN annual_income BETWEEN p10 AND p90 THEN 1.0 ELSE 0.0 END) FROM st GROUP BY 2 HAVING count(*) >= 30
+      UNION ALL SELECT 'roc_auc', NULL, auc FROM au WHERE grp IS NULL
+      UNION ALL SELECT 'subgroup_roc_auc', grp, auc FROM au WHERE grp IS NOT NULL AND n >= 30),
+b AS (SELECT * FROM (VALUES ('coverage_80', 0.72, 0.88), ('crossings', 0.0, 0.0), ('r2', 0.0, 0.4), ('mae', 30000.0, 90000.0),
+                            ('rmse', 60000.0, 160000.0), ('cv_test_gap', 0.0, 0.15), ('subgroup_coverage', 0.60, 0.95),
+                            ('roc_auc', 0.55, 0.99), ('subgroup_roc_auc', 0.50, 0.95)) b(metric, lo, hi))
+SELECT m.metric, m.grp, round(m.value, 4) AS value, CAST(b.lo AS DOUBLE) AS lo, CAST(b.hi AS DOUBLE) AS hi,
+       m.value BETWEEN b.lo AND b.hi AND NOT (m.metric = 'subgroup_roc_auc' AND m.value = b.lo)
+         AND NOT (m.metric IN ('roc_auc', 'subgroup_roc_auc') AND m.value = b.hi) AS passed FROM m JOIN b USING (metric)""")
 def q_bands(spark, sf):
-    sc = quantile_scored(spark, sf)
-    pm = ev.point_metrics(sc)
-    im = ev.interval_metrics(sc)
-    long = (im.select(F.lit("coverage_80").alias("metric"), F.col("coverage").alias("value"))
-            .unionByName(im.select(F.lit("crossings").alias("metric"),
-                                   F.col("crossings").cast("double").alias("value")))
-            .unionByName(pm.select(F.lit("r2").alias("metric"), F.col("r2").alias("value")))
-            .unionByName(pm.select(F.lit("mae").alias("metric"), F.col("mae").alias("value")))
-            .unionByName(pm.select(F.lit("rmse").alias("metric"), F.col("rmse").alias("value"))))
-    b = ev.metric_bands(long)
-    return b.select("metric", F.round("value", 4).alias("value"), "lo", "hi", "passed")
+    classes = class_scored(spark, sf)
+    per = [ev.roc_auc(classes, groups=[c]).select(F.lit(c).alias("attribute"), F.col(c).alias("grp"), "roc_auc",
+                                                  (F.col("n_pos") + F.col("n_neg")).alias("n")) for c in ("gender", "region")]
+    groups = per[0].unionByName(per[1]).where("n >= 30 and roc_auc is not null")
+    values = ev.band_values(quantile_scored(spark, sf), closed_form_cv(spark, sf), classes, groups)
+    return ev.metric_bands(values).select("metric", "grp", F.round("value", 4).alias("value"), "lo", "hi", "passed")
