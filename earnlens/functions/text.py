@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# White space of a text's ends, as Python's ``strip()`` takes it.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # A plain decimal or scientific literal, optional sign and surrounding blanks.
 # Anything else ('*', '#', '1,234', 'inf', '1d') becomes null, as a
 # coerce-to-number on text would leave it.
@@ -15,10 +18,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def stripped(c) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(_c(c), F.lit(SPACES))
+
+
 def to_number(c) -> Column:
     """Text -> double; invalid text -> null (PRJ-04)."""
     c = _c(c).cast("string")
-    return F.when(c.rlike(NUMERIC_TEXT), F.trim(c).try_cast("double"))
+    return F.when(c.rlike(NUMERIC_TEXT), stripped(c).try_cast("double"))
 
 
 def title_case(c) -> Column:
@@ -29,7 +37,7 @@ def title_case(c) -> Column:
     alone only capitalises after blanks, so the text is split after every
     non-letter and each piece is ``initcap``-ed.
     """
-    pieces = F.split(F.lower(F.trim(_c(c))), r"(?<=[^\p{L}])")
+    pieces = F.split(F.lower(stripped(c)), r"(?<=[^\p{L}])")
     return F.array_join(F.transform(pieces, lambda t: F.initcap(t)), "")
 
 
@@ -77,12 +85,12 @@ def education_bucket(c) -> Column:
 
 def normalise_state(c) -> Column:
     """Request state code: trimmed, upper case (PRJ-16)."""
-    return F.upper(F.trim(_c(c)))
+    return F.upper(stripped(c))
 
 
 def normalise_gender(c) -> Column:
     """Request gender: trimmed, title case (PRJ-16); validity is DQ-09."""
-    return F.initcap(F.trim(_c(c)))
+    return F.initcap(stripped(c))
 
 
 def epoch_micros(c, dtype: str) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earnlens.operators.joins import one_row
 from earnlens.sources import dims
 
 
@@ -15,9 +14,10 @@ def build_cohort(persons: DataFrame, wages: DataFrame, keys=("occupation", "stat
     """Inner many-to-one join of persons to their (occupation, state) wage
     row, after the income floor, then exact-duplicate removal.
 
-    The wage table has one row per (occupation, state), so it is bounded by
-    the number of cells and broadcast after a size check; the person side
-    is never shuffled for the join. DED-01 is the only shuffle."""
+    The wage table has one row per (occupation, state); AQE broadcasts it at
+    runtime when it measures small. Persons from a table bucketed by their id
+    (:func:`earnlens.sources.io.write_bucketed`) are then shuffled neither for
+    the join nor for DED-01: equal rows have equal ids, so they share a bucket."""
     if floor is not None:
         persons = persons.where(F.col(income) >= floor)
     j = persons.join(wages, list(keys), "inner")
@@ -31,9 +31,7 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """PRF-05: rows minus distinct rows, as one row (bigint)."""
-    total = df.agg(F.count("*").alias("rows"))
-    distinct = df.distinct().agg(F.count("*").alias("distinct_rows"))
-    return total.crossJoin(distinct).select(
-        "rows", "distinct_rows",
-        (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"))
+    """PRF-05: rows minus distinct rows, as one row (bigint), in one pass."""
+    each = df.groupBy(*df.columns).agg(F.count("*").alias("_times"))
+    rows = F.coalesce(F.sum("_times"), F.lit(0))
+    return each.agg(rows.alias("rows"), F.count("*").alias("distinct_rows"), (rows - F.count("*")).alias("duplicate_rows"))

@@ -76,7 +76,3 @@ def semi(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     (bounded by k), which AQE broadcasts at runtime."""
     return df.join(keys, on, "left_semi")
 
-
-def anti(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """Non-membership (JOIN-08)."""
-    return df.join(keys, on, "left_anti")

@@ -66,6 +66,22 @@ def expectations(df: DataFrame, *, not_null=(), row_range=None, distinct_eq=None
     not_null: columns with no nulls; row_range: (lo, hi); distinct_eq:
     (col, n); min_floor: (col, floor); positive: columns all > 0;
     in_range: {col: (lo, hi)}; in_set: {col: values}."""
+    aggs, rules = expectation_rules(not_null=not_null, row_range=row_range, distinct_eq=distinct_eq, min_floor=min_floor,
+                                    positive=positive, in_range=in_range, in_set=in_set)
+    return judge(df.agg(*aggs), rules)
+
+
+def judge(metrics: DataFrame, rules) -> DataFrame:
+    """One row of the rules' metrics -> (rule, passed, observed)."""
+    return metrics.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("rule"), p.alias("passed"), o.cast("double").alias("observed"))
+        for n, p, o in rules])).alias("r")).select("r.*")
+
+
+def expectation_rules(*, not_null=(), row_range=None, distinct_eq=None, min_floor=None, positive=(), in_range=None, in_set=None):
+    """The rules of :func:`expectations` as (aggregates, rules over them). The
+    aggregates can also be observed while a table is written; the distinct
+    count therefore gathers the values, so it is for columns of few ones."""
     aggs, rules = [], []
     for c in not_null:
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"nn_{c}"))
@@ -75,7 +91,7 @@ def expectations(df: DataFrame, *, not_null=(), row_range=None, distinct_eq=None
         rules.append(("row_count_in_range", F.col("rows").between(*row_range), F.col("rows")))
     if distinct_eq:
         c, n = distinct_eq
-        aggs.append(F.countDistinct(c).alias(f"dc_{c}"))
+        aggs.append(F.size(F.collect_set(c)).alias(f"dc_{c}"))
         rules.append((f"distinct:{c}=={n}", F.col(f"dc_{c}") == n, F.col(f"dc_{c}")))
     if min_floor:
         c, fl = min_floor
@@ -90,10 +106,7 @@ def expectations(df: DataFrame, *, not_null=(), row_range=None, distinct_eq=None
     for c, vals in (in_set or {}).items():
         aggs.append(F.count_if(~F.col(c).isin(list(vals))).alias(f"os_{c}"))
         rules.append((f"in_set:{c}", F.col(f"os_{c}") == 0, F.col(f"os_{c}")))
-    a = df.agg(*aggs)
-    return a.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("rule"), p.alias("passed"), o.cast("double").alias("observed"))
-        for n, p, o in rules])).alias("r")).select("r.*")
+    return aggs, rules
 
 
 def threshold_consistency(annual: float, hourly: float, hours: int = 2080,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from earnlens.operators import explore as ex
 from earnlens.plans.registry import query, r4
 from earnlens.plans.sqlviews import BUCKET, P, PWC
+from earnlens.sources import dims
 from earnlens.sources import testbed as tb
 
 
@@ -317,3 +318,63 @@ def q_region_lookup(spark, sf):
     p = tb.persons(spark, sf).drop("region")
     j = lookup(p, tb.region_map(spark, sf).select("state", "region"), "state")
     return j.groupBy("region", "state").agg(F.count("*").alias("n"))
+
+
+#: Education labels that the order priorities stand for, from 1 to 5.
+LABELS = ["Doctoral degree (PhD)", "Professional degree", "Master's degree", "Bachelor's degree", "Associate's degree"]
+
+
+@query("education_bucket_labels", P + """,
+l AS (SELECT annual_income, CASE education_ord WHEN 1 THEN 'Doctoral degree (PhD)' WHEN 2 THEN 'Professional degree' WHEN 3 THEN 'Master''s degree'
+                                 WHEN 4 THEN 'Bachelor''s degree' ELSE 'Associate''s degree' END AS label FROM persons)
+SELECT label, CASE WHEN regexp_matches(lower(label), 'phd|doctor|professional|master') THEN 'Advanced'
+                   WHEN contains(lower(label), 'bachelor') THEN 'Bachelor' ELSE 'Lower' END AS bucket,
+       count(*) AS n, round(avg(CAST(annual_income AS DECIMAL(38,10))), 4) AS mean_income FROM l GROUP BY 1, 2""")
+def q_bucket_labels(spark, sf):
+    """PRJ-12 on real labels."""
+    from earnlens.functions.metrics import exact_mean
+    from earnlens.functions.text import education_bucket
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.col("education_ord"))
+    p = tb.persons(spark, sf).withColumn("label", label).withColumn("bucket", education_bucket("label"))
+    return r4(p.groupBy("label", "bucket").agg(F.count("*").alias("n"), exact_mean("annual_income").alias("mean_income")))
+
+
+_STATES = [(s, r) for r, states in sorted(dims.REGIONS.items()) for s in states]
+
+
+@query("region_dim_lookup", P + ", s AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{s}', '{r}', {sorted(dims.REGIONS).index(r)})" for i, (s, r) in enumerate(sorted(_STATES))) + """) v(i, state, region, region_code))
+SELECT s.state, s.region, s.region_code, count(*) AS n, round(sum(annual_income), 2) AS income
+FROM persons p JOIN nation n ON p.state = n.n_name JOIN s ON s.i = 2 * n.n_nationkey GROUP BY 1, 2, 3""")
+def q_region_dim(spark, sf):
+    """SRC-04: every second state stands for a nation; persons meet its region
+    through the inverted dimension."""
+    from earnlens.operators.joins import lookup
+    from earnlens.sources.tables import read_table
+    states = F.array(*[F.lit(s) for s in sorted(s for s, _ in _STATES)])
+    nation = read_table(spark, sf, "nation").select(
+        F.col("n_name").alias("_nation"), F.element_at(states, (2 * F.col("n_nationkey") + 1).cast("int")).alias("_state"))
+    p = tb.persons(spark, sf).drop("region").withColumnRenamed("state", "_nation")
+    p = lookup(p, nation, "_nation").withColumnRenamed("_state", "state")
+    p = lookup(p, dims.region_dim(spark), "state")
+    return p.groupBy("state", "region", "region_code").agg(F.count("*").alias("n"), F.round(F.sum("annual_income"), 2).alias("income"))
+
+
+@query("cohort_bucketed", _PWC.replace("FROM persons p JOIN wages w", "FROM (SELECT * FROM persons UNION ALL SELECT * FROM persons WHERE person_id % 7 < 2) p JOIN wages w") + """
+SELECT person_id, state, occupation, gender, age, education_level, round(annual_income, 4) AS annual_income, employment,
+       round(hourly_mean, 4) AS hourly_mean, (SELECT count(*) FROM persons WHERE person_id % 7 < 2) AS planted FROM cohort""")
+def q_cohort_bucketed(spark, sf):
+    """SNK-01, JOIN-01, DED-01: persons with planted copies, written bucketed
+    by their id; neither the join nor the removal of copies shuffles them."""
+    import posixpath
+    import uuid
+    from earnlens.operators.integrate import build_cohort
+    from earnlens.operators.joins import one_row, small
+    from earnlens.session import checkpoint_dir
+    from earnlens.sources.io import write_bucketed
+    p = tb.persons(spark, sf)
+    copies = p.where("person_id % 7 < 2")
+    table = write_bucketed(p.unionByName(copies), posixpath.join(checkpoint_dir(spark), "tables", f"persons-{uuid.uuid4().hex[:12]}"), ["person_id"])
+    c = build_cohort(table, small(tb.wages(spark, sf)))
+    c = c.select("person_id", "state", "occupation", "gender", "age", "education_level", "annual_income", "employment", "hourly_mean")
+    return r4(c.join(one_row(copies.agg(F.count("*").alias("planted")))))

@@ -84,7 +84,7 @@ def q_version_check(spark, sf):
 
 
 @query("runs_table", Q + """
-SELECT 'group_quantiles' AS model, 'occupation' AS feature_set,
+SELECT 'group_quantiles' AS model, CAST(current_date AS VARCHAR) AS run_date, 'occupation' AS feature_set,
        (SELECT count(*) FROM split WHERE split = 'train') AS n_train, count(*) AS n_test, 0.5 AS alpha,
        round(1 - sum(power(annual_income - p50, 2)) / (var_pop(annual_income) * count(*)), 4) AS r2,
        round(avg(abs(annual_income - p50)), 4) AS mae FROM scored""")
@@ -93,7 +93,7 @@ def q_runs(spark, sf):
     m = ev.point_metrics(sc).select("r2", "mae").first().asDict()
     n_train = split_cohort(spark, sf).where("split = 'train'").count()
     row = tr.run_row(spark, "group_quantiles", {"alpha": 0.5}, m, "occupation", n_train, sc.count())
-    return r4(row.select("model", "feature_set", "n_train", "n_test", F.col("params")["alpha"].alias("alpha"),
+    return r4(row.select("model", "run_date", "feature_set", "n_train", "n_test", F.col("params")["alpha"].alias("alpha"),
                          F.col("metrics")["r2"].alias("r2"), F.col("metrics")["mae"].alias("mae")))
 
 

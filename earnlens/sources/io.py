@@ -4,6 +4,7 @@ inferred."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.errors import AnalysisException
@@ -67,6 +68,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     w.format(fmt).save(path)
 
 
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """SNK-01: ``df`` bucketed and sorted by ``keys`` under ``path``, one file a
+    bucket, and read back as a table: joins and aggregates by the keys (or by
+    more columns than those) need no exchange. Choose keys that spread, such as
+    an id: a key of many rows is one bucket."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = "bucketed_" + hashlib.md5(path.encode()).hexdigest()[:12]
+    df.repartition(n, *keys).write.mode("overwrite").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    return spark.table(table)
+
+
 def save_artefact(df: DataFrame, root: str, name: str) -> str:
     """SNK-02: an artefact table (group means, baseline, metrics) as Parquet
     under ``root/name`` (parent folders are created by the writer)."""

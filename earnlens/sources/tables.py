@@ -38,10 +38,3 @@ def input_signature(spark: SparkSession, sf_dir: str, names=TABLES) -> tuple:
         if fs.exists(p):
             out += [(n, f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)]
     return tuple(sorted(out))
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for n in names:
-        p = os.path.join(sf_dir, f"{n}.parquet")
-        if os.path.exists(p):
-            read_table(spark, sf_dir, n).createOrReplaceTempView(n)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earnlens.operators.joins import small
+from earnlens.operators.profile import expectation_rules, judge
 from earnlens.sources import dims
 from earnlens.sources.tables import read_table
 
@@ -63,7 +64,20 @@ def wages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cohort table (written once by the integrate job, then read)."""
     from earnlens.sources.store import processed
-    return processed(spark, "cohort", sf_dir, lambda: build_cohort_table(spark, sf_dir))
+    return processed(spark, "cohort", sf_dir, lambda: build_cohort_table(spark, sf_dir), observe=expectation_rules(**COHORT_RULES)[0])
+
+
+#: What the cohort has to meet (DQ-02..07); observed while it is written.
+COHORT_RULES = dict(not_null=("annual_income", "state"), row_range=(5000, 50000), distinct_eq=("state", 25),
+                    min_floor=("annual_income", 100000), positive=("location_quotient", "employment"),
+                    in_range={"age": (16, 100), "education_ord": (1, 5)}, in_set={"gender": ("Male", "Female")})
+
+
+def cohort_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DQ-02..07 of the cohort table, from the scan of the job that wrote it."""
+    from earnlens.sources.store import observed
+    cohort(spark, sf_dir)
+    return judge(observed(spark, "cohort", sf_dir), expectation_rules(**COHORT_RULES)[1])
 
 
 def build_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +159,10 @@ def region_map(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    read_table(spark, sf_dir, "region"))
 
 
+#: Nations that stand for areas outside the states (FLT-02).
+AREA_OF_NATION = dict(zip((3, 7, 11, 19), dims.EXCLUDED_AREAS))
+
+
 def raw_wages(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: D401
     """The wage statistics rendered as the raw text table (SRC-01 shape):
     area names lower-cased and padded, codes hyphenated, and the release
@@ -158,8 +176,9 @@ def raw_wages(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: D401
                     F.lpad(F.ascii("occupation").cast("string"), 4, "0"))
     top = F.col("annual_mean_wage") >= 262000
     return w.select(
-        F.concat(F.lit("  "), F.lower("state"), F.lit(" ")).alias("AREA_TITLE"),
-        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("PRIM_STATE"),
+        F.concat(F.lit(" \t"), F.lower("state"), F.lit("\n ")).alias("AREA_TITLE"),
+        F.coalesce(F.create_map(*[F.lit(x) for kv in AREA_OF_NATION.items() for x in kv])[F.col("n_nationkey").cast("int")],
+                   F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))).alias("PRIM_STATE"),
         F.format_string("%.4f", "location_quotient").alias("LOC_QUOTIENT"),
         code.alias("OCC_CODE"),
         F.concat(F.lower("occupation"), F.lit(" first-line workers")).alias("OCC_TITLE"),
