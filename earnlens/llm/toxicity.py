@@ -30,8 +30,13 @@ from earnlens.llm.words import shingles
 SAMPLE = 4000
 #: Hash buckets of the emission weights.
 BUCKETS = 1 << 17
-#: Tokens of a training window, and windows of a text.
-SPAN, WINDOWS = 48, 2
+#: Tokens of a training window. A clean text gives one for every ``SPACING``
+#: tokens, the whole text long; where all clean texts would give more than
+#: about ``CLEAN_WINDOWS``, every text gives proportionally fewer. A toxic text
+#: gives windows that hold all of its marked tokens.
+SPAN, SPACING, CLEAN_WINDOWS = 48, 192, 40_000
+#: Marking features that a model may hold; more are an error.
+MOST_MARKS = 200_000
 #: A marking feature is held by so many families of toxic texts, and is so
 #: many times (as a logarithm) likelier in them than in clean ones.
 LEAST_FAMILIES, LEAST_ODDS = 3, 3.0
@@ -204,13 +209,26 @@ def marking_features(sample: DataFrame) -> set[str]:
     odds = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
     expected = (a + b) * (n1 / (n1 + n0))
     ratio = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / ((a + b) - expected))).otherwise(0.0))
-    found = counts.where((odds >= LEAST_ODDS) & (ratio >= 2 * float(np.log(tested)))).orderBy(F.desc(ratio), "feature")
-    return {r["feature"] for r in found.limit(20_000).select("feature").collect()}
+    found = counts.where((odds >= LEAST_ODDS) & (ratio >= 2 * float(np.log(tested)))).select("feature").limit(MOST_MARKS + 1).collect()
+    if len(found) > MOST_MARKS:
+        raise ValueError(f"more than {MOST_MARKS} features mark toxic tokens")
+    return {r["feature"] for r in found}
+
+
+def window_starts(n: int, hits: list[int] | None, spacing: int) -> list[int]:
+    """Where a text of ``n`` tokens has its training windows: so that every hit
+    lies in one, or (None) one for every ``spacing`` tokens, in their middle."""
+    if hits is None:
+        return [i + max(0, (min(spacing, n - i) - SPAN) // 2) for i in range(0, n, spacing) if i == 0 or n - i >= SPAN]
+    out: list[int] = []
+    for h in hits:
+        if not out or h >= out[-1] + SPAN:
+            out.append(max(out[-1] + SPAN if out else 0, h - SPAN // 2))
+    return out
 
 
-def _windows(marks: set[str]):
-    """Windows of labelled tokens: around the first marked tokens of a toxic
-    text, and at fixed places of any text."""
+def _windows(marks: set[str], spacing: int):
+    """Windows of labelled tokens of whole texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, tags, weights = [], [], []
@@ -220,12 +238,10 @@ def _windows(marks: set[str]):
                 hits = [i for i, x in enumerate(tag) if x]
                 if y and not hits:
                     continue  # nothing tells which of its tokens are toxic
-                step = max(1, len(words) // WINDOWS)
-                for i in ([max(0, h - SPAN // 2) for h in hits[::max(1, len(hits) // WINDOWS)]] if y else range(0, len(words), step))[:WINDOWS]:
-                    if words[i:i + SPAN]:
-                        tokens.append(words[i:i + SPAN])
-                        tags.append(tag[i:i + SPAN])
-                        weights.append(w if not y else 1.0)
+                for i in window_starts(len(words), hits if y else None, spacing):
+                    tokens.append(words[i:i + SPAN])
+                    tags.append(tag[i:i + SPAN])
+                    weights.append(w if not y else 1.0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(tokens), dtype=np.int32)), pa.array(tokens, pa.list_(pa.string())),
                  pa.array(tags, pa.list_(pa.int32())), pa.array(weights, pa.float64())],
@@ -320,8 +336,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     constant = ToxicityModel(curve=(float(np.log(prior / (1 - prior))), 0.0, 0.0))
     if not marks:
         return constant
-    # at most 2 * WINDOWS * sample short windows: one task fits the chain
-    windows = families.mapInArrow(releasing(_windows(marks)), "one int, tokens array<string>, tags array<int>, weight double")
+    # short windows of a bounded sample: one task fits the chain
+    clean = families.where("toxic = 0").agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    spacing = max(SPACING, -(-clean // CLEAN_WINDOWS))
+    windows = families.mapInArrow(releasing(_windows(marks, spacing)), "one int, tokens array<string>, tags array<int>, weight double")
     windows = windows.withColumn("order", F.xxhash64("tokens"))
     found = windows.groupBy("one").applyInPandas(_fit_task, "weights binary, chain array<double>").collect()
     if not found:
