@@ -2,19 +2,28 @@
 
 Every page becomes a small tree of its block elements (runs of like siblings
 are one node). The trees of a host are aligned by simple tree matching and
-merged into the host's wrapper, which counts, for each node, pages, text and
-link characters, and whether its text is the same on all pages: partitions
-merge what they hold, then the partial wrappers of a host are merged, so a
-host of very many pages costs no task more than the others. Nodes that vary
-are content slots, constant ones template; page regions are told apart by the
-nodes' names and by where the varying text is. Extraction aligns each page
-with its host's wrapper again and keeps the text of its content slots.
+merged into the host's wrappers, one of the pages that mark a main region and
+one of the others. A wrapper counts, for each node, pages, text and link
+characters, and whether its text is the same on all pages: partitions merge
+what they hold, then the partial wrappers of a host are merged, so a host of
+very many pages costs no task more than the others.
+
+The wrapper decides what is content. Its main slot is found from the root
+down: as long as one child holds most of the text that varies and is no link,
+that child goes on, and what stands beside it is menu, advert or footer,
+whatever its name. A main region's own name is a vote: it weighs its text more
+and ends the way down. In the slot, constant nodes are template, and names of
+adverts, comments and the like set their nodes apart. Extraction aligns each
+page with its host's wrapper again and keeps the text of its content slots.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from earnlens.llm.common import fits, small_or_shuffle, stage, text_or_empty
+from earnlens.llm.common import BROADCAST_BYTES, small_or_shuffle, stage, text_or_empty
 
 # Element names of the HTML standard.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -62,8 +71,19 @@ LARGE = 1 << 16
 #: Pages that one copy of a large wrapper meets (about: pages are dealt by a hash).
 PAGES_MET = 2000
 
-#: Elements nested deeper than this are not nodes of their own.
-DEEPEST = 100
+#: A child goes on as the main slot if it holds this share of the slot's varying
+#: text; the text of a region that is named as the main one weighs so much more.
+DOMINATES, VOTE = 0.6, 3
+#: Elements that can be the main slot.
+SLOTS = {"", "html", "body", "div", "main", "article", "section", "center", "table", "tbody", "tr", "td", "fieldset", "form", "details", "dd", "dl"}
+#: Elements that say nothing without a class or an id.
+UNNAMED = {"div", "section", "td"}
+#: Sibling lists are aligned by a table of up to so many places, longer ones
+#: piece by piece.
+TABLE = 250_000
+
+# trees are as deep as pages nest their elements; Python's own calls take no machine stack
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -174,34 +194,55 @@ def parse(html: str) -> Node:
                     close(d)
                 elif name in SCOPE or name in ("article", "section", "div", "td", "th", "main", "body"):
                     break
-            if len(stack) > DEEPEST:  # its text belongs to the element above
-                stack.append((tag, stack[-1][1], False))
-                continue
             node = _node(tag, m[3], mains > 0)
             stack[-1][1].children.append(node)
             if tag not in VOID and not m[3].endswith("/"):
                 stack.append((tag, node, node.main))
                 mains += node.main
     flush()
+    _tell_apart(root)
     return root
 
 
+def _tell_apart(root: Node) -> None:
+    """Elements of no name are told apart by what is directly in them: kinds of
+    children, text of their own, links."""
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        todo += n.children
+        if n.key in UNNAMED:
+            kinds = sorted({c.key.split(".")[0] for c in n.children})
+            own = ["text"] * any(len(t) > k for _, t, k in n.units) + ["link"] * any(k for _, _, k in n.units)
+            n.key += ".:" + "+".join(kinds + own)
+
+
 # -- wrappers: nested lists [key, apart, main, hashes of some different pages, text hash or None (varies), characters,
 # link characters, children]
 KEY, APART_AT, MAIN, PAGES, SAME, CHARS, LINKS, CHILDREN = range(8)
 
 
-def own_text(node: Node) -> Iterator[str]:
+def own_text(node: Node) -> list[str]:
     """The text that no name sets apart; equal for copies of a page whose
     menus and adverts differ."""
-    if not node.apart:
-        yield from (t for _, t, _ in node.units)
-        for child in node.children:
-            yield from own_text(child)
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if not n.apart:
+            out += [t for _, t, _ in n.units]
+            todo += reversed(n.children)
+    return out
 
 
 def has_main(node: Node) -> bool:
-    return not node.apart and (node.main or any(map(has_main, node.children)))
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if not n.apart:
+            if n.main:
+                return True
+            todo += n.children
+    return False
 
 
 def page_slots(page: Node) -> list:
@@ -228,30 +269,13 @@ def slots(node: Node, page: int) -> list:
 
 def match_score(a: list, b: list) -> int:
     """Simple tree matching: the largest number of node pairs that keep keys,
-    parents and the order of siblings."""
+    parents and the order of siblings (of long lists, see :func:`matched`)."""
     if a[KEY] != b[KEY]:
         return 0
-    xs, ys = a[CHILDREN], b[CHILDREN]
-    if not xs or not ys:
-        return 1
-    left, right = _alike([x[KEY] for x in xs], [y[KEY] for y in ys])
-    xs, ys = [xs[i] for i in left], [ys[j] for j in right]
-    if _plain(xs, ys):
-        return 1 + sum(map(match_score, xs, ys))
-    return 1 + _table(xs, ys)[-1][-1]
-
-
-def _alike(xs: list[str], ys: list[str]) -> tuple[list[int], list[int]]:
-    """Indexes of the keys that the other list has too; no others can match."""
-    in_x, in_y = set(xs), set(ys)
-    return [i for i, k in enumerate(xs) if k in in_y], [j for j, k in enumerate(ys) if k in in_x]
-
-
-def _plain(xs: list, ys: list) -> bool:
-    """Whether both have the same keys in the same order, none twice: then all
-    of them match."""
-    keys = [x[KEY] for x in xs]
-    return keys == [y[KEY] for y in ys] and len(set(keys)) == len(keys)
+    xs, ys, total = a[CHILDREN], b[CHILDREN], 1
+    for i, j in matched(xs, ys):
+        total += match_score(xs[i], ys[j])
+    return total
 
 
 def _table(xs: list, ys: list) -> list[list[int]]:
@@ -267,23 +291,84 @@ def _table(xs: list, ys: list) -> list[list[int]]:
 
 def align(xs: list, ys: list) -> list[tuple[int | None, int | None]]:
     """Sibling lists aligned by their matching; unmatched ones with None."""
-    a, b = [x[KEY] for x in xs], [y[KEY] for y in ys]
-    if a == b:
-        return [(i, i) for i in range(len(xs))]
-    left, right = _alike(a, b)
     out, i, j = [], 0, 0
-    for m, n in [*_matched([xs[k] for k in left], [ys[k] for k in right]), (None, None)]:
-        to_i, to_j = (len(xs), len(ys)) if m is None else (left[m], right[n])
-        out += [(k, None) for k in range(i, to_i)] + [(None, k) for k in range(j, to_j)]
-        if m is not None:
-            out.append((to_i, to_j))
-            i, j = to_i + 1, to_j + 1
-    return out
+    for m, n in [*matched(xs, ys), (len(xs), len(ys))]:
+        out += [(k, None) for k in range(i, m)] + [(None, k) for k in range(j, n)]
+        out.append((m, n))
+        i, j = m + 1, n + 1
+    return out[:-1]
+
+
+def matched(xs: list, ys: list) -> list[tuple[int, int]]:
+    """The pairs of a matching, in order. Keys that only one list has cannot
+    match; the same keys in the same order, none twice, all do. A short rest is
+    matched by a table of subtree scores. Of a long one, first and last siblings
+    of the same keys are paired, then keys that both have once (the longest
+    ascending run of them), and so on between those; where no key is left that
+    is there once, the rest is cut in the middle. Time and memory grow with
+    the lists' length, not with its square."""
+    in_x, in_y = {x[KEY] for x in xs}, {y[KEY] for y in ys}
+    left = [i for i, x in enumerate(xs) if x[KEY] in in_y]
+    right = [j for j, y in enumerate(ys) if y[KEY] in in_x]
+    keys = [xs[i][KEY] for i in left]
+    if keys == [ys[j][KEY] for j in right] and (len(set(keys)) == len(keys) or len(xs) == len(ys)):
+        return list(zip(left, right))
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(left), 0, len(right))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a >= b or c >= d:
+            continue
+        if (b - a) * (d - c) <= TABLE:
+            out += [(left[a + i], right[c + j]) for i, j in _by_table([xs[i] for i in left[a:b]], [ys[j] for j in right[c:d]])]
+            continue
+        while a < b and c < d and xs[left[a]][KEY] == ys[right[c]][KEY]:
+            out.append((left[a], right[c]))
+            a, c = a + 1, c + 1
+        while a < b and c < d and xs[left[b - 1]][KEY] == ys[right[d - 1]][KEY]:
+            b, d = b - 1, d - 1
+            out.append((left[b], right[d]))
+        if (b - a) * (d - c) <= TABLE:
+            todo.append((a, b, c, d))
+            continue
+        marks = _once(xs, left, a, b).items()
+        there = _once(ys, right, c, d)
+        anchors = _ascending([(i, there[k]) for k, i in marks if k in there])
+        if not anchors:  # halves against halves
+            m, n = (a + b) // 2, (c + d) // 2
+            anchors, todo = [], todo + [(a, m, c, n), (m, b, n, d)]
+            continue
+        for i, j in anchors:
+            out.append((left[i], right[j]))
+            todo.append((a, i, c, j))
+            a, c = i + 1, j + 1
+        todo.append((a, b, c, d))
+    return sorted(out)
+
+
+def _once(nodes: list, places: list[int], a: int, b: int) -> dict[str, int]:
+    """The keys that are there once, with their place among ``places``."""
+    count = Counter(nodes[i][KEY] for i in places[a:b])
+    return {nodes[places[i]][KEY]: i for i in range(a, b) if count[nodes[places[i]][KEY]] == 1}
+
+
+def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs (ascending on the left) that ascends on the right."""
+    ends: list[int] = []
+    at: list[int] = []
+    back: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(ends, j)
+        back.append(at[k - 1] if k else -1)
+        ends[k:k + 1], at[k:k + 1] = [j], [n]
+    out, n = [], at[-1] if at else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = back[n]
+    return out[::-1]
 
 
-def _matched(xs: list, ys: list) -> list[tuple[int, int]]:
-    if _plain(xs, ys):
-        return [(i, i) for i in range(len(xs))]
+def _by_table(xs: list, ys: list) -> list[tuple[int, int]]:
     table, out = _table(xs, ys), []
     i, j = len(xs), len(ys)
     while i and j:
@@ -309,44 +394,104 @@ def merge(a: list, b: list) -> list:
 
 
 def size(w: list) -> int:
-    return 1 + sum(map(size, w[CHILDREN]))
-
-
-def decide(wrapper: list) -> list:
-    """The wrapper with each node's verdicts in place of its counts: ``[key,
-    content, content, children]``, for pages with and without a marked region.
-
-    Content is what lies in main regions (in the body, if there is none) but
-    for nodes set apart by name and for constant nodes beside varying ones;
-    where no region is marked, lists of links are no content either."""
-    def varies(w: list) -> bool:
-        return not w[APART_AT] and (w[SAME] is None or any(map(varies, w[CHILDREN])))
-
-    def total(w: list, at: int) -> int:
-        return w[at] + sum(total(c, at) for c in w[CHILDREN])
-
-    any_varies = varies(wrapper)
+    n, todo = 0, [w]
+    while todo:
+        own = todo.pop()
+        n += 1
+        todo += own[CHILDREN]
+    return n
+
+
+def dump(tree: list | None) -> str:
+    """A tree, whose nodes have their children last, as flat JSON: nodes in
+    order, each with the number of its children."""
+    out, todo = [], [] if tree is None else [tree]
+    while todo:
+        n = todo.pop()
+        out.append([*n[:-1], len(n[-1])])
+        todo += reversed(n[-1])
+    return json.dumps(out)
+
+
+def load(text: str) -> list | None:
+    open_: list[list] = []
+    root = None
+    for *fields, count in json.loads(text):
+        node = [*fields, []]
+        if open_:
+            open_[-1][0][-1].append(node)
+            open_[-1][1] -= 1
+        else:
+            root = node
+        open_.append([node, count])
+        while open_ and not open_[-1][1]:
+            open_.pop()
+    return root
 
-    def verdict(w: list, inside: bool, apart: bool, links: bool) -> list:
-        inside, apart = inside or w[MAIN], apart or w[APART_AT]
-        links = links or (w[KEY].split(".")[0] not in ("", "html", "body")
-                          and total(w, LINKS) > LINK_SHARE * max(1, total(w, CHARS)))
-        constant = any_varies and w[SAME] is not None and len(w[PAGES]) >= CONSTANT_PAGES
-        keep = not apart and not constant
-        return [w[KEY], keep and inside, keep and not links, [verdict(c, inside, apart, links) for c in w[CHILDREN]]]
 
-    return verdict(wrapper, False, False, False)
+def decide(wrapper: list, marked: bool) -> list:
+    """The wrapper with each node's verdict in place of its counts: ``[key,
+    content, children]``. ``marked``: its pages mark a main region; where none
+    does, lists of links are no content either."""
+    many = len(wrapper[PAGES]) >= CONSTANT_PAGES
+    mass: dict[int, tuple[int, int, int, bool]] = {}  # of a subtree: varying text that is no link, all text, links, main inside
+
+    def constant(w: list) -> bool:
+        return many and w[SAME] is not None and len(w[PAGES]) >= CONSTANT_PAGES
+
+    def weigh(w: list) -> tuple[int, int, int, bool]:
+        own, chars, links, main = 0 if constant(w) else w[CHARS] - w[LINKS], w[CHARS], w[LINKS], w[MAIN]
+        for c in w[CHILDREN]:
+            a, b, k, m = weigh(c)
+            own, chars, links, main = own + a, chars + b, links + k, main or m
+        if w[APART_AT]:
+            own, main = 0, False
+        mass[id(w)] = own, chars, links, main
+        return mass[id(w)]
+
+    weigh(wrapper)
+    slot = wrapper
+    while not slot[MAIN]:
+        weights = [mass[id(c)][0] * (VOTE if mass[id(c)][3] else 1) for c in slot[CHILDREN]]
+        own = mass[id(slot)][0] - sum(mass[id(c)][0] for c in slot[CHILDREN])
+        if not weights or max(weights) < max(1, DOMINATES * (own + sum(weights))):
+            break
+        best = slot[CHILDREN][weights.index(max(weights))]
+        if best[KEY].split(".")[0] not in SLOTS:
+            break
+        slot = best
+
+    def verdict(w: list, inside: bool, apart: bool) -> list:
+        inside, apart = inside or w is slot, apart or w[APART_AT]
+        _, chars, links, _ = mass[id(w)]
+        if not marked and w is not slot and w[KEY].split(".")[0] not in ("", "html", "body") and links > LINK_SHARE * max(1, chars):
+            apart = True
+        children = []
+        for c in w[CHILDREN]:
+            children.append(verdict(c, inside, apart))
+        return [w[KEY], inside and not apart and not constant(w), children]
+
+    return verdict(wrapper, False, False)
+
+
+def extract(page: Node, judged: list[list | None] | None) -> str:
+    """The page's content, block by block, by its host's wrappers (of pages
+    without and with a marked region); without them, all of its text. A node
+    that the wrapper lacks is content like its parent, unless its name sets it
+    apart. A page in which its host's main slot is empty is judged alone."""
+    if judged is None:
+        return _text_of(page, None)
+    marked = has_main(page)
+    w = judged[marked]
+    out = _text_of(page, w) if w is not None else ""
+    return out or _text_of(page, decide(page_slots(page), marked))
 
 
-def extract(page: Node, judged: list | None) -> str:
-    """The page's content, block by block, by its host's wrapper. A node that
-    the wrapper lacks is content like its parent, unless its name sets it apart."""
+def _text_of(page: Node, judged: list | None) -> str:
     found: list[tuple[int, str]] = []
-    marked = has_main(page)
-    at = 1 if marked else 2
 
     def walk(node: Node, w: list | None, content: bool) -> None:
-        content = w[at] if w is not None else (content or marked and node.main) and not node.apart
+        content = w[1] if w is not None else content and not (node.apart and judged is not None)
         if content:
             found.extend((o, t) for o, t, _ in node.units)
         runs: list[list] = []
@@ -356,37 +501,62 @@ def extract(page: Node, judged: list | None) -> str:
             else:
                 runs.append([child.key, [child]])
         pairs = _aligned(runs, w) if w is not None else {}
+        # what the wrapper lacks follows the slots around it: a constant node's child may well vary
         for i, (_, same) in enumerate(runs):
             for child in same:
                 walk(child, pairs.get(i), content)
 
-    walk(page, judged, not marked)
+    walk(page, judged, True)
     return "\n".join(t for _, t in sorted(found))
 
 
 def _aligned(runs: list, w: list) -> dict[int, list]:
     as_node = lambda key, children: [key, 0, 0, 0, 0, 0, 0, children]
-    kids = w[3]
+    kids = w[2]
     if len(runs) == len(kids) and [r[0] for r in runs] == [k[0] for k in kids]:
         return dict(enumerate(kids))
-    if len(w) == 4:  # places of its children by key, made once
+    if len(w) == 3:  # places of its children by key, made once
         w.append({})
         for j, k in enumerate(kids):
-            w[4].setdefault(k[0], []).append(j)
-    left = [i for i, r in enumerate(runs) if r[0] in w[4]]
-    right = sorted(j for key in {runs[i][0] for i in left} for j in w[4][key])
+            w[3].setdefault(k[0], []).append(j)
+    left = [i for i, r in enumerate(runs) if r[0] in w[3]]
+    right = sorted(j for key in {runs[i][0] for i in left} for j in w[3][key])
     keys = [runs[i][0] for i in left]
     if keys == [kids[j][0] for j in right] and len(set(keys)) == len(keys):
         return {i: kids[j] for i, j in zip(left, right)}
 
     def shape(n: Node) -> list:
-        return as_node(n.key, [shape(c) for i, c in enumerate(n.children) if not i or n.children[i - 1].key != c.key])
+        children = []
+        for i, c in enumerate(n.children):
+            if not i or n.children[i - 1].key != c.key:
+                children.append(shape(c))
+        return as_node(n.key, children)
 
     def judged_shape(k: list) -> list:
-        return as_node(k[0], [judged_shape(c) for c in k[3]])
+        children = []
+        for c in k[2]:
+            children.append(judged_shape(c))
+        return as_node(k[0], children)
+
+    pairs = matched([shape(runs[i][1][0]) for i in left], [judged_shape(kids[j]) for j in right])
+    return {left[i]: kids[right[j]] for i, j in pairs}
+
+
+def merge_pair(a: list, b: list) -> list:
+    """Two hosts' wrappers (of pages without and with a marked region) as one."""
+    return [merge(x, y) if x is not None and y is not None else x if y is None else y for x, y in zip(a, b)]
+
+
+def _pair_size(pair: list) -> int:
+    return sum(size(w) for w in pair if w is not None)
+
+
+def _dump_pair(pair: list) -> str:
+    return json.dumps([dump(w) for w in pair])
+
 
-    pairs = align([shape(runs[i][1][0]) for i in left], [judged_shape(kids[j]) for j in right])
-    return {left[i]: kids[right[j]] for i, j in pairs if i is not None and j is not None}
+def _load_pair(text: str) -> list:
+    return [load(w) for w in json.loads(text)]
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,19 +564,21 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     most: dict[str, int] = {}
 
     def flush(hosts: list[str]) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_pydict({"host": hosts, "wrapper": [json.dumps(held.pop(h)) for h in hosts]})
+        out = pa.RecordBatch.from_pydict({"host": hosts, "wrapper": [_dump_pair(held.pop(h)) for h in hosts]})
         for h in hosts:
             most.pop(h)
         return out
 
     for batch in batches:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = page_slots(parse(html))
+            page = parse(html)
+            own = page_slots(page)
+            own = [None, own] if has_main(page) else [own, None]
             if host not in held:
-                held[host], most[host] = own, max(NODES_HELD, 2 * size(own))
+                held[host], most[host] = own, max(NODES_HELD, 2 * _pair_size(own))
                 continue
-            held[host] = merge(held[host], own)
-            if size(held[host]) >= most[host]:
+            held[host] = merge_pair(held[host], own)
+            if _pair_size(held[host]) >= most[host]:
                 yield flush([host])
         if len(held) > HOSTS_HELD:
             yield flush(list(held))
@@ -417,19 +589,20 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _merge_hosts(rows: pd.DataFrame) -> pd.DataFrame:
     parts: list[tuple[int, list]] = []  # merged by twos, so that none meets all others one after another
     for text in rows["wrapper"].sort_values():
-        level, w = 0, json.loads(text)
+        level, w = 0, _load_pair(text)
         while parts and parts[-1][0] == level:
-            level, w = level + 1, merge(parts.pop()[1], w)
+            level, w = level + 1, merge_pair(parts.pop()[1], w)
         parts.append((level, w))
     whole = parts.pop()[1]
     while parts:
-        whole = merge(parts.pop()[1], whole)
-    return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [json.dumps(whole)]})
+        whole = merge_pair(parts.pop()[1], whole)
+    return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [_dump_pair(whole)]})
 
 
 def _judge(rows: pd.DataFrame) -> pd.DataFrame:
     out = _merge_hosts(rows)
-    out["wrapper"] = [json.dumps(decide(json.loads(w))) for w in out["wrapper"]]
+    out["wrapper"] = [_dump_pair([None if w is None else decide(w, bool(i)) for i, w in enumerate(_load_pair(pair))])
+                      for pair in out["wrapper"]]
     return out
 
 
@@ -441,7 +614,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if wrapper not in known:
                 if len(known) > 500:
                     known.clear()
-                known[wrapper] = json.loads(wrapper) if wrapper else None
+                known[wrapper] = _load_pair(wrapper) if wrapper else None
             out.append(extract(parse(html), known[wrapper]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()),
                                           pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -454,7 +627,7 @@ def _extract_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         at, out = [], []
         for i, (html, wrapper) in enumerate(zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist())):
             if wrapper is not None:
-                known = json.loads(wrapper)
+                known = _load_pair(wrapper)
             else:
                 at.append(i)
                 out.append(extract(parse(html), known))
@@ -510,7 +683,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url
         dealt = sent.unionByName(own).repartition("host", "salt").sortWithinPartitions("host", "salt", "kind").select(
             "page_id", "url", "html", "wrapper").mapInArrow(_extract_dealt, schema)
         rows = rows.join(few, "host", "left_anti")
-    if fits(wrappers, 8192):
+    if (wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES:
         known = rows.join(F.broadcast(wrappers), "host", "left")
     else:  # hot hosts are split over salts
         salts = F.array(*[F.lit(i) for i in range(SALTS)])

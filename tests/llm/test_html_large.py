@@ -1,7 +1,5 @@
 """Wrappers of more nodes than a worker holds of one."""
 
-import json
-
 import pandas as pd
 import pyarrow as pa
 from earnlens.llm import html_extract
@@ -48,7 +46,7 @@ def test_partial_wrappers_hold_every_page():
     batch = pa.RecordBatch.from_pydict({"host": ["h"] * 300, "html": pages})
     rows = pd.concat(b.to_pandas() for b in html_extract._induce(iter([batch])))
     assert len(rows) > 1
-    whole = json.loads(html_extract._merge_hosts(rows).wrapper[0])
+    whole = html_extract._load_pair(html_extract._merge_hosts(rows).wrapper[0])[0]
     found = []
 
     def walk(w):
