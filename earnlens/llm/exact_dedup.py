@@ -82,9 +82,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Of rows that repeat an id and its text, one stays.
+    Of rows that repeat an id and its text, one stays. Full hashes are made of
+    survivors of the first two levels, and here of rows whose id is dropped
+    somewhere; all others pass by their id.
     """
-    found = stage(exact_duplicates(docs, id_col, text, hash_all=True), "exact-found")
+    found = stage(exact_duplicates(docs, id_col, text), "exact-found")
     dropped = stage(found.where("not kept").select("doc_id", "text_sha256").distinct(), "exact-dropped")
     both = found.where("kept").select("doc_id", "text_sha256").join(
         dropped, found["doc_id"].eqNullSafe(dropped["doc_id"])
@@ -92,7 +94,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
     # rows that repeat the kept id and text cannot be told apart by a key
     repeated = bool(both.limit(1).count())
     own, gone_id, gone_sha = fresh(docs.columns, "_sha", "_gone", "_gone_sha")
-    out = docs.withColumn(own, F.sha2(normalised(text), 256))
+    ids = small_or_shuffle(dropped.select(F.col("doc_id").alias(gone_id)).distinct(), 32)
+    met = F.col(id_col).eqNullSafe(F.col(gone_id))
+    untouched = docs.join(ids, met, "left_anti")
+    out = docs.join(ids, met, "left_semi").withColumn(own, F.sha2(normalised(text), 256))
     if repeated:
         first = [F.first(c).alias(c) for c in docs.columns if c != id_col]
         out = out.groupBy(id_col, own).agg(*first).select(*docs.columns, own)
@@ -100,5 +105,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
         dropped = dropped.join(twice, (F.col("text_sha256") == F.col("_its"))
                                & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     gone = small_or_shuffle(dropped.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)), 112)
-    return out.join(gone, (F.col(own) == F.col(gone_sha)) & F.col(id_col).eqNullSafe(F.col(gone_id)),
-                    "left_anti").select(*docs.columns)
+    kept = out.join(gone, (F.col(own) == F.col(gone_sha)) & met, "left_anti").select(*docs.columns)
+    return untouched.unionByName(kept)

@@ -8,7 +8,10 @@ their nodes compacts the graph: along an occurrence whose nodes are repeated
 and have one way in and one way out (a nonbranching path), every other
 occurrence runs along the same words, so all its windows repeat. Only windows
 over a branching node, or over the end of a path, stay open; for those, source
-coordinates are verified: their own 128-bit hashes are counted.
+coordinates are verified: their own 128-bit hashes are counted. On a path two
+occurrences count as equal where the 64-bit hashes of a node and of the edges on
+both its sides agree; edges hold the node's words, so that at least 128 bits
+tell different words apart.
 """
 
 from __future__ import annotations
