@@ -1,22 +1,26 @@
 """Line deduplication over levelled sorted runs (DataFrame functions only).
 
-Documents arrive in batches. The index is a set of runs: Parquet tables of
-line hashes, range-partitioned and sorted by the hash. A batch anti-joins the
-runs to find the lines it holds first, then adds its own run; when a level has
-``FANOUT`` runs they are merged into one run of the next level. Batches are
-taken in descending order of document id, so the first holder of a line is the
-largest id that holds it.
+Documents arrive in batches. The index is a set of runs: tables of line
+hashes, bucketed and sorted by the hash, a file for each bucket. A batch becomes
+such a table too and is merge-joined with the runs to find the lines it holds
+first: neither side is exchanged or sorted again. It then adds its own run; when
+a level has ``FANOUT`` runs they are merged, bucket by bucket, into one run of
+the next level. Batches are taken in descending order of document id, so the
+first holder of a line is the largest id that holds it.
 """
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earnlens.llm.common import SPACE_CHARS, lower_ascii, stage, text_or_empty
+from earnlens.llm.common import SPACE_CHARS, fits, lower_ascii, stage, text_or_empty
+from earnlens.session import checkpoint_dir
 
 #: Runs of a level that are merged into one of the next.
 FANOUT = 2
@@ -48,6 +52,10 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     return keyed.select("_d", "_t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
 
 
+#: Files of a bucket are read in their order, where there is one of each.
+SORTED_SCAN = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 @dataclass
 class LineRuns:
     """The index: levels of sorted runs with ``h1, h2, n_docs, top``; the
@@ -66,19 +74,18 @@ class LineRuns:
         return merge(runs) if runs else None
 
     def add(self, lines: DataFrame) -> None:
-        """Merge-anti-joins a batch of line hashes with the runs, adds its own
-        run and compacts levels that are full."""
-        own = lines.groupBy(*HASH).agg(F.count_distinct("_d").alias("n_docs"), F.max("_d").alias("own_top"))
+        """Merge-joins a batch of line hashes with the runs, adds what it holds
+        as its own run and compacts levels that are full."""
+        own = lines.groupBy(*HASH).agg(F.count_distinct("_d").alias("n_docs"), F.max("_d").alias("top"))
         known = self.all_runs()
         if known:
-            seen = reduce(DataFrame.unionByName, [r.select(*HASH, "top") for r in known]).where("top is not null")
-            # split off the first-held lines: those that no run holds
-            own = stage(own, "line-batch")
-            first = own.join(seen, HASH, "left_anti").select(*HASH, "n_docs", F.col("own_top").alias("top"))
-            again = own.join(seen, HASH, "left_semi").select(*HASH, "n_docs", F.lit(None).cast("long").alias("top"))
-            own = first.unionByName(again)
-        else:
-            own = own.select(*HASH, "n_docs", F.col("own_top").alias("top"))
+            own = sorted_run(own)
+            # first-held are the lines that no run holds
+            held = [f"held{i}" for i in range(len(known))]
+            for name, run in zip(held, known):
+                own = own.join(run.select(*HASH, F.col("top").isNotNull().alias(name)), HASH, "left")
+            seen = reduce(lambda a, b: a | b, [F.coalesce(F.col(name), F.lit(False)) for name in held])
+            own = own.select(*HASH, "n_docs", F.when(~seen, F.col("top")).alias("top"))
         self._put(0, sorted_run(own))
 
     def _put(self, level: int, run: DataFrame) -> None:
@@ -91,12 +98,31 @@ class LineRuns:
 
 
 def merge(runs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, runs).groupBy(*HASH).agg(
-        F.sum("n_docs").alias("n_docs"), F.max("top").alias("top"))
+    """Sorted runs merged by their hashes, two at a time; what two make up is a
+    sorted run for the next one."""
+    whole = runs[0]
+    for i, run in enumerate(runs[1:]):
+        more = run.select(*HASH, F.col("n_docs").alias("more"), F.col("top").alias("other"))
+        whole = (sorted_run(whole) if i else whole).join(more, HASH, "full").select(
+            *HASH, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"),
+            F.greatest("top", "other").alias("top"))
+    return whole
 
 
 def sorted_run(rows: DataFrame) -> DataFrame:
-    return stage(rows.sortWithinPartitions(*HASH), "line-run")
+    """``rows`` as a table bucketed and sorted by the hash. Rows that a shuffle
+    has dealt by the hash, or that come from such tables, lie in their buckets'
+    tasks already, so that a bucket is one file."""
+    spark = rows.sparkSession
+    name = f"line_run_{uuid.uuid4().hex}"
+    path = posixpath.join(checkpoint_dir(spark), "stages", name)
+    before = spark.conf.get(SORTED_SCAN)
+    spark.conf.set(SORTED_SCAN, "true")
+    try:
+        rows.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *HASH).sortBy(*HASH).saveAsTable(name)
+    finally:
+        spark.conf.set(SORTED_SCAN, before)
+    return spark.table(name)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
@@ -132,9 +158,14 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     """
     drops = repeated_lines(docs, id_col, text, min_chars, min_docs, batches)
     # lines of a document bound this array
-    gone = drops.groupBy("_d", "_t").agg(F.array_sort(F.array_distinct(F.collect_list("pos"))).alias("gone"))
+    gone = stage(drops.groupBy("_d", "_t").agg(F.array_sort(F.array_distinct(F.collect_list("pos"))).alias("gone")), "line-gone")
     rows = docs.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text), text_or_empty(text).alias("text"))
-    rows = rows.join(gone, ["_d", "_t"], "left")
+    if fits(gone, 24):  # then only the texts that lose lines are shuffled
+        some = F.broadcast(gone.select("_d", "_t"))
+        whole = rows.join(some, ["_d", "_t"], "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
+        rows = rows.join(some, ["_d", "_t"], "left_semi").join(gone, ["_d", "_t"]).unionByName(whole)
+    else:
+        rows = rows.join(gone, ["_d", "_t"], "left")
     rows = rows.withColumn("ls", F.split("text", "\n", -1)).withColumn(
         "bounds", F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("ls"))))
     # slices between dropped positions: linear in the lines of a document
