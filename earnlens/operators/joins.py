@@ -18,17 +18,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows a lookup side may have and still be broadcast. Checked per call with a
-# bounded count (the scan stops after max_rows + 1 rows).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Rows a lookup side may have and still be broadcast, and bytes that so many
+# rows of its columns (by Spark's estimate of their types) may take. Checked per
+# call with a bounded count (the scan stops after one row too many).
+DEFAULT_BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 _FITS: dict = {}
 
 
 def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (a bounded action,
-    remembered per session for semantically equal plans)."""
+    """True when ``df`` has at most ``max_rows`` rows and these take at most
+    ``BROADCAST_BYTES`` (a bounded action, remembered per session for
+    semantically equal plans)."""
+    max_rows = min(max_rows, BROADCAST_BYTES // max(1, df._jdf.schema().defaultSize()))
     try:
         key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
     except Exception:  # noqa: BLE001

@@ -9,7 +9,6 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
-from earnlens.modeling import explain as xp
 from earnlens.modeling import train as tr
 from earnlens.modeling.booster import QuantileBooster
 from earnlens.operators import benchmarks as bm
@@ -180,38 +179,3 @@ def q_booster(spark, sf):
     k = lambda d: d.withColumn("_k", F.lit(0))
     return r4(k(ev.interval_metrics(sc)).join(k(ev.pinball_losses(sc)), "_k")
               .join(k(ev.point_metrics(sc).select("r2", "mae", "rmse")), "_k").drop("_k"))
-
-
-def _forest(spark, sf):
-    etrain, etest, *_ = engineered(spark, sf)
-    return _memo(spark, sf, "forest", lambda: tr.fit_forest(etrain)), etrain, etest
-
-
-@query("feature_importance")
-def q_importance(spark, sf):
-    etrain, *_ = engineered(spark, sf)
-    m = tr.fit_gbt_regressor(etrain)
-    return r4(xp.feature_importance(m, fe.FEATURES_FULL))
-
-
-@query("permutation_importance")
-def q_perm(spark, sf):
-    m, _, etest = _forest(spark, sf)
-    return r4(xp.permutation_importance(m, etest, fe.FEATURES_FULL, "person_id", repeats=50))
-
-
-@query("shapley_values")
-def q_shap(spark, sf):
-    m, etrain, etest = _forest(spark, sf)
-    rows = fe.hash_sample(etest, "person_id", 500)
-    bg = fe.hash_sample(etrain, "person_id", 8, seed=7)
-    return r4(xp.mean_abs_attribution(xp.shapley_values(m, rows, bg, fe.FEATURES_FULL, "person_id")))
-
-
-@query("shapley_dependence")
-def q_shap_dep(spark, sf):
-    m, etrain, etest = _forest(spark, sf)
-    rows = fe.hash_sample(etest, "person_id", 500)
-    bg = fe.hash_sample(etrain, "person_id", 8, seed=7)
-    s = xp.shapley_values(m, rows, bg, fe.FEATURES_FULL, "person_id")
-    return r4(s.where(F.col("feature").isin("age", "occ_mean_income", "state_mean_income")))

@@ -1,5 +1,5 @@
 """Queries on fitted heads: the quantile forest and the premium classifier
-(MOD-01, EVA-12/13/17/18, SCO-02/03/05), and the feature sets (FEA-09, MOD-05).
+(MOD-01, EVA-12/13/17/18, EXP-01..04, SCO-02/03/05), and the feature sets (FEA-09, MOD-05).
 
 Fits have no SQL form; the forest's quantile step and the point model do, on
 leaves and predictions that SQL can make itself.
@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from earnlens.modeling import explain as xp
 from earnlens.modeling import train as tr
 from earnlens.modeling.quantile_forest import QuantileForest, co_member_quantiles, leaf_labels, leaf_ranges
 from earnlens.operators import evaluate as ev
@@ -264,3 +265,42 @@ def q_gbt_sets(spark, sf):
     for r in rows[1:]:
         out = out.unionByName(r)
     return r4(out)
+
+
+#: Rows explained (the survey's bound), background rows (those of least hash of
+#: the train split) and feature orders of a row.
+EXPLAINED, BACKGROUND, ORDERS = 500, 50, 4
+
+
+def served_trees(spark, sf):
+    """The trees behind the served heads; they predict the mean label."""
+    return forest_model(spark, sf).model.trees
+
+
+@query("feature_importance")
+def q_importance(spark, sf):
+    return r4(xp.feature_importance(served_trees(spark, sf), fe.FEATURES_FULL))
+
+
+@query("permutation_importance")
+def q_permutation(spark, sf):
+    return r4(xp.permutation_importance(served_trees(spark, sf), engineered(spark, sf)[1], fe.FEATURES_FULL, "person_id", label="label",
+                                        repeats=50, prediction="_mean"))
+
+
+def attributions(spark, sf) -> DataFrame:
+    train, test, *_ = engineered(spark, sf)
+    rows = fe.hash_sample(test, "person_id", EXPLAINED)
+    background = fe.hash_sample(train, "person_id", BACKGROUND, seed=7)
+    return processed(spark, "attributions", sf, lambda: xp.shapley_values(
+        served_trees(spark, sf), rows, background, fe.FEATURES_FULL, "person_id", permutations=ORDERS, prediction="_mean"))
+
+
+@query("shapley_values")
+def q_shapley(spark, sf):
+    return r4(xp.mean_abs_attribution(attributions(spark, sf)))
+
+
+@query("shapley_dependence")
+def q_dependence(spark, sf):
+    return r4(attributions(spark, sf).where(F.col("feature").isin("age", "occ_mean_income", "state_mean_income")))
