@@ -44,19 +44,19 @@ def get_session(master: str | None = None, app: str = "earnlens",
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local tests) is ``fallback`` (or ``$EARNLENS_CHECKPOINT_DIR``) installed.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset on
+    a local master (tests) is ``fallback``, ``$EARNLENS_CHECKPOINT_DIR`` or a
+    temporary folder taken; a cluster has to name a shared folder.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set")
         d = fallback or os.environ.get("EARNLENS_CHECKPOINT_DIR")
-        if not d and sc.master.startswith("local"):
-            # single-machine runs only: a cluster must name a shared folder
+        if not d:
             import tempfile
             d = tempfile.mkdtemp(prefix="earnlens-checkpoint-")
-        if not d:
-            raise RuntimeError("spark.checkpoint.dir is not set and no fallback was given")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
