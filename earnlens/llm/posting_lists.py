@@ -48,6 +48,7 @@ BOUNDARY_RATIO, REPLICAS, SPREAD = 1.02, 2, 0.25
 RECALL, CALIBRATED = 0.96, 256
 #: Vectors of a segment and queries of a block.
 SEGMENT_ROWS, BLOCK_ROWS = 4096, 512
+FINITE = "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
 #: Tasks that search the graph for the queries, at most (64 queries each at least).
 PROBE_TASKS = 2048
 #: Queries whose best a task carries along; beyond it passes them on.
@@ -406,10 +407,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, lists: int | None =
 
     Every vector is indexed, and about the share ``recall`` of the true nearest is found. A query that finds fewer than ``k`` in its lists
     is compared with all vectors, in blocks. Vectors of a query's own length
-    are searched only; null ids, null or empty vectors and those of zeros take
-    no part; rows that repeat an id and a vector count once.
+    are searched only; null ids, null or empty vectors, those of zeros and
+    those with a null or non-finite component take no part; rows that repeat an id and a vector count once.
     """
-    valid = lambda df: df.where("id is not null and size(v) > 0 and exists(v, x -> x <> 0)").select(
+    valid = lambda df: df.where(f"id is not null and size(v) > 0 and {FINITE} and exists(v, x -> x <> 0)").select(
         "id", "v", F.size("v").alias("dim")).distinct()
     # of equal vectors, k + 1 can be among the nearest of a query that is one of them
     same = Window.partitionBy("v").orderBy("id")

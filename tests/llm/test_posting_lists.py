@@ -76,7 +76,7 @@ def test_a_third_of_all_rows_are_copies(spark):
 def test_odd_rows(spark):
     """Nulls, zeros, other lengths, repeated rows, fewer rows than asked for."""
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (None, [1.0, 1.0]), (4, []), (5, [0.0, 0.0]), (6, [1.0, 2.0, 3.0]),
-            (7, [2.0, 0.0])]
+            (7, [2.0, 0.0]), (8, [None, 1.0]), (9, [float("nan"), 1.0]), (10, [float("-inf"), 1.0])]
     df = frame(spark, rows)
     got = found(posting_lists.nearest(df, df, 10))
     assert got[1] == [(7, 1.0), (2, 2 ** 0.5)] and got[2] == [(1, 2 ** 0.5), (7, 5 ** 0.5)] and set(got) == {1, 2, 7}
