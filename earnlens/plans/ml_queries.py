@@ -64,19 +64,21 @@ def artefacts(spark, sf, model=None, classifier=None):
     plans then start from these small tables, not from the cohort's lineage."""
     kept = lambda name, build: processed(spark, f"artefact-{name}", sf, build)
     raw_train = kept("train", lambda: split_cohort(spark, sf).where("split = 'train'").drop("split"))
-    om = kept("occ-means", lambda: fe.group_means(raw_train, "occupation"))
-    sm = kept("state-means", lambda: fe.group_means(raw_train, "state"))
+    builds = {"occ-means": lambda: fe.group_means(raw_train, "occupation"), "state-means": lambda: fe.group_means(raw_train, "state"),
+              "regions": lambda: tb.region_map(spark, sf), "defaults": lambda: bm.context_defaults(raw_train),
+              "benchmarks": lambda: bm.peer_benchmarks(raw_train)}
+    if model is None:
+        label, probs = fe.log_target(raw_train), {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+        builds["quantiles"] = lambda: exact_quantiles(label, ["occupation"], "label", probs)
+        builds["quantiles-all"] = lambda: exact_quantiles(label, [], "label", {f"{k}_g": v for k, v in probs.items()})
+    # independent jobs over the training rows
+    table = dict(zip(builds, tr.side_by_side(lambda n: kept(n, builds[n]), list(builds), 4)))
     if model is None:
         model = GroupQuantileModel("occupation")
-        label = fe.log_target(raw_train)
-        probs = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
-        model.table = kept("quantiles", lambda: exact_quantiles(label, ["occupation"], "label", probs))
-        model.glob = kept("quantiles-all", lambda: exact_quantiles(
-            label, [], "label", {f"{k}_g": v for k, v in probs.items()}))
+        model.table, model.glob = table["quantiles"], table["quantiles-all"]
     return Artefacts(
-        education=tb.education(spark), regions=kept("regions", lambda: tb.region_map(spark, sf)),
-        occ_means=om, state_means=sm, defaults=kept("defaults", lambda: bm.context_defaults(raw_train)),
-        benchmarks=kept("benchmarks", lambda: bm.peer_benchmarks(raw_train)),
+        education=tb.education(spark), regions=table["regions"], occ_means=table["occ-means"], state_means=table["state-means"],
+        defaults=table["defaults"], benchmarks=table["benchmarks"],
         incomes=raw_train.select("state", "education_level", "annual_income"),
         model=model, classifier=classifier,
         premium_threshold=T if classifier is not None else None)
