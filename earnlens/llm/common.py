@@ -87,17 +87,21 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def release() -> None:
+    """Memory that is free goes back to the machine. Spark keeps Python workers
+    for later tasks, and they would hold the most that any task took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def releasing(run: Callable) -> Callable:
-    """``run`` (batches to batches) for ``mapInArrow``; at its end, memory that
-    is free goes back to the machine. Spark keeps Python workers for later
-    tasks, and they would hold the most that any task took."""
+    """``run`` (batches to batches) for ``mapInArrow``, with :func:`release` at its end."""
     def released(batches):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            release()
     return released

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from earnlens.llm.common import fits, id_hash, releasing, stage, text_or_empty
+from earnlens.llm.common import fits, id_hash, release, releasing, stage, text_or_empty
 from earnlens.llm.words import shingles
 
 #: Bound of the sample of labelled rows of each class that the model is fitted to.
@@ -34,7 +34,7 @@ BUCKETS = 1 << 17
 #: tokens, the whole text long; where all clean texts would give more than
 #: about ``CLEAN_WINDOWS``, every text gives proportionally fewer. A toxic text
 #: gives windows that hold all of its marked tokens.
-SPAN, SPACING, CLEAN_WINDOWS = 48, 192, 40_000
+SPAN, SPACING, CLEAN_WINDOWS = 48, 192, 16_000
 #: Marking features that a model may hold; more are an error.
 MOST_MARKS = 200_000
 #: A marking feature is held by so many families of toxic texts, and is so
@@ -252,13 +252,19 @@ def _windows(marks: set[str], spacing: int):
 def fit_chain(tokens: list[list[str]], tags: list[list[int]], rounds: int = 60, rate: float = 0.3,
               decay: float = 1e-3) -> ToxicityModel:
     """Maximum likelihood of the chain by Adagrad over all windows."""
-    lengths = np.array([len(x) for x in tokens])
     at, words = pd.factorize(np.array([t for x in tokens for t in x], dtype=object))
+    return fit_encoded(at, list(words), np.array([len(x) for x in tokens]), np.concatenate([np.array(x) for x in tags]), rounds, rate, decay)
+
+
+def fit_encoded(at: np.ndarray, words: list[str], lengths: np.ndarray, tags: np.ndarray, rounds: int = 60, rate: float = 0.3,
+                decay: float = 1e-3) -> ToxicityModel:
+    """:func:`fit_chain` of windows one after another: the place of each token
+    in ``words``, its tag, and the windows' lengths."""
     parts = [[bucket(f) for f in features(w)] for w in words]
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     feature = np.concatenate([np.array(p) for p in parts])
     used, feature = np.unique(feature, return_inverse=True)
-    y = np.concatenate([np.array(x) for x in tags]).astype(np.float64)
+    y = tags.astype(np.float64)
     first = np.zeros(len(y), dtype=bool)
     first[np.cumsum(lengths) - lengths] = True
     later = np.flatnonzero(~first)
@@ -288,12 +294,18 @@ def fit_chain(tokens: list[list[str]], tags: list[list[int]], rounds: int = 60,
     return model
 
 
-
-
-def _fit_task(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("order")
-    m = fit_chain([list(x) for x in rows["tokens"]], [list(x) for x in rows["tags"]])
-    return pd.DataFrame({"weights": [m.weights.tobytes()], "chain": [[m.start, *m.step]]})
+def _fit_task(rows: pa.Table) -> pa.Table:
+    """Windows stay in Arrow's memory; only different words become strings."""
+    rows = rows.sort_by("order")
+    tokens, tags = (rows.column(c).combine_chunks() for c in ("tokens", "tags"))
+    lengths = pa.compute.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    at, words, tags = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), tags.flatten().to_numpy(zero_copy_only=False)
+    del rows, tokens, coded
+    m = fit_encoded(at, words, lengths, tags)
+    del at, words, lengths, tags
+    release()
+    return pa.table({"weights": pa.array([m.weights.tobytes()], pa.binary()), "chain": pa.array([[m.start, *m.step]], pa.list_(pa.float64()))})
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
@@ -341,7 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     spacing = max(SPACING, -(-clean // CLEAN_WINDOWS))
     windows = families.mapInArrow(releasing(_windows(marks, spacing)), "one int, tokens array<string>, tags array<int>, weight double")
     windows = windows.withColumn("order", F.xxhash64("tokens"))
-    found = windows.groupBy("one").applyInPandas(_fit_task, "weights binary, chain array<double>").collect()
+    found = windows.groupBy("one").applyInArrow(_fit_task, "weights binary, chain array<double>").collect()
     if not found:
         return constant
     chain = list(found[0]["chain"])
