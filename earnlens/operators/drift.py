@@ -98,10 +98,12 @@ def rolling_mean(df: DataFrame, key: str, value: str, n: int = dims.DRIFT_WINDOW
     4. a ROWS frame of n inside each range over own + borrowed rows, keeping
        own rows only."""
     from earnlens.operators.ranking import PART, offsets, ranged
+    from earnlens.session import materialize
     order = list(order)
     rows = ranged(df.select(key, *order, value, F.lit(1).cast("bigint").alias("_1")), [key, *order], n_buckets)
     ends = rows.groupBy(key, PART).agg(F.sum("_1").alias("_size")).join(offsets(rows, [key], ["_1"]), [key, PART])
-    ends = ends.select(key, PART, F.col("_1_pre").alias("_start"), (F.col("_1_pre") + F.col("_size")).alias("_end"))
+    # one row for each key in each range, used three times
+    ends = materialize(ends.select(key, PART, F.col("_1_pre").alias("_start"), (F.col("_1_pre") + F.col("_size")).alias("_end")))
     inside = Window.partitionBy(PART, key).orderBy(*order)
     rows = rows.withColumn("_in", F.row_number().over(inside)).join(ends, [key, PART])
     rows = rows.withColumn("_g", F.col("_start") + F.col("_in") - 1).drop("_in", "_1")
