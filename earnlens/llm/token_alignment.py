@@ -15,6 +15,7 @@ no task or broadcast holds the pairs of the corpus.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -88,6 +89,36 @@ def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return *sides, last
 
 
+#: Words whose pieces a task remembers, and the longest of them.
+REMEMBERED, LONGEST = 400_000, 64
+WORD = re.compile(" +[^ ]*")
+
+
+class WordPieces(dict):
+    """Words with the spaces before them to the bytes of their ids (32 bits
+    each). No piece holds a space mark but at its beginning, so a text's pieces
+    are those of its words, one after another; the library encodes each word once."""
+
+    def __init__(self, library):
+        super().__init__()
+        self.library = library
+        self.apart = not any(MARK in library.id_to_piece(i).lstrip(MARK) for i in range(library.get_piece_size()))
+        self.space = np.array([library.piece_to_id(MARK)], dtype="<i4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.library.encode(word[1:]), dtype="<i4").tobytes() if len(word) > 1 else self.space
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        if not text or not self.apart or MARK in text:
+            return np.array(self.library.encode(text), dtype=np.int64)
+        return np.frombuffer(b"".join(map(self.__getitem__, WORD.findall(" " + text))), dtype="<i4").astype(np.int64)
+
+
 class Aligner:
     """Two vocabularies over the same bytes: A a byte-level BPE (rank file and
     pattern), B a piece model that puts a space before the text."""
@@ -97,6 +128,7 @@ class Aligner:
         table = read_ranks(ranks)
         self.a = ByteEncoder(table, pattern)
         self.b = SentencePieceProcessor(model_file=model)
+        self.words = WordPieces(self.b)
         self.n_a, self.n_b = max(table.values()) + 1, self.b.get_piece_size()
         self.a_size = np.zeros(self.n_a, dtype=np.int64)
         for token, i in table.items():
@@ -106,27 +138,27 @@ class Aligner:
         self.b_size = np.array(list(map(len, self.b_bytes)), dtype=np.int64)
         a, b = ([str(i) for i in range(n)] for n in (self.n_a, self.n_b))
         #: Ids as they are spelt inside and at the end of a group's two sides.
-        self.spelt = [x + end for ids, ends in ((a, ",|"), (b, ",;")) for end in ends for x in ids]
+        self.spelt = [(x + end).encode() for ids, ends in ((a, ",|"), (b, ",;")) for end in ends for x in ids]
 
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids by A of space + text and by B of the text; None for an empty
         text and where the tokens' bytes are not those of space + text."""
         out = []
-        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+        for text in texts:
             if not text:
                 out.append(None)
                 continue
-            a = self.a.encode(" " + text)
+            a, b = self.a.encode(" " + text), self.words.encode(text)
             whole = (" " + text).encode("utf-8", "surrogatepass")
-            same = self.a.encoding.decode_bytes(a) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-            out.append((np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) if same else None)
+            same = self.a.encoding.decode_bytes(a) == whole and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == whole
+            out.append((np.array(a, dtype=np.int64), b) if same else None)
         return out
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The links (indices of A and B tokens) and which of them end a group."""
         return aligned(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
 
-    def spell(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> str:
+    def spell(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> bytes:
         """``a1,a2|b1;a3|b2,b3``, from the ids and the last index of every group on both sides."""
         codes = np.empty(len(a) + len(b), dtype=np.int64)
         before = np.concatenate(([0], b_last[:-1] + 1))
@@ -136,7 +168,7 @@ class Aligner:
         own = b + 2 * self.n_a
         own[b_last] += self.n_b
         codes[np.arange(len(b)) + np.repeat(a_last + 1, np.diff(b_last, prepend=-1))] = own
-        return "".join(map(self.spelt.__getitem__, codes.tolist()))[:-1]
+        return b"".join(map(self.spelt.__getitem__, codes.tolist()))[:-1]
 
 
 DOCS = "array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string, size: bigint, " \
@@ -197,7 +229,7 @@ def _blocks(ranks: str, pattern: str, model: str, block_bytes: int, with_groups:
                         found, n = np.unique(a[left] * aligner.n_b + b[right], return_counts=True)
                         a_last, b_last = left[last], right[last]
                         row |= {"n_a": len(a), "n_b": len(b), "n_groups": len(a_last), "n_links": len(left), "size": len(found),
-                                "groups_sha256": sha256(aligner.spell(a, b, a_last, b_last).encode()).hexdigest()}
+                                "groups_sha256": sha256(aligner.spell(a, b, a_last, b_last)).hexdigest()}
                         if with_groups:
                             row["groups"] = [{"a": x, "b": y} for x, y in zip(np.split(a, a_last[:-1] + 1), np.split(b, b_last[:-1] + 1))]
                         pairs.append(found)

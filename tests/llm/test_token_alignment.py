@@ -88,6 +88,18 @@ def test_against_brute_force(spark, own, block_bytes):
         assert [(",".join(map(str, g.a)), ",".join(map(str, g.b))) for g in r.groups] == groups
 
 
+def test_pieces_of_words_are_the_texts_pieces():
+    sp = SentencePieceProcessor(model_file=MODEL)
+    words = token_alignment.WordPieces(sp)
+    rng = random.Random(1)
+    parts = ["a", "é", " ", "  ", "\n", "\t", ",", ".", "the", " the", "漢", "\U0001f600", "\x00", "</s>", "\xa0", "  \n ", "▁"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert words.encode(text).tolist() == sp.encode(text)
+    long = " " * 3000 + "x" * 5000 + " " + "word " * 100
+    assert words.encode(long).tolist() == sp.encode(long) and max(map(len, words)) <= token_alignment.LONGEST
+
+
 def _byte_letters():
     """The letters that stand for bytes in the vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
