@@ -35,6 +35,8 @@ BUCKETS = 1 << 17
 #: about ``CLEAN_WINDOWS``, every text gives proportionally fewer. A toxic text
 #: gives windows that hold all of its marked tokens.
 SPAN, SPACING, CLEAN_WINDOWS = 48, 192, 16_000
+#: Windows whose gradient is taken at once.
+BLOCK = 2000
 #: Marking features that a model may hold; more are an error.
 MOST_MARKS = 200_000
 #: A marking feature is held by so many families of toxic texts, and is so
@@ -260,30 +262,38 @@ def fit_encoded(at: np.ndarray, words: list[str], lengths: np.ndarray, tags: np.
                 decay: float = 1e-3) -> ToxicityModel:
     """:func:`fit_chain` of windows one after another: the place of each token
     in ``words``, its tag, and the windows' lengths."""
-    parts = [[bucket(f) for f in features(w)] for w in words]
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    feature = np.concatenate([np.array(p) for p in parts])
-    used, feature = np.unique(feature, return_inverse=True)
-    y = tags.astype(np.float64)
-    first = np.zeros(len(y), dtype=bool)
-    first[np.cumsum(lengths) - lengths] = True
-    later = np.flatnonzero(~first)
+    own = [np.fromiter(map(bucket, features(w)), dtype=np.int32) for w in words]
+    owner = np.repeat(np.arange(len(own), dtype=np.int32), [len(p) for p in own])
+    used, feature = np.unique(np.concatenate(own), return_inverse=True)
+    del own
+    y = tags.astype(np.int8)
+    stops = np.concatenate(([0], np.cumsum(lengths)))
+    blocks = [(i, min(i + BLOCK, len(lengths))) for i in range(0, len(lengths), BLOCK)]
     w, chain = np.zeros(len(used)), np.array([-2.0, -2.0, 1.0, 1.0])  # start, 0-1, 1-0, 1-1
     sums_w, sums_c = np.full(len(used), 1e-6), np.full(4, 1e-6)
     model = ToxicityModel()
     for _ in range(rounds):
-        score = np.clip(np.bincount(owner, w[feature], len(words))[at], -30, 30)
+        emission = np.clip(np.bincount(owner, w[feature], len(words)), -30, 30)
         model.start, model.step = chain[0], tuple(chain[1:])
-        ahead, back = model.passes(score, lengths)
-        p = 1 / (1 + 1 / np.maximum(ahead * back, 1e-300))
-        # posterior of neighbouring states: prefix, transition, suffix
-        t01, t10, t11 = np.exp(chain[1:])
-        r, x = ahead[later - 1], np.exp(score[later]) * back[later]
-        pair = np.stack([t01 * x, t10 * r, t11 * r * x])
-        pair /= 1 + pair.sum(axis=0)
-        seen = np.stack([(1 - y[later - 1]) * y[later], y[later - 1] * (1 - y[later]), y[later - 1] * y[later]])
-        grad_w = np.bincount(feature, np.bincount(at, p - y, len(words))[owner], len(used)) / len(lengths) + decay * w / 10
-        grad_c = np.concatenate(([(p - y)[first].sum()], (pair - seen).sum(axis=1))) / len(lengths)
+        off, grad_c = np.zeros(len(words)), np.zeros(4)
+        for a, b in blocks:
+            words_at, tag = at[stops[a]:stops[b]], y[stops[a]:stops[b]].astype(np.float64)
+            score = emission[words_at]
+            ahead, back = model.passes(score, lengths[a:b])
+            p = 1 / (1 + 1 / np.maximum(ahead * back, 1e-300))
+            first = np.zeros(len(tag), dtype=bool)
+            first[stops[a:b] - stops[a]] = True
+            later = np.flatnonzero(~first)
+            # posterior of neighbouring states: prefix, transition, suffix
+            t01, t10, t11 = np.exp(chain[1:])
+            r, x = ahead[later - 1], np.exp(score[later]) * back[later]
+            pair = np.stack([t01 * x, t10 * r, t11 * r * x])
+            pair /= 1 + pair.sum(axis=0)
+            seen = np.stack([(1 - tag[later - 1]) * tag[later], tag[later - 1] * (1 - tag[later]), tag[later - 1] * tag[later]])
+            off += np.bincount(words_at, p - tag, len(words))
+            grad_c += np.concatenate(([(p - tag)[first].sum()], (pair - seen).sum(axis=1)))
+        grad_w = np.bincount(feature, off[owner], len(used)) / len(lengths) + decay * w / 10
+        grad_c /= len(lengths)
         sums_w += grad_w ** 2
         sums_c += grad_c ** 2
         w -= rate * grad_w / np.sqrt(sums_w)
