@@ -112,14 +112,15 @@ def merge(runs: list[DataFrame]) -> DataFrame:
 def sorted_run(rows: DataFrame) -> DataFrame:
     """``rows`` as a table bucketed and sorted by the hash. Rows that a shuffle
     has dealt by the hash, or that come from such tables, lie in their buckets'
-    tasks already, so that a bucket is one file."""
+    tasks already, so that a bucket is one file. Hashes do not compress, and a
+    codec's buffers for many small files would be all cost."""
     spark = rows.sparkSession
     name = f"line_run_{uuid.uuid4().hex}"
     path = posixpath.join(checkpoint_dir(spark), "stages", name)
     before = spark.conf.get(SORTED_SCAN)
     spark.conf.set(SORTED_SCAN, "true")
     try:
-        rows.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *HASH).sortBy(*HASH).saveAsTable(name)
+        rows.write.option("path", path).option("compression", "none").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *HASH).sortBy(*HASH).saveAsTable(name)
     finally:
         spark.conf.set(SORTED_SCAN, before)
     return spark.table(name)
