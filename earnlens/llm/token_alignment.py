@@ -97,26 +97,42 @@ WORD = re.compile(" +[^ ]*")
 class WordPieces(dict):
     """Words with the spaces before them to the bytes of their ids (32 bits
     each). No piece holds a space mark but at its beginning, so a text's pieces
-    are those of its words, one after another; the library encodes each word once."""
+    are those of its words, one after another; the library encodes each word
+    once, and its pieces' bytes are compared with the word's once (``changed``)."""
 
-    def __init__(self, library):
+    def __init__(self, library, piece_bytes: list[bytes]):
         super().__init__()
-        self.library = library
+        self.library, self.bytes = library, piece_bytes
+        self.changed: set[str] = set()
+        self.forgotten = 0
         self.apart = not any(MARK in library.id_to_piece(i).lstrip(MARK) for i in range(library.get_piece_size()))
         self.space = np.array([library.piece_to_id(MARK)], dtype="<i4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.library.encode(word[1:]), dtype="<i4").tobytes() if len(word) > 1 else self.space
+        own = self.library.encode(word[1:]) if len(word) > 1 else None
+        ids = np.array(own, dtype="<i4").tobytes() if own is not None else self.space
+        if own is not None and b"".join(map(self.bytes.__getitem__, own)) != word.encode("utf-8", "surrogatepass"):
+            self.changed.add(word)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
+                self.changed.clear()
+                self.forgotten += 1
             self[word] = ids
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text or not self.apart or MARK in text:
-            return np.array(self.library.encode(text), dtype=np.int64)
-        return np.frombuffer(b"".join(map(self.__getitem__, WORD.findall(" " + text))), dtype="<i4").astype(np.int64)
+    def encode(self, text: str) -> np.ndarray | None:
+        """The ids of space + text; None where their bytes are not the text's."""
+        if self.apart and MARK not in text:
+            words, before = WORD.findall(" " + text), self.forgotten
+            ids = list(map(self.__getitem__, words))
+            if self.changed and not self.changed.isdisjoint(words):
+                return None
+            if self.forgotten == before:  # no changed word of this text can be forgotten
+                return np.frombuffer(b"".join(ids), dtype="<i4").astype(np.int64)
+        ids = self.library.encode(text)
+        same = b"".join(map(self.bytes.__getitem__, ids)) == (" " + text).encode("utf-8", "surrogatepass")
+        return np.array(ids, dtype=np.int64) if same else None
 
 
 class Aligner:
@@ -128,13 +144,13 @@ class Aligner:
         table = read_ranks(ranks)
         self.a = ByteEncoder(table, pattern)
         self.b = SentencePieceProcessor(model_file=model)
-        self.words = WordPieces(self.b)
         self.n_a, self.n_b = max(table.values()) + 1, self.b.get_piece_size()
         self.a_size = np.zeros(self.n_a, dtype=np.int64)
         for token, i in table.items():
             self.a_size[i] = len(token)
         pieces = map(self.b.id_to_piece, range(self.n_b))
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.words = WordPieces(self.b, self.b_bytes)
         self.b_size = np.array(list(map(len, self.b_bytes)), dtype=np.int64)
         a, b = ([str(i) for i in range(n)] for n in (self.n_a, self.n_b))
         #: Ids as they are spelt inside and at the end of a group's two sides.
@@ -145,13 +161,13 @@ class Aligner:
         text and where the tokens' bytes are not those of space + text."""
         out = []
         for text in texts:
-            if not text:
+            b = self.words.encode(text) if text else None
+            if b is None:
                 out.append(None)
                 continue
-            a, b = self.a.encode(" " + text), self.words.encode(text)
-            whole = (" " + text).encode("utf-8", "surrogatepass")
-            same = self.a.encoding.decode_bytes(a) == whole and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == whole
-            out.append((np.array(a, dtype=np.int64), b) if same else None)
+            # A's tokens spell any bytes, so that their sizes tell whether these are all
+            a = np.array(self.a.encode(" " + text), dtype=np.int64)
+            out.append((a, b) if self.a_size[a].sum() == self.b_size[b].sum() else None)
         return out
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -89,15 +89,49 @@ def test_against_brute_force(spark, own, block_bytes):
 
 
 def test_pieces_of_words_are_the_texts_pieces():
-    sp = SentencePieceProcessor(model_file=MODEL)
-    words = token_alignment.WordPieces(sp)
+    aligner = token_alignment.Aligner(RANKS, public_tokenizers.PATTERN, MODEL)
+    sp, words, spelt = aligner.b, aligner.words, aligner.b_bytes
     rng = random.Random(1)
     parts = ["a", "é", " ", "  ", "\n", "\t", ",", ".", "the", " the", "漢", "\U0001f600", "\x00", "</s>", "\xa0", "  \n ", "▁"]
-    for _ in range(5000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
-        assert words.encode(text).tolist() == sp.encode(text)
-    long = " " * 3000 + "x" * 5000 + " " + "word " * 100
-    assert words.encode(long).tolist() == sp.encode(long) and max(map(len, words)) <= token_alignment.LONGEST
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(5000)]
+    texts.append(" " * 3000 + "x" * 5000 + " " + "word " * 100)
+    for text in texts:
+        want = sp.encode(text)
+        same = b"".join(spelt[i] for i in want) == (" " + text).encode()
+        got = words.encode(text)
+        assert (got is None) == (not same) and (got is None or got.tolist() == want)
+        tokens, = aligner.tokens([text])
+        assert tokens is None if not same else aligner.a.encoding.decode_bytes(tokens[0].tolist()) == (" " + text).encode()
+    assert max(map(len, words)) <= token_alignment.LONGEST
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(token_alignment, "REMEMBERED", 3)
+    aligner = token_alignment.Aligner(RANKS, public_tokenizers.PATTERN, MODEL)
+    text = "one two three four five six seven eight nine ten"
+    for _ in range(3):
+        assert aligner.words.encode(text).tolist() == aligner.b.encode(text)
+    assert len(aligner.words) <= 3 and aligner.words.forgotten > 2
+
+
+def test_words_that_the_pieces_change():
+    """Words whose pieces spell something else have no tokens, remembered or not."""
+    class Library:
+        def encode(self, text):
+            return [1] + [2] * (len(text) > 2)
+
+        def get_piece_size(self):
+            return 3
+
+        def id_to_piece(self, i):
+            return ["<unk>", "▁", "x"][i]
+
+        def piece_to_id(self, piece):
+            return 1
+
+    words = token_alignment.WordPieces(Library(), [b"", b" ", b"x"])
+    assert words.encode("abc") is None and words.encode("abc") is None
+    assert words.encode("").tolist() == [1]
 
 
 def _byte_letters():
