@@ -318,7 +318,7 @@ def test_piece_documents(spark):
 
 def test_every_query_has_its_columns(spark):
     from earnlens.llm.queries import QUERIES
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     held = queries.op2_toxicity(spark, "/root/testdata/sf0.001").select("doc_id", "held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in held)
     assert queries.op7_topk_search(spark, "/root/testdata/sf0.001").agg(F.max("rank")).first()[0] == 20
