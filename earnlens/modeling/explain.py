@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,30 +20,34 @@ def feature_importance(model, features: list[str]) -> DataFrame:
                                  "feature string, importance double").orderBy(F.desc("importance"))
 
 
+#: Rows of a bucket, inside which columns are permuted.
+BUCKET_ROWS = 512
+
+
 def permuted_copies(df: DataFrame, features: list[str], key: str, repeats: int, seed: int,
                     buckets: int | None = None) -> DataFrame:
     """A copy of ``df`` per (``_feature``, ``_repeat``), in it that feature
-    replaced by a seeded permutation of itself. Rows of a copy are spread over
-    random buckets (as many as the session's shuffle parallelism) and permuted
-    inside each (windows partitioned by copy and bucket), so no task sees a
-    whole column. One explode, two windows and one join make all copies."""
+    replaced by a seeded permutation of itself. Rows are dealt once into random
+    buckets (of ``BUCKET_ROWS`` rows, about) and permuted inside each, so no
+    task sees a whole column. A bucket is one array; its copies are made from
+    it where it lies, one after the other, and no copy is shuffled or sorted on disk."""
     if buckets is None:
-        from earnlens.operators.ranking import choose_buckets
-        buckets = choose_buckets(df)
-    copies = F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1)))
-    x = df.withColumn("_c", copies)
-    x = x.withColumns({"_pb": F.pmod(F.xxhash64(key, "_c", F.lit(seed)), F.lit(buckets)),
-                       "_f": F.element_at(F.array(*[F.lit(f) for f in features]),
-                                          F.floor(F.col("_c") / repeats).cast("int") + 1)})
-    value = F.coalesce(*[F.when(F.col("_f") == f, F.col(f).cast("double")) for f in features])
-    shuffled = Window.partitionBy("_c", "_pb").orderBy(F.xxhash64(key, "_c", F.lit(seed + 1)), key)
-    ordered = Window.partitionBy("_c", "_pb").orderBy(key)
-    src = x.select("_c", "_pb", F.row_number().over(shuffled).alias("_r"), value.alias("_new"))
-    dst = x.withColumn("_r", F.row_number().over(ordered)).join(src, ["_c", "_pb", "_r"])
-    types = dict(df.dtypes)
-    return dst.select(
-        *[F.when(F.col("_f") == c, F.col("_new").cast(types[c])).otherwise(F.col(c)).alias(c)
-          if c in features else F.col(c) for c in df.columns],
+        buckets = max(1, math.ceil(df.count() / BUCKET_ROWS))
+    # all columns decide the bucket: rows of one key, or of none, are spread too
+    x = df.withColumn("_pb", F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(buckets)))
+    x = x.repartition(min(buckets, 2048), "_pb").groupBy("_pb").agg(F.sort_array(F.collect_list(F.struct(
+        F.xxhash64(*df.columns, F.lit(seed)).alias("_at"), F.struct(*df.columns).alias("_row")))).alias("_rows"))
+    x = x.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))))
+    x = x.withColumn("_f", F.element_at(F.array(*[F.lit(f) for f in features]), F.floor(F.col("_c") / repeats).cast("int") + 1))
+    # the places of the rows in an order of the copy's own
+    places = F.array_sort(F.transform("_rows", lambda r, i: F.struct(
+        F.xxhash64(r["_at"], F.col("_c"), F.lit(seed + 1)).alias("h"), i.alias("i"))))
+    x = x.withColumn("_places", places).select("_c", "_f", "_rows", F.posexplode("_places").alias("_i", "_from"))
+    own, other = F.get("_rows", F.col("_i"))["_row"], F.get("_rows", F.col("_from")["i"])["_row"]
+    x = x.select("_c", "_f", own.alias("_own"), other.alias("_other"))
+    return x.select(
+        *[F.when(F.col("_f") == c, F.col("_other")[c]).otherwise(F.col("_own")[c]).alias(c)
+          if c in features else F.col("_own")[c].alias(c) for c in df.columns],
         F.col("_f").alias("_feature"), (F.col("_c") % repeats).alias("_repeat"))
 
 
@@ -57,7 +63,7 @@ def permutation_importance(model, df: DataFrame, features: list[str], key: str,
     All (feature, repeat) copies are scored in one transform."""
     base = ev.point_metrics(model.transform(df), label, prediction).select(
         F.col("r2").alias("base_r2"), F.lit(0).alias("_k"))
-    copies = permuted_copies(df, features, key, repeats, seed)
+    copies = permuted_copies(df.select(*dict.fromkeys([key, *features, label])), features, key, repeats, seed)
     scored = model.transform(copies)
     per = ev.point_metrics(scored, label, prediction, ["_feature", "_repeat"])
     per = per.withColumn("_k", F.lit(0)).join(F.broadcast(base), "_k")
