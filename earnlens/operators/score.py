@@ -161,8 +161,9 @@ def memoised(keyed: DataFrame, fresh: DataFrame, art: Artefacts, now_c, id_col:
     ``payload_hash``; ``fresh`` has one stored score for each payload."""
     miss = keyed.join(fresh.select("payload_hash"), "payload_hash", "left_anti")
     one = miss.groupBy("payload_hash").agg(F.min_by(F.struct(*[c for c in miss.columns if c != "payload_hash"]), id_col).alias("_r"))
-    one = one.select("payload_hash", "_r.*")
-    new_rows = score(one.drop("payload_hash"), art, id_col).join(one.select(id_col, "payload_hash"), id_col)
+    # both are read more than once, by the responses and by the store
+    one = materialize(one.select("payload_hash", "_r.*"))
+    new_rows = materialize(score(one.drop("payload_hash"), art, id_col).join(one.select(id_col, "payload_hash"), id_col))
     scored = miss.select(id_col, "payload_hash").join(new_rows.drop(id_col), "payload_hash").select(
         *[c for c in new_rows.columns if c != "payload_hash"])
     hits = keyed.select(id_col, "payload_hash").join(fresh.drop(id_col), "payload_hash")

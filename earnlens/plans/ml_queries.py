@@ -84,8 +84,13 @@ def artefacts(spark, sf, model=None, classifier=None):
         premium_threshold=T if classifier is not None else None)
 
 
+def known_values(spark, sf):
+    """What requests may name: the combinations that persons have, found once."""
+    return processed(spark, "known-values", sf, lambda: tb.persons(spark, sf).select("state", "occupation", "education_level").distinct())
+
+
 def valid_requests(spark, sf):
-    good, _ = validate_requests(normalise_requests(tb.requests(spark, sf)), tb.persons(spark, sf))
+    good, _ = validate_requests(normalise_requests(tb.requests(spark, sf)), known_values(spark, sf))
     return good
 
 
@@ -109,7 +114,7 @@ def q_score_memo(spark, sf):
 @query("score_store", SCORES.format(more=", true AS cache_hit"))
 def q_score_store(spark, sf):
     """The bucketed store: scores of five hours ago are expired, those of ten minutes ago answer every request."""
-    art, req = artefacts(spark, sf), valid_requests(spark, sf)
+    art, req = artefacts(spark, sf), materialize(valid_requests(spark, sf))
     path = posixpath.join(checkpoint_dir(spark), "scores", uuid.uuid4().hex)
     store = ScoreStore(spark, path, ScoreStore.schema_of(art, req))
     now = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)

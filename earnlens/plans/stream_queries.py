@@ -65,7 +65,7 @@ ORDER_FILES = 4
 
 def _stream_scores(spark, sf) -> ScoreSink:
     """Orders arriving file by file, scored once a session."""
-    from earnlens.plans.ml_queries import _memo, artefacts
+    from earnlens.plans.ml_queries import _memo, artefacts, known_values
 
     def run():
         loc = stream_location(spark, "stream-score")
@@ -73,7 +73,7 @@ def _stream_scores(spark, sf) -> ScoreSink:
         files = os.path.join(loc, "arriving")
         orders.repartitionByRange(ORDER_FILES, "o_orderkey").write.parquet(files)
         arriving = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(files)
-        q = stream_score(tb.requests(spark, sf, orders=arriving), artefacts(spark, sf), tb.persons(spark, sf), loc,
+        q = stream_score(tb.requests(spark, sf, orders=arriving), artefacts(spark, sf), known_values(spark, sf), loc,
                          os.path.join(loc, "_checkpoint"))
         q.awaitTermination()
         return ScoreSink(spark, loc)

@@ -18,6 +18,7 @@ from earnlens.operators import drift as dr
 from earnlens.operators.features import FEATURES_FULL
 from earnlens.operators.requests import normalise_requests, validate_requests
 from earnlens.operators.score import Artefacts, encode_requests, score
+from earnlens.session import materialize
 from earnlens.sources import dims
 from earnlens.streaming.sinks import BatchLedger
 
@@ -51,6 +52,7 @@ def write_batch(df: DataFrame, epoch_id: int, art: Artefacts, catalogue: DataFra
     df = df.persist()  # read once for all outputs
     try:
         good, bad = validate_requests(normalise_requests(df), catalogue)
+        good = materialize(good)  # read by the scores and the window
         sink.scores.write(score(good, art, id_col), epoch_id)
         sink.rejected.write(bad.select(id_col, F.array_join("errors", "; ").alias("errors")), epoch_id)
         done = sink.scores.spark.read.parquet(sink.scores.folder(epoch_id))

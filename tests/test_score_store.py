@@ -76,3 +76,23 @@ def test_compaction_and_reopening(spark, store):
     spark.sql(f"DROP TABLE {kept.table}")
     again = ScoreStore(spark, kept.path, ScoreStore.schema_of(art, requests), buckets=4)
     assert again.hours() == kept.hours() and again.fresh(F.lit(NOW), 3600).count() == rows
+
+
+def test_new_scores_are_made_once(spark, store):
+    """What goes into the store is what was answered, not scored again."""
+    from earnlens.operators.score import memoised
+    kept, art, requests = store
+    out, new = memoised(request_key(requests, art.model_version), kept.fresh(F.lit(NOW), 3600), art, F.lit(NOW))
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Relation" not in plan
+    assert out.count() == requests.count() and new.count() == new.select("payload_hash").distinct().count() > 0
+
+
+def test_requests_meet_the_known_values(spark):
+    from earnlens.operators.requests import normalise_requests, validate_requests
+    from earnlens.plans.ml_queries import known_values, valid_requests
+    from earnlens.sources import testbed as tb
+    persons = tb.persons(spark, SF)
+    assert known_values(spark, SF).count() < persons.count()
+    whole, _ = validate_requests(normalise_requests(tb.requests(spark, SF)), persons)
+    assert sorted(whole.select("request_id").collect()) == sorted(valid_requests(spark, SF).select("request_id").collect())
