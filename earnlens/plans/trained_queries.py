@@ -276,11 +276,6 @@ def q_gbt_sets(spark, sf):
     return r4(out)
 
 
-#: Rows explained (the survey's bound), background rows (those of least hash of
-#: the train split) and feature orders of a row.
-EXPLAINED, BACKGROUND, ORDERS = 500, 50, 4
-
-
 @query("feature_importance")
 def q_importance(spark, sf):
     return r4(xp.feature_importance(served_trees(spark, sf), fe.FEATURES_FULL))
@@ -293,11 +288,10 @@ def q_permutation(spark, sf):
 
 
 def attributions(spark, sf) -> DataFrame:
+    """Of every test row, against every training row."""
     train, test, *_ = engineered(spark, sf)
-    rows = fe.hash_sample(test, "person_id", EXPLAINED)
-    background = fe.hash_sample(train, "person_id", BACKGROUND, seed=7)
     return processed(spark, "attributions", sf, lambda: xp.shapley_values(
-        served_trees(spark, sf), rows, background, fe.FEATURES_FULL, "person_id", permutations=ORDERS, prediction="_mean"))
+        served_trees(spark, sf), test, train, fe.FEATURES_FULL, "person_id", prediction="_mean"))
 
 
 @query("shapley_values")
